@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from garimpo.llm import lookalikes, refinement
+from garimpo.llm import leakage, lookalikes, refinement
 from garimpo.session import ship, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,6 +46,15 @@ def p5_records(spark: SparkSession, d: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return p6_passages(spark, d).select("doc_id", "item_id")
+
+
+def p6_passages(spark: SparkSession, d: str) -> DataFrame:
+    ship(spark)
+    return leakage.leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "itens_avaliacao"), "item_id", "text")
+
+
 _STRIP = r"translate(lower(regexp_replace(coalesce({0}, ''), '[\p{{P}}\p{{Z}}\p{{Cc}}$+<=>^`|~]', '', 'g')), 'ς', 'σ')"
 
 
@@ -64,4 +73,4 @@ SQL = {
         UNION ALL SELECT tabela, arquivo, id, 1 FROM k WHERE arquivo IS NULL""",
 }
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_names": p1_names, "p5_found": p5_found, "p5_records": p5_records}
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_names": p1_names, "p5_found": p5_found, "p5_records": p5_records, "p6_found": p6_found, "p6_passages": p6_passages}
