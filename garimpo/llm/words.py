@@ -17,6 +17,7 @@ _DIGITS = bytes([*range(0x01, 0x09), *range(0x0E, 0x16)])
 _CONTROL = re.compile("[\x01-\x08\x0e-\x15]")
 
 
+@lru_cache(1 << 16)
 def plain(c: str) -> str:
     """One character without case and accents; '' for a combining mark, ' ' for a separator."""
     low = U.normalize("NFD", U.normalize("NFD", c).lower())
