@@ -1,9 +1,10 @@
 """Problem 6: evaluation passages inside training text.
 
 One Aho-Corasick automaton holds every window of ``n`` consecutive words of every
-test item, each word as one character of a private alphabet; the text of a
-document is turned into the same characters (U+0000 for words of no item) and
-read once. Case, accents,
+test item, each word as a code of four letters; the text of a document is turned
+into the same codes (U+0000 for words of no item) and read once. Codes keep the
+automaton's nodes narrow, and stretches of fewer than n coded words hold no
+window, so they are passed over. Case, accents,
 punctuation, spacing and line breaks play no part; a match is reported in words
 and in characters of the original text.
 
@@ -20,6 +21,7 @@ empty table on either side gives no rows; other columns are not read.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import reduce
 
@@ -31,7 +33,9 @@ from garimpo.llm.words import spans, words
 from garimpo.session import text_batches
 
 N_WORDS = 12
+#: Below 26 ** WIDTH, the number of codes.
 BLOCK_WORDS = 400_000
+WIDTH = 4
 SCHEMA = "_doc long, _item long, n_palavras int, n_trechos int, inicio int, fim int"
 
 
@@ -41,12 +45,13 @@ class Passages:
     def __init__(self, items: list[tuple[int, str]], n: int = N_WORDS) -> None:
         import ahocorasick
 
-        self.n, self.letters = n, {}
+        self.n, self.codes = n, {}
+        self.stretch = re.compile("[^\0]{%d,}" % (n * WIDTH))
         windows: dict[str, list[int]] = {}
         for item, text in items:
-            row = "".join([self.letters.get(w) or self._letter(w) for w in words(text)])
+            row = [self.codes.get(w) or self._code(w) for w in words(text)]
             for i in range(len(row) - n + 1):
-                ids = windows.setdefault(row[i : i + n], [])
+                ids = windows.setdefault("".join(row[i : i + n]), [])
                 if not ids or ids[-1] != item:
                     ids.append(item)
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_STRING)
@@ -56,25 +61,31 @@ class Passages:
         if windows:
             self.automaton.make_automaton()
 
-    def _letter(self, word: bytes) -> str:
-        """The next character, above the surrogates when the lower ones are used up."""
-        k = len(self.letters) + 1
-        return self.letters.setdefault(word, chr(k if k < 0xD800 else k + 0x800))
+    def _code(self, word: bytes) -> str:
+        k = len(self.codes)
+        return self.codes.setdefault(word, "".join(chr(97 + k // 26**j % 26) for j in range(WIDTH)))
 
     def find(self, text: str) -> list[tuple[int, int, int, int, int]]:
         """(item, words in passages, passages, begin, end) of each item in the text; offsets of the first passage."""
         if self.empty:
             return []
-        letter = self.letters.get
-        row = "".join([letter(w, "\0") for w in words(text)])
+        code = self.codes.get
+        row = "".join([code(w, "\0") for w in words(text)])
         runs: dict[int, list[list[int]]] = {}
-        for end, ids in self.automaton.iter(row):
-            for item in ids:
-                own = runs.setdefault(item, [])
-                if own and end - self.n + 1 <= own[-1][1] + 1:
-                    own[-1][1] = end
-                else:
-                    own.append([end - self.n + 1, end])
+        for m in self.stretch.finditer(row):
+            begin = m.start()
+            before = row.count("\0", 0, begin)
+            first = before + (begin - before) // WIDTH
+            for end, ids in self.automaton.iter(m[0]):
+                if (end + 1) % WIDTH:  # across two codes
+                    continue
+                last = first + end // WIDTH
+                for item in ids:
+                    own = runs.setdefault(item, [])
+                    if own and last - self.n + 1 <= own[-1][1] + 1:
+                        own[-1][1] = last
+                    else:
+                        own.append([last - self.n + 1, last])
         if not runs:
             return []
         at = spans(text)
