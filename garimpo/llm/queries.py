@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from garimpo.llm import leakage, lookalikes, refinement
+from garimpo.llm import leakage, lookalikes, refinement, splitting
 from garimpo.session import ship, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,19 @@ def p1_names(spark: SparkSession, d: str) -> DataFrame:
     return _names(spark, d).select("tabela", "registro_id", "nome_consistente")
 
 
+def _oversized(spark: SparkSession, d: str) -> DataFrame:
+    ship(spark)
+    return splitting.split_oversized(table(spark, d, "loader").select("load_id", "text"), "text")
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return _oversized(spark, d).filter(F.size("pecas") > 1).select("load_id")
+
+
+def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return splitting.pieces(_oversized(spark, d), "load_id", "text")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     parts = [
         refinement.duplicate_pairs(table(spark, d, t), "arquivo", k, f).select(F.lit(t).alias("tabela"), "id_menor", "id_maior")
@@ -65,6 +78,7 @@ def _keys(t: str, k: str, fields: tuple[str, ...]) -> str:
 
 _BOTH = " UNION ALL ".join(_keys(*r) for r in RECORDS)
 SQL = {
+    "p4_found": "SELECT load_id FROM loader WHERE length(text) > 4000",
     "p5_found": f"""WITH k AS ({_BOTH})
         SELECT a.tabela, a.id AS id_menor, b.id AS id_maior FROM k a JOIN k b
         ON a.tabela = b.tabela AND a.arquivo = b.arquivo AND a.chave = b.chave AND a.id < b.id""",
@@ -73,4 +87,4 @@ SQL = {
         UNION ALL SELECT tabela, arquivo, id, 1 FROM k WHERE arquivo IS NULL""",
 }
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_names": p1_names, "p5_found": p5_found, "p5_records": p5_records, "p6_found": p6_found, "p6_passages": p6_passages}
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_names": p1_names, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_records": p5_records, "p6_found": p6_found, "p6_passages": p6_passages}
