@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from garimpo.llm import leakage, lookalikes, refinement, splitting
+from garimpo.llm import leakage, lookalikes, mojibake, refinement, splitting
 from garimpo.session import ship, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,16 @@ def p1_names(spark: SparkSession, d: str) -> DataFrame:
     return _names(spark, d).select("tabela", "registro_id", "nome_consistente")
 
 
+def p2_restored(spark: SparkSession, d: str) -> DataFrame:
+    ship(spark)
+    dictionaries = mojibake.train(mojibake.samples(table(spark, d, "documents"), "doc_id", "text", "lang"))
+    return mojibake.wrongly_decoded(table(spark, d, "loader"), "load_id", "text", dictionaries)
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return p2_restored(spark, d).select("load_id")
+
+
 def _oversized(spark: SparkSession, d: str) -> DataFrame:
     ship(spark)
     return splitting.split_oversized(table(spark, d, "loader").select("load_id", "text"), "text")
@@ -87,4 +97,4 @@ SQL = {
         UNION ALL SELECT tabela, arquivo, id, 1 FROM k WHERE arquivo IS NULL""",
 }
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_names": p1_names, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_records": p5_records, "p6_found": p6_found, "p6_passages": p6_passages}
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_names": p1_names, "p2_found": p2_found, "p2_restored": p2_restored, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_records": p5_records, "p6_found": p6_found, "p6_passages": p6_passages}
