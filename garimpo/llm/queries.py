@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from garimpo.llm import leakage, lookalikes, mojibake, refinement, splitting
+from garimpo.llm import leakage, lookalikes, mixing, mojibake, refinement, splitting
 from garimpo.session import ship, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,6 +78,20 @@ def p6_passages(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "itens_avaliacao"), "item_id", "text")
 
 
+def _mixture(spark: SparkSession, d: str) -> mixing.Mixture:
+    ship(spark)
+    wanted = mixing.targets(table(spark, d, "metas_mistura"), "source", "peso_alvo", "max_repeticoes")
+    return mixing.mix(table(spark, d, "documents"), "doc_id", "source", "text", wanted)
+
+
+def p7_documents(spark: SparkSession, d: str) -> DataFrame:
+    return _mixture(spark, d).documents
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    return _mixture(spark, d).shares
+
+
 _STRIP = r"translate(lower(regexp_replace(coalesce({0}, ''), '[\p{{P}}\p{{Z}}\p{{Cc}}$+<=>^`|~]', '', 'g')), 'ς', 'σ')"
 
 
@@ -97,4 +111,4 @@ SQL = {
         UNION ALL SELECT tabela, arquivo, id, 1 FROM k WHERE arquivo IS NULL""",
 }
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_names": p1_names, "p2_found": p2_found, "p2_restored": p2_restored, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_records": p5_records, "p6_found": p6_found, "p6_passages": p6_passages}
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_names": p1_names, "p2_found": p2_found, "p2_restored": p2_restored, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_records": p5_records, "p6_found": p6_found, "p6_passages": p6_passages, "p7_documents": p7_documents, "p7_shares": p7_shares}
