@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from garimpo.llm import leakage, lookalikes, mixing, mojibake, refinement, splitting
+from garimpo.llm import leakage, lookalikes, mixing, mojibake, reading, refinement, splitting
 from garimpo.session import ship, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -92,6 +92,20 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mixture(spark, d).shares
 
 
+def _levels(spark: SparkSession, d: str, *keep: str) -> DataFrame:
+    ship(spark)
+    return reading.levels(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "rotulos_leitura"), "doc_id", "nivel", keep)
+
+
+def p8_levels(spark: SparkSession, d: str) -> DataFrame:
+    return _levels(spark, d)
+
+
+def p8_profile(spark: SparkSession, d: str) -> DataFrame:
+    by_level = [F.count_if(F.col("nivel") == k).alias(f"nivel_{k}") for k in range(1, reading.LEVELS + 1)]
+    return _levels(spark, d, "source").groupBy("source").agg(F.count(F.lit(1)).alias("documentos"), F.avg("nivel_estimado").alias("nivel_medio"), *by_level)
+
+
 _STRIP = r"translate(lower(regexp_replace(coalesce({0}, ''), '[\p{{P}}\p{{Z}}\p{{Cc}}$+<=>^`|~]', '', 'g')), 'ς', 'σ')"
 
 
@@ -111,4 +125,4 @@ SQL = {
         UNION ALL SELECT tabela, arquivo, id, 1 FROM k WHERE arquivo IS NULL""",
 }
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_names": p1_names, "p2_found": p2_found, "p2_restored": p2_restored, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_records": p5_records, "p6_found": p6_found, "p6_passages": p6_passages, "p7_documents": p7_documents, "p7_shares": p7_shares}
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_names": p1_names, "p2_found": p2_found, "p2_restored": p2_restored, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_records": p5_records, "p6_found": p6_found, "p6_passages": p6_passages, "p7_documents": p7_documents, "p7_shares": p7_shares, "p8_levels": p8_levels, "p8_profile": p8_profile}
