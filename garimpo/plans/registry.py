@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from garimpo.plans import answers
+from garimpo.plans import answers, scoring
 
-PARTS = (answers,)
-FLAGSHIP = "p3_records"
+PARTS = (answers, scoring)
+FLAGSHIP = "flat_metrics_global"
 
 
 def queries() -> dict:
