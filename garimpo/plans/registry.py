@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from garimpo.plans import answers, scoring
+from garimpo.plans import answers, scoring, texts
 
-PARTS = (answers, scoring)
+PARTS = (answers, scoring, texts)
 FLAGSHIP = "flat_metrics_global"
 
 
