@@ -3,7 +3,7 @@
 The first separator that occurs divides the text and stays at the head of the
 following piece; pieces below the size are merged greedily, the tail of a chunk
 of at most ``overlap`` characters is carried over, longer pieces go on with the
-next separators or stay whole. Chunks are trimmed; empty ones are dropped.
+next separators or stay whole. Merged chunks are trimmed; empty ones are dropped.
 """
 
 from __future__ import annotations

@@ -62,6 +62,13 @@ class Rejected(Exception):
         self.motivo, self.detalhe, self.at = motivo, detalhe, at
 
 
+def _filled(text: str, at: int) -> int:
+    """The next offset that is not white space."""
+    while text[at].isspace():
+        at += 1
+    return at
+
+
 class Delimited:
     """The machine for one dialect: field separators, record separators, and whether ``"`` quotes."""
 
@@ -119,7 +126,7 @@ class Delimited:
             if m.start() > at:
                 state = self.plain(state, text[at : m.start()].isspace())
                 if state == BROKEN:
-                    return out, state, at
+                    return out, state, _filled(text, at)
             c, before = m[0], state
             state = self.step(state, c)
             if state == BROKEN:
@@ -130,7 +137,7 @@ class Delimited:
         if b > at:
             state = self.plain(state, text[at:b].isspace())
             if state == BROKEN:
-                return out, state, at
+                return out, state, _filled(text, at)
         return out, state, -1
 
     def records(self, text: str, chunk: int = CHUNK) -> list[list[tuple[int, str]]]:
