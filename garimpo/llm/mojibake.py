@@ -20,7 +20,8 @@ has given the chain away.
 
 U+FFFD stands for bytes that are lost: such loads are found but cannot be
 restored in full. Question marks in place of lost continuation bytes are filled
-in with the letter that compresses best.
+in with the letters that make a known word or compress best, and the text is not
+counted as restored.
 
 The dictionaries are trained on a bounded sample of labelled clean documents
 (``TRAIN_DOCS`` for each language, least hash of the id first) and a short seed
@@ -190,6 +191,8 @@ def odd(word: str) -> bool:
             continue
         if c not in LETTERS:
             return True
+        if c.islower() and c not in SIGNS and word[i + 1 : i + 2].isupper():
+            return True
         inside = i > 0 and word[i - 1].isalpha() and word[i - 1] not in SIGNS
         if inside and (c in SIGNS and word[i + 1 : i + 2].isalpha() or c.isupper() and word[i - 1].islower()):
             return True
@@ -198,7 +201,7 @@ def odd(word: str) -> bool:
 
 _RUNS = re.compile("[^\x00-\x7f]{3}")
 _LOST = re.compile("[ÂÃ]\\?|â\\?[?\x80-\xbf€œž™š]|â€\\?")
-_FILLS = {2: [c for c in "ÀÁÂÃÇÉÊÍÓÔÕÚÜàáâãçéêíóôõú"], 3: ["“", "”", "–", "’", "€", "—"]}
+_FILLS = {2: [c for c in "ÃÇÉÁÍÕÓÊÚÀÂÔÜãçéáíõóêúàâô"], 3: ["“", "”", "–", "’", "€", "—"]}
 _TOKEN = re.compile(r"[^\x00-\x20]+[\x00-\x20]*|[\x00-\x20]+")
 _END = re.compile(r"[.;!?\n\r\f][ \t\n\r\f]*\Z")
 CHUNK_WORDS = 30
@@ -233,6 +236,7 @@ class Repairer:
             [z.ZstdCompressor(dict_data=z.ZstdCompressionDict(d), compression_params=z.ZstdCompressionParameters.from_level(k, **how)) for k in LEVELS]
             for d in dictionaries.values()
         ]
+        self.content = b"\n".join(dictionaries.values())
         self.memo: dict[bytes, list] = {}
 
     def language(self, texts: list[str]) -> int:
@@ -271,7 +275,7 @@ class Repairer:
                 for word, r in self._readings(w):
                     found[word] = r
         chains: list[str] = []
-        places = 0
+        places, guessed = 0, False
         if any(k != HELD for r in found.values() for _, k, _ in r):
             chunks = passages(text)
             got = self._choose(chunks, found)
@@ -283,7 +287,8 @@ class Repairer:
             if n:
                 text, places = filled, places + n
                 chains.append("utf-8>?")
-        lost = text.count("�")
+                guessed = True
+        lost = guessed or "�" in text
         if not chains and not lost:
             return None
         return text, chains, places, not lost
@@ -337,7 +342,8 @@ class Repairer:
             for i, o in enumerate(own) if c in held else ():
                 if any(w in held[c] for w in o):
                     got = self._apply(chunks[i], every)
-                    if self.length(got, language) < self.length(changed.get(i, chunks[i]), language):
+                    less = self.length(changed.get(i, chunks[i]), language) - self.length(got, language)
+                    if less > 0 or less == 0 and i in changed:  # in an affected passage a tie goes to the chain
                         changed[i] = got
             by[c] = every
             for i, got in changed.items():
@@ -355,17 +361,28 @@ class Repairer:
         return (chunks, chains, places) if chains else None
 
     def _fill(self, text: str, known: bool) -> tuple[str, int]:
-        out, at, n = [], 0, 0
+        """Question marks that stand for lost bytes, word by word; the reading known to a dictionary goes first, then the shortest."""
         sure = known or any(text[m.end() : m.end() + 1].isalpha() for m in _LOST.finditer(text))
-        for m in _LOST.finditer(text):
-            a, b = max(at, m.start() - 40), m.end() + 40
-            before, rest = text[a : m.start()], text[m.end() : b]
-            options = _FILLS[2 if m[0][0] in "ÂÃ" else 3]
-            size, c = min((self.length(before + c + rest), c) for c in options)
-            if sure or self.length(text[a:b]) - size > FILL:
-                out += [text[at : m.start()], c]
+        out, at, n = [], 0, 0
+        for m in _RUN.finditer(text):
+            marks = list(_LOST.finditer(m[0])) if not m[0].isascii() else []
+            if not marks:
+                continue
+            before, rest = text[max(0, m.start() - 30) : m.start()], text[m.end() : m.end() + 30]
+            readings_, cut = [""], 0
+            for k in marks:
+                fixed = m[0][cut : k.start()]
+                options = _FILLS[2 if k[0][0] in "ÂÃ" else 3]
+                readings_ = [r + fixed + o for r in readings_ for o in options] if len(readings_) <= len(options) else [r + fixed + options[0] for r in readings_]
+                cut = k.end()
+            readings_ = [r + m[0][cut:] for r in readings_]
+            held = [r for r in readings_ if r.lower().strip(".,;:!?\"'()“”«»").encode() in self.content]
+            sizes = [(self.length(f"{before}{r}{rest}".lower()), i) for i, r in enumerate(held or readings_)]
+            size, i = min(sizes)
+            if sure or self.length(f"{before}{m[0]}{rest}".lower()) - size > FILL:
+                out += [text[at : m.start()], (held or readings_)[i]]
                 at = m.end()
-                n += 1
+                n += len(marks)
         return "".join(out) + text[at:], n
 
 
