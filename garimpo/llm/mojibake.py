@@ -49,9 +49,9 @@ TRAIN_DOCS = 600
 DICT_BYTES = 1 << 16
 LEVELS = (3, 9, 15)
 #: Bytes that it costs to state a chain in a text: each UTF-8 step, a step between one-byte encodings, a filled-in letter.
-UTF8_STEP, BYTE_STEP, FILL = 1.0, 3.0, 2.0
+UTF8_STEP, BYTE_STEP, FILL = 0.5, 1.0, 2.0
 #: Bytes that it costs to apply a chain to one more passage.
-PLACE = 0.5
+PLACE = 0.25
 #: Marks a reading that counts only once its chain has been seen in the text.
 HELD = -1.0
 MEMO = 200_000
@@ -138,7 +138,7 @@ class ByteStep:
     """Bytes in ``a`` read as ``b``, both one-byte encodings."""
 
     def __init__(self, a: str, b: str) -> None:
-        self.label = f"{a}>{b}"
+        self.label, self.right, self.wrong = f"{a}>{b}", a, b
         self.cost = BYTE_STEP
         to, of = charset(a).table, charset(b).bytes
         self.map = {c: to[n] for c, n in of.items() if n >= 0x80 and to[n] in LETTERS}
@@ -190,7 +190,9 @@ def odd(word: str) -> bool:
         if c < "\x80" or c in "–—‘’“”…€£":
             continue
         if c not in LETTERS:
-            return True
+            if c.isalpha() or word[i - 1 : i].isalpha() or word[i + 1 : i + 2].isalpha():
+                return True
+            continue  # a sign by itself
         if c.islower() and c not in SIGNS and word[i + 1 : i + 2].isupper():
             return True
         inside = i > 0 and word[i - 1].isalpha() and word[i - 1] not in SIGNS
@@ -281,7 +283,7 @@ class Repairer:
             got = self._choose(chunks, found)
             if got:
                 chunks, chains, places = got
-                text = "".join(chunks)
+                text = self._whole(text, chunks, chains)
         if _LOST.search(text):
             filled, n = self._fill(text, bool(chains))
             if n:
@@ -293,6 +295,17 @@ class Repairer:
             return None
         return text, chains, places, not lost
 
+    def _whole(self, text: str, chunks: list[str], chains: list[str]) -> str:
+        """The repaired passages, or the whole text undone at once where one step between one-byte encodings describes it as well."""
+        done = "".join(chunks)
+        step = next((s for s in steps()[1] if [s.label] == chains), None)
+        raw = charset(step.wrong).encode(text) if step else None
+        if raw is None:
+            return done
+        whole = "".join([charset(step.right).table[n] for n in raw])
+        k = self.language(chunks)
+        return whole if sum(self.length(p, k) for p in passages(whole)) <= sum(self.length(p, k) for p in passages(done)) else done
+
     def _apply(self, chunk: str, to: dict[str, str]) -> str:
         def one(m: re.Match) -> str:
             w = m[0]
