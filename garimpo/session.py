@@ -22,6 +22,16 @@ def text_batches(spark: SparkSession, rows: int = TEXT_BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Gives every core a part of an input that comes in fewer parts than there are cores.
+
+    Work on whole texts is bound by the CPU; a small table in one row group would
+    keep a single core busy. Inputs that come in parts enough are left as they are.
+    """
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The checkpoint folder that all executors share; a local one only where none is set."""
     conf = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
