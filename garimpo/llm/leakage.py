@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from garimpo.llm.words import spans, words
-from garimpo.session import text_batches
+from garimpo.session import spread, text_batches
 
 N_WORDS = 12
 #: Below 26 ** WIDTH, the number of codes.
@@ -112,6 +112,7 @@ def leaks(docs: DataFrame, doc: str, text: str, items: DataFrame, item: str, ite
     """One row for each document and item that share at least n consecutive words. Reads the items when called."""
     spark = docs.sparkSession
     text_batches(spark)
+    source = spread(docs.select(F.col(doc).cast("long"), F.col(text).cast("string")))
 
     def scan(block: list[tuple[int, str]]) -> DataFrame:
         held = spark.sparkContext.broadcast(block)
@@ -125,7 +126,7 @@ def leaks(docs: DataFrame, doc: str, text: str, items: DataFrame, item: str, ite
                     kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 4]
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
-        return docs.select(F.col(doc).cast("long"), F.col(text).cast("string")).mapInArrow(run, SCHEMA)
+        return source.mapInArrow(run, SCHEMA)
 
     blocks = _blocks(items, item, item_text, n)
     if not blocks:

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from garimpo.session import text_batches
+from garimpo.session import spread, text_batches
 
 #: Bound of the training sample, documents for each language.
 TRAIN_DOCS = 600
@@ -450,4 +450,4 @@ def wrongly_decoded(df: DataFrame, key: str, text: str, dictionaries: dict[str,
                 kinds = [pa.int64(), pa.string(), pa.string(), pa.int32(), pa.bool_()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["_id", "texto", "cadeia", "palavras", "restaurado"])
 
-    return df.select(F.col(key).cast("long"), F.col(text).cast("string")).mapInArrow(run, SCHEMA).withColumnRenamed("_id", key)
+    return spread(df.select(F.col(key).cast("long"), F.col(text).cast("string"))).mapInArrow(run, SCHEMA).withColumnRenamed("_id", key)

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from garimpo.llm.words import normalised
-from garimpo.session import text_batches
+from garimpo.session import spread, text_batches
 
 BUCKETS = 1 << 17
 MOST_LABELS = 20_000
@@ -130,7 +130,7 @@ def word_counts(df: DataFrame, text: str) -> np.ndarray:
         used = np.flatnonzero(cells)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(cells[used], pa.int64())], names=["cell", "n"])
 
-    parts = df.select(F.col(text).cast("string")).mapInArrow(run, "cell int, n long")
+    parts = spread(df.select(F.col(text).cast("string"))).mapInArrow(run, "cell int, n long")
     out = np.zeros(BUCKETS, np.int64)
     got = parts.groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     out[got["cell"].to_numpy()] = got["n"].to_numpy()
@@ -243,7 +243,7 @@ def levels(docs: DataFrame, key: str, text: str, labels: DataFrame, label_key: s
             cols = [b.column(i) for i in range(b.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(n, pa.int64()), pa.array(real, pa.float64()), pa.array(best, pa.int32())], names=[*b.schema.names[:-1], "palavras", "nivel_estimado", "nivel"])
 
-    source = docs.select(F.col(key), *[F.col(c).alias(f"_keep{i}") for i, c in enumerate(keep)], F.col(text).cast("string").alias("_text"))
+    source = spread(docs.select(F.col(key), *[F.col(c).alias(f"_keep{i}") for i, c in enumerate(keep)], F.col(text).cast("string").alias("_text")))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
     out = source.mapInArrow(run, f"{kept}, palavras long, nivel_estimado double, nivel int")
     return out.withColumnsRenamed({f"_keep{i}": c for i, c in enumerate(keep)})

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from garimpo.session import text_batches
+from garimpo.session import spread, text_batches
 
 LIMIT, OVERLAP = 4000, 200
 _EOL = r"(?:\r\n|[\n\r\f\v\x85  ])"
@@ -162,7 +162,7 @@ def split_oversized(df: DataFrame, text: str, limit: int = LIMIT, overlap: int =
     if not 0 <= overlap < limit // 2:
         raise ValueError("the overlap must be below half the limit")
     text_batches(df.sparkSession)
-    return df.filter(F.length(text) > limit).withColumn("pecas", _cuts(F.col(text), F.lit(limit), F.lit(overlap)))
+    return spread(df.filter(F.length(text) > limit)).withColumn("pecas", _cuts(F.col(text), F.lit(limit), F.lit(overlap)))
 
 
 def pieces(split: DataFrame, key: str, text: str) -> DataFrame:
