@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 #: What the comparison disregards: white space, control characters, punctuation and the ASCII signs.
 DISREGARDED = r"[\p{P}\p{Z}\p{Cc}$+<=>^`|~]"
 #: Groups of letters and digits counted by the histogram. Fixed values.
-GROUPS = ("aáàâãäå", "eéêèë", "iíìîï", "oóôòõöø", "uúùûü", "rst", "lmn", "cçd", "0123", "456")
+GROUPS = ("aáàâãäå", "eéêèë", "oóôòõöø", "rst", "0123")
 
 
 def stripped(x: Column) -> Column:
@@ -44,10 +44,10 @@ def _profile(df: DataFrame, scope: str, key: str, fields: Sequence[str]) -> Data
     df = df.select("*", *[stripped(F.col(f"_raw{i}")).alias(f"_v{i}") for i in range(len(fields))])
     whole = F.concat(*[F.col(f"_v{i}") for i in range(len(fields))])
     filled = reduce(lambda a, b: a + b, [(F.col(f"_v{i}") != "").cast("int") for i in range(len(fields))])
-    # eight bits for each group of letters, folded into one long; only a filter, so that overflow does no harm
+    # twelve bits for each group, folded into one long; only a filter, so that overflow does no harm
     hist = reduce(
         lambda a, b: a.bitwiseXOR(b),
-        [F.shiftleft((F.length(whole) - F.length(F.translate(whole, g, ""))).cast("long"), 6 * i) for i, g in enumerate(GROUPS)],
+        [F.shiftleft((F.length(whole) - F.length(F.translate(whole, g, ""))).cast("long"), 12 * i) for i, g in enumerate(GROUPS)],
     )
     return df.select("*", filled.alias("_filled"), F.length(whole).alias("_len"), hist.alias("_hist"))
 
@@ -68,12 +68,10 @@ def refined(df: DataFrame, scope: str, key: str, fields: Sequence[str]) -> DataF
 
 def duplicate_pairs(df: DataFrame, scope: str, key: str, fields: Sequence[str]) -> DataFrame:
     """Every pair of copies (id_menor, id_maior). Quadratic in a group by its very result."""
-    rows = refined(df, scope, key, fields).select("_scope", "_len", "_hist", "_key", "_id")
-    by = ["_scope", "_len", "_hist", "_key"]
-    several = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
-    left = rows.join(several, by, "left_semi")
+    left = refined(df, scope, key, fields).select("_scope", "_len", "_hist", "_key", "_id")
     right = left.withColumnRenamed("_id", "_other")
-    return left.join(right, by).filter("_id < _other").select(F.col("_id").alias("id_menor"), F.col("_other").alias("id_maior"))
+    pairs = left.join(right, ["_scope", "_len", "_hist", "_key"]).filter("_id < _other")
+    return pairs.select(F.col("_id").alias("id_menor"), F.col("_other").alias("id_maior"))
 
 
 def collapse(df: DataFrame, scope: str, key: str, fields: Sequence[str]) -> DataFrame:
