@@ -31,13 +31,13 @@ def squared_distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a.cast("array<double>"), b.cast("array<double>"), lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, d: s + d)
 
 
-def top_k_in_scope(queries: DataFrame, chunks: DataFrame, scope: str, query: str, chunk: str, vector: str, k: int) -> DataFrame:
-    """The k nearest chunks of the query's own scope; ties by chunk id. Fewer chunks than k give all."""
+def top_k_in_scope(queries: DataFrame, chunks: DataFrame, scope: str, query: str, chunk: str, vector: str, k: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The k nearest chunks of the query's own scope, with the columns ``keep`` of the chunk; ties by chunk id. Fewer chunks than k give all."""
     q = queries.select(scope, F.col(query).alias("_q"), F.col(vector).alias("_qv"))
-    c = chunks.select(scope, F.col(chunk).alias("_c"), F.col(vector).alias("_cv"))
-    near = q.join(c, scope).select(scope, "_q", "_c", squared_distance(F.col("_qv"), F.col("_cv")).alias("dist"))
+    c = chunks.select(scope, F.col(chunk).alias("_c"), F.col(vector).alias("_cv"), *keep)
+    near = q.join(c, scope).select(scope, "_q", "_c", squared_distance(F.col("_qv"), F.col("_cv")).alias("dist"), *keep)
     by = Window.partitionBy("_q").orderBy("dist", "_c")
-    return near.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k).select(scope, F.col("_q").alias("query_id"), F.col("_c").alias("chunk_id"), "rank", "dist")
+    return near.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k).select(scope, F.col("_q").alias("query_id"), F.col("_c").alias("chunk_id"), "rank", "dist", *keep)
 
 
 def top_k(queries: DataFrame, rows: DataFrame, query: str, row: str, vector: str, k: int) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from garimpo.functions import normalize as N
 from garimpo.functions.similarity import similarity
-from garimpo.operators import chunking, extraction, filters, parsing, retrieval
+from garimpo.operators import chunking, embedding, extraction, filters, parsing, prompts, retrieval
 from garimpo.plans.scoring import GOLD, NESTED_GOLD, nested_docs, sql_digits, sql_doc, sql_firm, sql_ident, sql_norm, sql_rg, sql_strip
 from garimpo.session import shared_dir, ship, spread, table, text_batches
 from garimpo.sources import files, sinks
@@ -189,6 +189,15 @@ def extract_chained(spark: SparkSession, d: str) -> DataFrame:
     return got.select("arquivo", "ord", "empresa", "cnpj", F.to_json("socios").alias("socios"))
 
 
+def question_contexts(spark: SparkSession, d: str) -> DataFrame:
+    """For each company the context of the question about its partners, from the chunks of its own document."""
+    ship(spark)
+    text_batches(spark)
+    docs = spread(table(spark, d, "documents").select("arquivo", files.truncate("text", MAX_CHARS).alias("texto")))
+    asked = table(spark, d, "empresa").select("arquivo", "empresa_id", prompts.partners_question(N.text_or_empty("nome"), N.text_or_empty("cnpj")).alias("pergunta"))
+    return embedding.question_contexts(docs, "arquivo", "texto", asked, "empresa_id", "pergunta", embedding.Hashing, 5, 600, 100, ("\n\n", "\n", ". ", " "))
+
+
 def extract_independent(spark: SparkSession, d: str) -> DataFrame:
     ship(spark)
     return extraction.independent(_answers(spark, d), "arquivo", "raw", "pergunta")
@@ -293,6 +302,7 @@ QUERIES = {
         extract_identifiers,
         extract_chained,
         extract_independent,
+        question_contexts,
         run_statistics,
         csv_entities,
         nested_json,

@@ -26,8 +26,11 @@ def spread(df: DataFrame) -> DataFrame:
     """Gives every core a part of an input that comes in fewer parts than there are cores.
 
     Work on whole texts is bound by the CPU; a small table in one row group would
-    keep a single core busy. Inputs that come in parts enough are left as they are.
+    keep a single core busy. Inputs that come in parts enough are left as they are,
+    and so are results of a shuffle, which come in parts already.
     """
+    if "AdaptiveSparkPlan" in df._jdf.queryExecution().executedPlan().toString():
+        return df
     n = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(n) if df.rdd.getNumPartitions() < n else df
 
