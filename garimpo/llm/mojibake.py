@@ -177,17 +177,21 @@ def readings(word: str, depth: int = 3) -> list[tuple[tuple[str, ...], float, st
         if not level:
             break
     strange = odd(word)
-    for s in byte:
+    for s in byte if word[0] not in TYPOGRAPHIC and word[-1] not in TYPOGRAPHIC else ():
         got = s.undo(word)
         if got is not None and got not in out and not odd(got) and not _RUNS.search(got):
             out[got] = ((s.label,), s.cost if strange else HELD, got)
     return list(out.values())
 
 
+# Marks and signs that are usual in any text. Fixed values.
+TYPOGRAPHIC = "–—‘’“”…€£"
+
+
 def odd(word: str) -> bool:
     """Whether a word has characters that a well-decoded one would not have where they stand."""
     for i, c in enumerate(word):
-        if c < "\x80" or c in "–—‘’“”…€£":
+        if c < "\x80" or c in TYPOGRAPHIC:
             continue
         if c not in LETTERS:
             if c.isalpha() or word[i - 1 : i].isalpha() or word[i + 1 : i + 2].isalpha():
@@ -352,9 +356,10 @@ class Repairer:
                 break
             c, changed = best
             every = by[c] | held.get(c, {})
+            with_letters = {w: g for w, g in every.items() if any(x.isalpha() for x in w)}
             for i, o in enumerate(own) if c in held else ():
                 if any(w in held[c] for w in o):
-                    got = self._apply(chunks[i], every)
+                    got = self._apply(chunks[i], with_letters if i in changed else every)
                     less = self.length(changed.get(i, chunks[i]), language) - self.length(got, language)
                     if less > 0 or less == 0 and i in changed:  # in an affected passage a tie goes to the chain
                         changed[i] = got
