@@ -52,6 +52,8 @@ LEVELS = (3, 9, 15)
 UTF8_STEP, BYTE_STEP, FILL = 0.5, 1.0, 2.0
 #: Bytes that it costs to apply a chain to one more passage.
 PLACE = 0.25
+#: Bytes that an odd word costs as it stands, on top of its length, where the reading is valid UTF-8.
+ODD = 4.0
 #: Marks a reading that counts only once its chain has been seen in the text.
 HELD = -1.0
 MEMO = 200_000
@@ -347,6 +349,8 @@ class Repairer:
                     if any(w in to for w in o):
                         got = self._apply(chunks[i], to)
                         less = size(i) - self.length(got, language) - PLACE
+                        if c[0].startswith("utf-8"):
+                            less += ODD * sum(1 for w in o if w in to and odd(w) and not odd(to[w]))
                         if less > 0:
                             changed[i] = got
                             total += less
