@@ -52,7 +52,7 @@ LEVELS = (3, 9, 15)
 UTF8_STEP, BYTE_STEP, FILL = 0.5, 1.0, 2.0
 #: Bytes that it costs to apply a chain to one more passage.
 PLACE = 0.25
-#: Bytes that an odd word costs as it stands, on top of its length, where the reading is valid UTF-8.
+#: Bytes that an odd word costs as it stands, on top of its length, where the reading is valid UTF-8 or a known word.
 ODD = 4.0
 #: Marks a reading that counts only once its chain has been seen in the text.
 HELD = -1.0
@@ -245,8 +245,20 @@ class Repairer:
             for d in dictionaries.values()
         ]
         self.content = b"\n".join(dictionaries.values())
+        self.words: dict[str, bool] = {}
         self.memo: dict[bytes, list] = {}
 
+    def known(self, word: str) -> bool:
+        """Whether a dictionary has the word as such."""
+        got = self.words.get(word)
+        if got is None:
+            bare = word.strip(".,;:!?()\"'“”«»").lower()
+            got = len(bare) >= 3 and any(f"{a}{bare}".encode() in self.content for a in " (\n")
+            if len(self.words) > MEMO:
+                self.words.clear()
+            self.words[word] = got
+        return got
+
     def language(self, texts: list[str]) -> int:
         """The dictionary that describes these passages best."""
         b = [t.encode("utf-8", "replace") for t in texts]
@@ -349,8 +361,8 @@ class Repairer:
                     if any(w in to for w in o):
                         got = self._apply(chunks[i], to)
                         less = size(i) - self.length(got, language) - PLACE
-                        if c[0].startswith("utf-8"):
-                            less += ODD * sum(1 for w in o if w in to and odd(w) and not odd(to[w]))
+                        valid = c[0].startswith("utf-8")
+                        less += ODD * sum(1 for w in o if w in to and odd(w) and not odd(to[w]) and (valid or self.known(to[w])))
                         if less > 0:
                             changed[i] = got
                             total += less
