@@ -234,6 +234,8 @@ def _sql_plain(clean: str) -> str:
 _THOUGHT = f"regexp_replace({sql_strip('raw')}, '{parsing.THINK}', '', 'g')"
 _CLEAN = sql_strip(f"regexp_replace({sql_strip(_THOUGHT)}, '{parsing.FENCE}', '\\1', 'g')")
 _PLAIN = _sql_plain(_CLEAN)
+_STRICT = sql_strip(f"regexp_replace(coalesce(raw, ''), '{parsing.THINK_STRICT}', '', 'g')")
+_BODY = r"```(?:json)?\s*([\s\S]*?)\s*```"
 _NAME_NULLS = ", ".join(f"'{w}'" for w in N.PARSE_NAME_NULLS)
 _PUBLIC = " OR ".join(f"contains(lower(coalesce(nome, '')), '{t}')" for t in filters.PUBLIC_BODIES)
 
@@ -324,6 +326,8 @@ SQL = {
         {sql_rg("rg", False)} AS rg_simples, {_in("i", N.SCORE_NULLS)} AS vazio FROM ({_BOTH_IDS})""",
     "strip_suffixes": f"SELECT empresa_id, {sql_firm('nome')} AS nome, replace(coalesce(nome, ''), ',', ' -') AS seguro FROM empresa",
     "clean_response": f"SELECT resposta_id, {_CLEAN} AS limpa, {_PLAIN} AS corrida FROM parse_resposta_v1",
+    "strict_object": f"""SELECT resposta_id, CASE WHEN regexp_extract(b, '(\\{{[\\s\\S]*\\}})', 1) = '' THEN b ELSE regexp_extract(b, '(\\{{[\\s\\S]*\\}})', 1) END AS objeto FROM (SELECT resposta_id,
+        CASE WHEN regexp_matches(t, '{_BODY}') THEN {sql_strip(f"regexp_extract(t, '{_BODY}', 1)")} ELSE t END AS b FROM (SELECT resposta_id, {_STRICT} AS t FROM parse_resposta_v1))""",
     "parse_company_text": _unnested(_FIRM_ITEMS, {"nome": "items[i].nome", "cnpj": "items[i].cnpj"}, "empresas"),
     "parse_person_text": _unnested(_PERSON_ITEMS, {"nome": "items[i].nome", "cpf": "items[i].cpf", "rg": "items[i].rg"}, "pessoas"),
     "public_filter": f"SELECT empresa_id, nome FROM empresa WHERE {_PUBLIC}",
