@@ -115,7 +115,10 @@ def _keys(t: str, k: str, fields: tuple[str, ...]) -> str:
 
 
 _BOTH = " UNION ALL ".join(_keys(*r) for r in RECORDS)
+_WINDOWS = """SELECT DISTINCT {id}, array_to_string(w[i:i + 11], ' ') AS g FROM (SELECT {id}, w, unnest(generate_series(1, len(w) - 11)) AS i
+    FROM (SELECT {id}, regexp_extract_all(strip_accents(lower(text)), '[\\p{{L}}\\p{{N}}]+') AS w FROM {t}))"""
 SQL = {
+    "p6_found": f"""SELECT DISTINCT doc_id, item_id FROM ({_WINDOWS.format(id="doc_id", t="documents")}) JOIN ({_WINDOWS.format(id="item_id", t="itens_avaliacao")}) USING (g)""",
     "p4_found": "SELECT load_id FROM loader WHERE length(text) > 4000",
     "p5_found": f"""WITH k AS ({_BOTH})
         SELECT a.tabela, a.id AS id_menor, b.id AS id_maior FROM k a JOIN k b
