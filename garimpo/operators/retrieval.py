@@ -1,7 +1,7 @@
 """Exact top-k retrieval by squared L2 distance, and context assembly.
 
-Within a document the query and its chunks meet in an equi-join. Against a whole
-table, queries are taken in blocks of bounded size: a block is shipped, every
+Within a document the query and its chunks meet in an equi-join, for a document
+bounds both. Against a whole table, or a scope that may hold much of it, queries are taken in blocks of bounded size: a block is shipped, every
 partition keeps its k best for each query with one matrix product a batch, and
 only those candidates are shuffled.
 """
@@ -32,7 +32,7 @@ def squared_distance(a: Column, b: Column) -> Column:
 
 
 def top_k_in_scope(queries: DataFrame, chunks: DataFrame, scope: str, query: str, chunk: str, vector: str, k: int, keep: tuple[str, ...] = ()) -> DataFrame:
-    """The k nearest chunks of the query's own scope, with the columns ``keep`` of the chunk; ties by chunk id. Fewer chunks than k give all."""
+    """The k nearest chunks of the query's own document, with the columns ``keep`` of the chunk; ties by chunk id. Fewer chunks than k give all."""
     q = queries.select(scope, F.col(query).alias("_q"), F.col(vector).alias("_qv"))
     c = chunks.select(scope, F.col(chunk).alias("_c"), F.col(vector).alias("_cv"), *keep)
     near = q.join(c, scope).select(scope, "_q", "_c", squared_distance(F.col("_qv"), F.col("_cv")).alias("dist"), *keep)
@@ -40,42 +40,55 @@ def top_k_in_scope(queries: DataFrame, chunks: DataFrame, scope: str, query: str
     return near.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k).select(scope, F.col("_q").alias("query_id"), F.col("_c").alias("chunk_id"), "rank", "dist", *keep)
 
 
-def top_k(queries: DataFrame, rows: DataFrame, query: str, row: str, vector: str, k: int) -> DataFrame:
-    """The k nearest of all rows for each query; reads the queries block by block when called."""
+def top_k(queries: DataFrame, rows: DataFrame, query: str, row: str, vector: str, k: int, scope: str | None = None) -> DataFrame:
+    """The k nearest of all rows for each query, or of those with the query's ``scope`` where a scope may be large.
+
+    Reads the queries block by block when called. Ties by row id; null vectors
+    and null scopes match nothing.
+    """
     spark = rows.sparkSession
+    here = F.col(scope).cast("string") if scope else F.lit("")
 
-    def scan(ids: list[int], vectors: np.ndarray) -> DataFrame:
-        held = spark.sparkContext.broadcast((np.array(ids), vectors))
+    def scan(block: list) -> DataFrame:
+        held = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            qid, q = held.value
-            best_d, best_i = np.full((len(q), 0), np.inf), np.zeros((len(q), 0), np.int64)
+            by: dict[str, list] = {}
+            for q, s, v in held.value:
+                by.setdefault(s, []).append((q, v))
+            groups = {s: (np.array([q for q, _ in g]), np.array([v for _, v in g], np.float64)) for s, g in by.items()}
+            best: dict[str, tuple[np.ndarray, np.ndarray]] = {}
             for b in batches:
                 if not b.num_rows:
                     continue
-                x = np.array(b.column(1).to_pylist(), np.float64)
-                i = b.column(0).to_numpy(zero_copy_only=False)
-                d = (q * q).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * q @ x.T
-                best_d = np.hstack([best_d, d])
-                best_i = np.hstack([best_i, np.broadcast_to(i, d.shape)])
-                # a little more than k, since the product rounds; the exact distance decides afterwards
-                order = np.lexsort((best_i, best_d), axis=1)[:, : k + 8]
-                best_d, best_i = np.take_along_axis(best_d, order, 1), np.take_along_axis(best_i, order, 1)
-            n = best_i.shape[1]
-            if n:
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, n)), pa.array(best_i.ravel())], names=["_q", "_c"])
-
-        return rows.select(F.col(row).cast("long"), vector).filter(F.col(vector).isNotNull()).mapInArrow(run, "_q long, _c long")
-
-    blocks, ids, vectors = [], [], []
-    for r in queries.select(F.col(query).cast("long"), vector).filter(F.col(vector).isNotNull()).toLocalIterator():
-        ids.append(r[0])
-        vectors.append(r[1])
-        if len(ids) == BLOCK:
-            blocks.append(scan(ids, np.array(vectors, np.float64)))
-            ids, vectors = [], []
-    if ids:
-        blocks.append(scan(ids, np.array(vectors, np.float64)))
+                ids = b.column(0).to_numpy(zero_copy_only=False)
+                vectors = np.array(b.column(1).to_pylist(), np.float64)
+                at: dict[str, list[int]] = {}
+                for n, s in enumerate(b.column(2).to_pylist()):
+                    if s in groups:
+                        at.setdefault(s, []).append(n)
+                for s, ns in at.items():
+                    q, x, i = groups[s][1], vectors[ns], ids[ns]
+                    d = (q * q).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * q @ x.T
+                    i = np.broadcast_to(i, d.shape)
+                    if s in best:
+                        d, i = np.hstack([best[s][0], d]), np.hstack([best[s][1], i])
+                    # a little more than k, since the product rounds; the exact distance decides afterwards
+                    order = np.lexsort((i, d), axis=1)[:, : k + 8]
+                    best[s] = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
+            for s, (_, i) in best.items():
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(groups[s][0], i.shape[1])), pa.array(i.ravel())], names=["_q", "_c"])
+
+        return rows.select(F.col(row).cast("long"), vector, here.alias("_s")).filter(F.col(vector).isNotNull()).mapInArrow(run, "_q long, _c long")
+
+    blocks, block = [], []
+    for r in queries.select(F.col(query).cast("long"), here, vector).filter(F.col(vector).isNotNull()).toLocalIterator():
+        block.append(tuple(r))
+        if len(block) == BLOCK:
+            blocks.append(scan(block))
+            block = []
+    if block:
+        blocks.append(scan(block))
     if not blocks:
         return spark.createDataFrame([], "query_id long, chunk_id long, rank int, dist double")
     candidates = reduce(DataFrame.unionByName, blocks)

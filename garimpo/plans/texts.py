@@ -48,12 +48,12 @@ def topk_retrieval(spark: SparkSession, d: str) -> DataFrame:
 
 def topk_scoped(spark: SparkSession, d: str) -> DataFrame:
     q, v = _vectors(spark, d)
-    return retrieval.top_k_in_scope(q, v, "label", "vec_id", "vec_id", "embedding", K).withColumn("dist", F.round("dist", 6))
+    return retrieval.top_k(q, v, "vec_id", "vec_id", "embedding", K, "label").withColumn("dist", F.round("dist", 6))
 
 
 def context_assembly(spark: SparkSession, d: str) -> DataFrame:
     q, v = _vectors(spark, d)
-    ranked = retrieval.top_k_in_scope(q, v, "label", "vec_id", "vec_id", "embedding", K)
+    ranked = retrieval.top_k(q, v, "vec_id", "vec_id", "embedding", K, "label")
     texts = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
     return retrieval.contexts(ranked.join(texts, "chunk_id"), "query_id", "text")
 
@@ -316,7 +316,7 @@ SQL = {
     "chunk_pieces": """SELECT load_id, (i - 1)::INT AS ord, p[i] AS peca FROM (SELECT load_id, p, unnest(generate_series(1, len(p))) AS i FROM (SELECT load_id,
         list_filter(list_transform(string_split(text, ';'), lambda x, i: CASE WHEN i = 1 THEN x ELSE ';' || x END), lambda x: x <> '') AS p FROM loader WHERE text IS NOT NULL))""",
     "topk_retrieval": f"SELECT query_id, chunk_id, rank, round(dist, 6) AS dist FROM ({_ranked('true')})",
-    "topk_scoped": f"SELECT label, query_id, chunk_id, rank, round(dist, 6) AS dist FROM ({_ranked('q.label = r.label')})",
+    "topk_scoped": f"SELECT query_id, chunk_id, rank, round(dist, 6) AS dist FROM ({_ranked('q.label = r.label')})",
     "context_assembly": f"SELECT query_id, substring(string_agg(text, chr(10) || chr(10) ORDER BY rank), 1, 30000) AS contexto FROM ({_ranked('q.label = r.label')}) JOIN documents ON doc_id = chunk_id GROUP BY query_id",
     "unit_vectors": """SELECT vec_id, round(list_sum(list_transform(u, lambda x: x * x)), 6) AS norma, round(u[1], 6) AS primeiro FROM (SELECT vec_id, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS u
         FROM (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE * 3) AS v FROM embeddings))""",

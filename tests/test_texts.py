@@ -45,6 +45,8 @@ def test_top_k(spark):
         assert [got[a, k] for k in range(1, 5)] == want
     scoped = retrieval.top_k_in_scope(q, df.filter("v is not null"), "scope", "id", "id", "v", 100)
     assert scoped.count() == 60
+    one = retrieval.top_k(q, df, "id", "id", "v", 4, "scope").orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.chunk_id) for r in one] == [(r.query_id, r.chunk_id) for r in scoped.filter("rank <= 4").orderBy("query_id", "rank").collect()]
     assert retrieval.top_k(q.limit(0), df, "id", "id", "v", 4).count() == 0
 
 
