@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from garimpo.functions import normalize as N
 from garimpo.operators import quarantine
 from garimpo.session import ship, table
 
@@ -26,4 +27,65 @@ def p3_records(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {"p3_found": p3_found, "p3_rejected": p3_rejected, "p3_records": p3_records}
-SQL: dict[str, str] = {}
+
+
+def _strip(x: str) -> str:
+    return f"regexp_replace(coalesce({x}, ''), '^[{N.SPACE}]+|[{N.SPACE}]+$', '', 'g')"
+
+
+_EMPTY = ", ".join(f"'{v}'" for v in sorted(quarantine.EMPTY))
+
+
+def _empty(x: str) -> str:
+    return f"(lower({_strip(x)}) IN ({_EMPTY}))"
+
+
+def _ident(x: str, n: int) -> str:
+    return f"({_empty(x)} OR regexp_full_match(regexp_replace({_strip(x)}, '[ ./-]', '', 'g'), '[0-9]{{{n}}}'))"
+
+
+def _rg(x: str) -> str:
+    return f"({_empty(x)} OR regexp_full_match(regexp_replace({_strip(x)}, '[ .-]', '', 'g'), '[0-9]{{4,9}}[0-9Xx]'))"
+
+
+_CLEAN = _strip("regexp_replace(regexp_replace(raw, '(?is)<think>.*?</think>', '', 'g'), '```[A-Za-z]*', '', 'g')")
+_FIELD = r'((?:[^",\r\n]*|\s*"(?:[^"]|"")*"\s*))'
+_CSV = f"^{','.join([_FIELD] * 5)}$"
+
+
+def _bare(k: str) -> str:
+    x = _strip(f"c.{k}")
+    return f"CASE WHEN starts_with({x}, '\"') THEN {_strip(f'''replace({x}[2:-2], '""', '"')''')} ELSE {x} END"
+
+
+def _items(e: str) -> str:
+    """Whether a list element of JSON is good, for either question."""
+    def text(k: str) -> str:
+        return f"coalesce(json_type({e}, '$.{k}') IN ('VARCHAR', 'NULL'), false)"
+
+    def value(k: str) -> str:
+        return f"json_extract_string({e}, '$.{k}')"
+
+    firm = f"{text('cnpj')} AND {_ident(value('cnpj'), 14)}"
+    person = f"{text('cpf')} AND {text('rg')} AND {_ident(value('cpf'), 11)} AND {_rg(value('rg'))}"
+    return f"coalesce(json_type({e}) = 'OBJECT', false) AND {text('nome')} AND NOT {_empty(value('nome'))} AND CASE WHEN pergunta = 'empresas' THEN {firm} ELSE {person} END"
+
+
+_F = "string_split(r, ',')"
+_RECORD = f"""len({_F}) = CASE WHEN pergunta = 'empresas' THEN 2 ELSE 3 END AND NOT {_empty(f"{_F}[1]")}
+    AND CASE WHEN pergunta = 'empresas' THEN {_ident(f"{_F}[2]", 14)} ELSE {_ident(f"{_F}[2]", 11)} AND {_rg(f"{_F}[3]")} END"""
+_RECORDS = f"list_filter(string_split(t, ';'), lambda r: {_strip('r')} <> '')"
+_LIST = f"len({_RECORDS}) > 0 AND len(list_filter({_RECORDS}, lambda r: NOT ({_RECORD}))) = 0"
+_ARRAY = "CASE WHEN pergunta = 'empresas' THEN json_extract(j, '$.empresas') ELSE json_extract(j, '$.socios') END"
+_JSON = f"coalesce(json_type(j) = 'OBJECT' AND json_type({_ARRAY}) = 'ARRAY' AND json_array_length({_ARRAY}) > 0, false) AND coalesce(len(list_filter(json_extract({_ARRAY}, '$[*]'), lambda e: NOT ({_items('e')}))) = 0, false)"
+_ROW = f"""a <> '' AND lower(k) IN ('empresa', 'pessoa') AND NOT {_empty("n")} AND CASE WHEN lower(k) = 'empresa' THEN {_ident("i", 14)} AND {_empty("x")} ELSE {_ident("i", 11)} AND {_rg("x")} END"""
+
+# DuckDB's reader also takes trailing commas and NaN, which RFC 8259 does not
+_LOOSE = r"""regexp_matches(regexp_replace(t, '"(?:[^"\\]|\\.)*"', '""', 'g'), '(?i),\s*[}\]]|nan|inf')"""
+
+SQL: dict[str, str] = {
+    "p3_found": f"""WITH t AS (SELECT resposta_id, formato, pergunta, {_CLEAN} AS t FROM parse_resposta_v1),
+        j AS (SELECT *, CASE WHEN formato = 'json' AND json_valid(t) AND NOT {_LOOSE} THEN t::JSON END AS j, CASE WHEN formato = 'csv' AND regexp_matches(t, '{_CSV}') THEN regexp_extract(t, '{_CSV}', ['a', 'k', 'n', 'i', 'x']) END AS c FROM t),
+        f AS (SELECT *, {_bare("a")} AS a, {_bare("k")} AS k, {_bare("n")} AS n, {_bare("i")} AS i, {_bare("x")} AS x FROM j)
+        SELECT resposta_id FROM f WHERE NOT coalesce(t <> '' AND CASE formato WHEN 'csv' THEN c IS NOT NULL AND {_ROW} WHEN 'lista' THEN {_LIST} WHEN 'json' THEN {_JSON} ELSE false END, false)""",
+}
