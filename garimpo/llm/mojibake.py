@@ -39,7 +39,7 @@ from collections.abc import Iterator
 from functools import cache, lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from garimpo.session import spread, text_batches
@@ -442,11 +442,17 @@ def samples(docs: DataFrame, doc: str, text: str, lang: str) -> dict[str, list[s
     """A bounded sample of labelled documents by language; reads the table when called."""
     code = F.substring(F.lower(F.trim(F.col(lang))), 1, 2)
     code = F.when(code == "po", "pt").otherwise(code)
-    labelled = docs.select(F.col(doc).cast("long").alias("_id"), code.alias("_lang"), F.length(text).alias("_n")).filter(F.col("_lang").isin(*SEEDS))
-    out = {}
-    for k in SEEDS:
-        ids = [r[0] for r in labelled.filter((F.col("_lang") == k) & (F.col("_n") > 200)).orderBy(F.xxhash64("_id"), "_id").limit(TRAIN_DOCS).select("_id").collect()]
-        out[k] = [r[0] for r in docs.filter(F.col(doc).isin(ids)).select(text).collect()] if ids else []
+    labelled = docs.select(F.col(doc).cast("long").alias("_id"), code.alias("_lang")).filter(F.col("_lang").isin(*SEEDS))
+    least = Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id")
+    chosen = labelled.withColumn("_n", F.row_number().over(least)).filter(F.col("_n") <= TRAIN_DOCS).drop("_n").toArrow()
+    out: dict[str, list[str]] = {k: [] for k in SEEDS}
+    if chosen.num_rows:
+        # at most TRAIN_DOCS ids for each language
+        wanted = docs.sparkSession.createDataFrame(chosen)
+        texts = docs.select(F.col(doc).cast("long").alias("_id"), F.col(text).cast("string").alias("_text")).join(F.broadcast(wanted), "_id")
+        for r in sorted(texts.select("_lang", "_id", "_text").collect(), key=lambda r: (r[0], r[1], r[2] or "")):
+            if r[2]:
+                out[r[0]].append(r[2])
     return out
 
 
