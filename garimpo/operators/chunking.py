@@ -69,7 +69,8 @@ def chunks(text: Column | str, size: int = SIZE, overlap: int = OVERLAP, separat
     def run(texts: pd.Series) -> pd.Series:
         return pd.Series([split_text(t, size, overlap, sep) if isinstance(t, str) else None for t in texts], dtype=object)
 
-    return run(F.col(text) if isinstance(text, str) else text)
+    # nondeterministic: else the planner would run it twice, in a filter that it infers below an explode
+    return run.asNondeterministic()(F.col(text) if isinstance(text, str) else text)
 
 
 def pieces(text: Column | str, separator: str) -> Column:
@@ -79,4 +80,4 @@ def pieces(text: Column | str, separator: str) -> Column:
 
 def chunk_table(df: DataFrame, key: str, text: str, size: int = SIZE, overlap: int = OVERLAP, separators: Sequence[str] = SEPARATORS) -> DataFrame:
     """(key, chunk_idx, chunk); a text without any separator is one chunk."""
-    return df.select(key, F.posexplode(chunks(text, size, overlap, separators)).alias("chunk_idx", "chunk"))
+    return df.select(key, chunks(text, size, overlap, separators).alias("_chunks")).select(key, F.posexplode("_chunks").alias("chunk_idx", "chunk"))

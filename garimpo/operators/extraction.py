@@ -174,13 +174,15 @@ def independent(answers: DataFrame, key: str, raw: str, kind: str) -> DataFrame:
     """Flat entities (arquivo, tipo_entidade, nome, identificador, aux) from answers of both kinds of question."""
     firms = (
         answers.filter(F.col(kind) == "empresas")
-        .select(key, F.posexplode(parsing.lenient_companies(raw).getField("itens")).alias("ord", "e"))
+        .select(key, parsing.lenient_companies(raw).alias("_r"))
+        .select(key, F.posexplode("_r.itens").alias("ord", "e"))
         .select(F.col(key).alias("arquivo"), "ord", F.lit("Empresa").alias("tipo_entidade"), N.sanitize("e.nome").alias("nome"), F.col("e.cnpj").alias("identificador"), F.lit("").alias("aux"))
         .filter((N.strip("nome") != "") & ~filters.is_public_body("nome"))
     )
     persons = (
         answers.filter(F.col(kind) == "pessoas")
-        .select(key, F.posexplode(parsing.lenient_persons(raw).getField("itens")).alias("ord", "e"))
+        .select(key, parsing.lenient_persons(raw).alias("_r"))
+        .select(key, F.posexplode("_r.itens").alias("ord", "e"))
         .select(F.col(key).alias("arquivo"), "ord", F.lit("Pessoa").alias("tipo_entidade"), N.sanitize("e.nome").alias("nome"), F.col("e.cpf").alias("identificador"), F.col("e.rg").alias("aux"))
         .filter(N.strip("nome") != "")
     )

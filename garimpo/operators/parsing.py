@@ -181,7 +181,7 @@ def _lenient(shape: Shape):
         got = [read_lenient(c, [tuple(r[k] for k in shape.columns) for r in t], shape) for c, t in zip(cleaned, rows)]
         return pd.DataFrame({"itens": pd.Series([[dict(zip(shape.columns, r)) for r in g[0]] for g in got], dtype=object), "erro": pd.Series([g[1] for g in got], dtype=object)})
 
-    return run
+    return run.asNondeterministic()  # else it would be run again in filters inferred from what is done with its rows
 
 
 def lenient_companies(raw: Column | str) -> Column:

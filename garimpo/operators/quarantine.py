@@ -404,6 +404,10 @@ def _read(raw: pd.Series, formato: pd.Series, pergunta: pd.Series) -> pd.DataFra
     )
 
 
+# else the planner would run it a second time, in a filter that it infers below an explode
+_read = _read.asNondeterministic()
+
+
 def read_answers(df: DataFrame, key: str, raw: str = "raw", formato: str = "formato", pergunta: str = "pergunta") -> DataFrame:
     """``key`` and the struct ``lido``: records, or reason, detail and offset."""
     return df.select(F.col(key), _read(F.col(raw), F.col(formato), F.col(pergunta)).alias("lido"))
