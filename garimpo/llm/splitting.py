@@ -157,6 +157,10 @@ def _cuts(texts: pd.Series, limit: pd.Series, overlap: pd.Series) -> pd.Series:
     )
 
 
+# else the planner would run it a second time, in a filter that it infers below an explode
+_cuts = _cuts.asNondeterministic()
+
+
 def split_oversized(df: DataFrame, text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
     """The rows whose text is longer than ``limit``, with ``pecas``, an array of pieces in order."""
     if not 0 <= overlap < limit // 2:
