@@ -271,6 +271,26 @@ _PERSON_ITEMS = f"""list_filter(list_transform({_RECORDS}, lambda r: {{'nome': t
 
 _BOTH_IDS = "SELECT 'empresa' AS tabela, empresa_id AS id, arquivo, cnpj AS i, NULL::VARCHAR AS rg FROM empresa UNION ALL SELECT 'socio', socio_id, arquivo, cpf, rg FROM socio"
 
+_OBJECT = f"""SELECT resposta_id, CASE WHEN regexp_extract(b, '(\\{{[\\s\\S]*\\}})', 1) = '' THEN b ELSE regexp_extract(b, '(\\{{[\\s\\S]*\\}})', 1) END AS objeto FROM (SELECT resposta_id,
+    CASE WHEN regexp_matches(t, '{_BODY}') THEN {sql_strip(f"regexp_extract(t, '{_BODY}', 1)")} ELSE t END AS b FROM (SELECT resposta_id, {_STRICT} AS t FROM parse_resposta_v1 WHERE @))"""
+
+
+def _strict_rows(asked: str, key: str, good: str, cols: dict[str, str]) -> str:
+    """Rows of the lists all of whose items are good; DuckDB's reader also takes trailing commas and NaN."""
+    loose = r"""regexp_matches(regexp_replace(objeto, '"(?:[^"\\]|\\.)*"', '""', 'g'), '(?i),\s*[}\]]|nan|inf')"""
+    lists = f"SELECT resposta_id, json_extract(CASE WHEN json_valid(objeto) AND NOT {loose} THEN objeto::JSON END, '$.{key}[*]') AS l FROM ({_OBJECT.replace('@', f"pergunta = '{asked}'")})"
+    kept = f"SELECT resposta_id, l, unnest(generate_series(1, len(l))) AS i FROM ({lists}) WHERE len(list_filter(l, lambda e: NOT coalesce({good}, false))) = 0"
+    return f"SELECT resposta_id, (i - 1)::INT AS ord, {', '.join(f'{v} AS {k}' for k, v in cols.items())} FROM (SELECT resposta_id, i, l[i] AS e FROM ({kept}))"
+
+
+def _js(k: str) -> str:
+    return f"json_extract_string(e, '$.{k}')"
+
+
+_STRICT_FIRM = f"json_type(e, '$.nome') = 'VARCHAR' AND json_type(e, '$.cnpj') = 'VARCHAR' AND {sql_strip(_js('nome'))} <> '' AND {sql_strip(_js('cnpj'))} <> ''"
+_STRICT_PARTNER = f"""json_type(e, '$.nome') = 'VARCHAR' AND {sql_strip(_js("nome"))} <> '' AND coalesce(json_type(e, '$.cpf'), 'VARCHAR') = 'VARCHAR' AND coalesce(json_type(e, '$.rg'), 'VARCHAR') = 'VARCHAR'
+    AND (NOT {_in(_js("cpf"), N.SCHEMA_DOC_NULLS)} OR NOT {_in(_js("rg"), N.SCHEMA_DOC_NULLS)})"""
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -326,8 +346,9 @@ SQL = {
         {sql_rg("rg", False)} AS rg_simples, {_in("i", N.SCORE_NULLS)} AS vazio FROM ({_BOTH_IDS})""",
     "strip_suffixes": f"SELECT empresa_id, {sql_firm('nome')} AS nome, replace(coalesce(nome, ''), ',', ' -') AS seguro FROM empresa",
     "clean_response": f"SELECT resposta_id, {_CLEAN} AS limpa, {_PLAIN} AS corrida FROM parse_resposta_v1",
-    "strict_object": f"""SELECT resposta_id, CASE WHEN regexp_extract(b, '(\\{{[\\s\\S]*\\}})', 1) = '' THEN b ELSE regexp_extract(b, '(\\{{[\\s\\S]*\\}})', 1) END AS objeto FROM (SELECT resposta_id,
-        CASE WHEN regexp_matches(t, '{_BODY}') THEN {sql_strip(f"regexp_extract(t, '{_BODY}', 1)")} ELSE t END AS b FROM (SELECT resposta_id, {_STRICT} AS t FROM parse_resposta_v1))""",
+    "strict_object": _OBJECT.replace("@", "true"),
+    "strict_companies": _strict_rows("empresas", "empresas", _STRICT_FIRM, {"nome": sql_strip(_js("nome")), "cnpj": sql_strip(_js("cnpj"))}),
+    "strict_partners": _strict_rows("pessoas", "socios", _STRICT_PARTNER, {"nome": sql_strip(_js("nome")), "cpf": f"coalesce({_js('cpf')}, '')", "rg": f"coalesce({_js('rg')}, '')"}),
     "parse_company_text": _unnested(_FIRM_ITEMS, {"nome": "items[i].nome", "cnpj": "items[i].cnpj"}, "empresas"),
     "parse_person_text": _unnested(_PERSON_ITEMS, {"nome": "items[i].nome", "cpf": "items[i].cpf", "rg": "items[i].rg"}, "pessoas"),
     "public_filter": f"SELECT empresa_id, nome FROM empresa WHERE {_PUBLIC}",
