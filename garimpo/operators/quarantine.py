@@ -229,10 +229,6 @@ def is_empty(v: str | None) -> bool:
     return v is None or v.strip().lower() in EMPTY
 
 
-def _held(v: str | None) -> str | None:
-    return None if is_empty(v) else v.strip()
-
-
 def _name(v: str | None, at: int) -> str:
     if is_empty(v):
         raise Rejected("valor", "nome vazio", at)
