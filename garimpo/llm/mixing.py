@@ -42,7 +42,7 @@ from garimpo.session import shared_dir, spread, text_batches
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 # The word pattern that these vocabularies were made with. Fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-BUCKET_BITS = 12
+BUCKET_BITS = 10
 BUCKETS = 1 << BUCKET_BITS
 BLOCKS = 1 << 15
 #: Most targets that are taken to the driver.
