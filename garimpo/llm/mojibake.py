@@ -52,6 +52,8 @@ LEVELS = (3, 9, 15)
 UTF8_STEP, BYTE_STEP, FILL = 0.5, 1.0, 2.0
 #: Bytes that it costs to apply a chain to one more passage.
 PLACE = 0.25
+#: Bytes that it costs to say of a passage that a chain applies to it.
+STATED = 1.5
 #: Bytes that an odd word costs as it stands, on top of its length, where the reading is valid UTF-8 or a known word.
 ODD = 4.0
 #: Marks a reading that counts only once its chain has been seen in the text.
@@ -301,7 +303,7 @@ class Repairer:
             got = self._choose(chunks, found)
             if got:
                 chunks, chains, places = got
-                text = self._whole(text, chunks, chains)
+                text, chains = self._whole(text, chunks, chains)
         if _LOST.search(text):
             filled, n = self._fill(text, bool(chains))
             if n:
@@ -313,16 +315,24 @@ class Repairer:
             return None
         return text, chains, places, not lost
 
-    def _whole(self, text: str, chunks: list[str], chains: list[str]) -> str:
-        """The repaired passages, or the whole text undone at once where one step between one-byte encodings describes it as well."""
+    def _whole(self, text: str, chunks: list[str], chains: list[str]) -> tuple[str, list[str]]:
+        """The repaired passages, or the whole text undone at once by its first chain.
+
+        For one step between one-byte encodings only. A chain that holds for the
+        whole text need not be stated for each passage, which is taken off its
+        length.
+        """
         done = "".join(chunks)
-        step = next((s for s in steps()[1] if [s.label] == chains), None)
+        step = next((s for s in steps()[1] if s.label == chains[0]), None)
         raw = charset(step.wrong).encode(text) if step else None
         if raw is None:
-            return done
+            return done, chains
         whole = "".join([charset(step.right).table[n] for n in raw])
         k = self.language(chunks)
-        return whole if sum(self.length(p, k) for p in passages(whole)) <= sum(self.length(p, k) for p in passages(done)) else done
+        before = set(passages(text))
+        stated = STATED * sum(1 for c in chunks if c not in before)
+        longer = sum(self.length(p, k) for p in passages(whole)) - sum(self.length(p, k) for p in chunks)
+        return (whole, chains[:1]) if longer <= stated else (done, chains)
 
     def _apply(self, chunk: str, to: dict[str, str]) -> str:
         def one(m: re.Match) -> str:
