@@ -117,7 +117,13 @@ def _keys(t: str, k: str, fields: tuple[str, ...]) -> str:
 _BOTH = " UNION ALL ".join(_keys(*r) for r in RECORDS)
 _WINDOWS = """SELECT DISTINCT {id}, array_to_string(w[i:i + 11], ' ') AS g FROM (SELECT {id}, w, unnest(generate_series(1, len(w) - 11)) AS i
     FROM (SELECT {id}, regexp_extract_all(strip_accents(lower(text)), '[\\p{{L}}\\p{{N}}]+') AS w FROM {t}))"""
+_SCRIPTS = " + ".join(f"regexp_matches(w, '\\p{{{x}}}')::INT" for x in ("Latin", "Cyrillic", "Greek", "Armenian", "Cherokee"))
 SQL = {
+    # stated by kinds of characters, where the operator goes by its mapping
+    "p1_found": f"""SELECT tabela, registro_id FROM (SELECT 'empresa' AS tabela, empresa_id AS registro_id, nome FROM empresa UNION ALL SELECT 'socio', socio_id, nome FROM socio)
+        WHERE regexp_matches(nome, '[\\p{{Cf}}\\x00-\\x08\\x0e-\\x1b\\x7f-\\x84\\x86-\\x9f]') OR nfc_normalize(nome) <> nome
+        OR regexp_matches(nome, '[\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}\\x{{ff01}}-\\x{{ff5e}}\\x{{fb00}}-\\x{{fb06}}]')
+        OR len(list_filter(regexp_extract_all(nome, '[\\p{{L}}\\p{{M}}]+'), lambda w: {_SCRIPTS} > 1)) > 0""",
     "p6_found": f"""SELECT DISTINCT doc_id, item_id FROM ({_WINDOWS.format(id="doc_id", t="documents")}) JOIN ({_WINDOWS.format(id="item_id", t="itens_avaliacao")}) USING (g)""",
     "p4_found": "SELECT load_id FROM loader WHERE length(text) > 4000",
     "p5_found": f"""WITH k AS ({_BOTH})
