@@ -184,8 +184,8 @@ _CNPJ, _CPF = r"[0-9]{2}\.[0-9]{3}\.[0-9]{3}/[0-9]{4}-[0-9]{2}", r"[0-9]{3}\.[0-
 def extract_chained(spark: SparkSession, d: str) -> DataFrame:
     ship(spark)
     text_batches(spark)
-    docs = spread(table(spark, d, "documents").select("arquivo", "text")).select("arquivo", files.truncate("text", MAX_CHARS).alias("texto"))
-    got = extraction.chained(docs, "arquivo", "texto", extraction.Patterns)
+    docs = spread(table(spark, d, "documents").select("arquivo", "text"))
+    got = extraction.chained(docs, "arquivo", "text", extraction.Patterns)
     return got.select("arquivo", "ord", "empresa", "cnpj", F.to_json("socios").alias("socios"))
 
 
@@ -193,9 +193,9 @@ def question_contexts(spark: SparkSession, d: str) -> DataFrame:
     """For each company the context of the question about its partners, from the chunks of its own document."""
     ship(spark)
     text_batches(spark)
-    docs = spread(table(spark, d, "documents").select("arquivo", files.truncate("text", MAX_CHARS).alias("texto")))
+    docs = spread(table(spark, d, "documents").select("arquivo", "text"))
     asked = table(spark, d, "empresa").select("arquivo", "empresa_id", prompts.partners_question(N.text_or_empty("nome"), N.text_or_empty("cnpj")).alias("pergunta"))
-    return embedding.question_contexts(docs, "arquivo", "texto", asked, "empresa_id", "pergunta", embedding.Hashing, 5, 600, 100, ("\n\n", "\n", ". ", " "))
+    return embedding.question_contexts(docs, "arquivo", "text", asked, "empresa_id", "pergunta", embedding.Hashing, 5, 600, 100, ("\n\n", "\n", ". ", " "))
 
 
 def extract_independent(spark: SparkSession, d: str) -> DataFrame:

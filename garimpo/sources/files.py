@@ -54,7 +54,7 @@ def _pdf_pages(most: int):
     return run
 
 
-def documents(spark: SparkSession, folder: str, max_chars: int | None = 50_000, max_pages: int | None = None) -> DataFrame:
+def documents(spark: SparkSession, folder: str, max_chars: int | None = None, max_pages: int | None = None) -> DataFrame:
     """(path, doc_id, text) of the ``.txt`` files of a folder, and of ``.pdf`` files if ``max_pages`` is given.
 
     The file name is the id. Empty texts are left out; blank ones are kept. Other
@@ -143,7 +143,7 @@ class Config:
     separators: tuple[str, ...] = (";",)
     k_independent: int = 30
     k_chained: int = 5
-    max_txt_chars: int = 50_000
+    max_txt_chars: int | None = None
     max_context_chars: int = 30_000
     parse_max_retries: int = 3
     temperature: float = 0.1

@@ -13,7 +13,7 @@ from garimpo.sources.files import decode, truncate
 BINARY = "path string, modificationTime timestamp, length bigint, content binary"
 
 
-def document_stream(spark: SparkSession, folder: str, max_chars: int | None = 50_000, files_per_trigger: int = 10_000) -> DataFrame:
+def document_stream(spark: SparkSession, folder: str, max_chars: int | None = None, files_per_trigger: int = 10_000) -> DataFrame:
     raw = spark.readStream.format("binaryFile").schema(BINARY).option("pathGlobFilter", "*.txt").option("maxFilesPerTrigger", files_per_trigger).load(folder)
     text = truncate(decode(F.col("content")), max_chars)
     return raw.select(F.substring_index("path", "/", -1).alias("doc_id"), text.alias("text")).filter(F.length("text") > 0)

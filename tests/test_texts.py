@@ -144,6 +144,20 @@ def test_chained_pipeline(spark):
     assert [(s.nome, s.cpf, s.rg) for s in rows[0].socios] == [("Ana Um", "", "1.234.567-8"), ("Rui Dois", "111.222.333-44", "")]
 
 
+def test_long_documents_are_read_whole(spark, tmp_path):
+    line = "A Alfa LTDA (CNPJ 11.222.333/0001-44), por Ana Um, portador(a) do CPF nº 111.222.333-44."
+    long = "palavra comum. " * 4000 + line
+    spark.createDataFrame([("a.txt", long)], "arquivo string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([("a.txt", 1, "Alfa LTDA", "11.222.333/0001-44")], "arquivo string, empresa_id long, nome string, cnpj string").write.parquet(str(tmp_path / "empresa.parquet"))
+    assert [r.cnpj for r in registry.queries()["extract_chained"](spark, str(tmp_path)).collect()] == ["11.222.333/0001-44"]
+    assert "Alfa LTDA" in registry.queries()["question_contexts"](spark, str(tmp_path)).first().contexto
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text(long)
+    assert files.documents(spark, str(tmp_path / "in")).first().text == long
+    incremental.process_available(incremental.document_stream(spark, str(tmp_path / "in")), lambda df: df, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out")).first().text == long
+
+
 def test_errors_become_data(spark):
     class Broken:
         def answer(self, c, q):
