@@ -2,17 +2,22 @@
 
     python -m garimpo.cli score-csv GOLD ANSWER [--limiar 0.95] [--tolerancia-nome T] [--tolerancia-nome-socio T] [--exportar-txt F] [--exportar-json F]
     python -m garimpo.cli score-json GOLD ANSWER [--tolerancia-nome 1.0] [--tolerancia-nome-socio 1.0] [--exportar-txt F] [--exportar-json F]
-    python -m garimpo.cli run-chained FOLDER OUT [--url U --model M]
+    python -m garimpo.cli run-chained FOLDER OUT [--url U --model M] [--embedding E [--embedding-url U]]
+    python -m garimpo.cli run-independent FOLDER OUT [--url U --model M] [--embedding E [--embedding-url U]]
     python -m garimpo.cli parse-answers TABLE OUT
+
+A model at ``--url`` is asked about the nearest chunks by the embedding, hashed words where none is named. Without one,
+patterns read the whole texts.
 """
 
 from __future__ import annotations
 
 import argparse
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from garimpo.operators import extraction, matching, metrics
+from garimpo.operators import embedding, extraction, matching, metrics, prompts
 from garimpo.sources import files, sinks
 
 CSV_TOLERANCE, JSON_TOLERANCE = 0.85, 1.0
@@ -44,13 +49,46 @@ def report(scored: tuple[DataFrame, DataFrame, DataFrame], title: str, text: str
     return body
 
 
-def run_chained(spark: SparkSession, folder: str, out: str, make) -> None:
-    """Extracts from the documents that are not finished, appends the results and marks the documents done."""
-    docs = files.documents(spark, folder).select("doc_id", "text")
+def _flags(config: files.Config) -> prompts.Flags:
+    return prompts.Flags(*[str(v).strip().lower() == "sim" for v in (config.aux_terms, config.negative_prompt, config.prompt_enhancement)])
+
+
+def _retrieval(config: files.Config, embed, k: int, max_chars: int | None = None) -> extraction.Retrieval | None:
+    return embed and extraction.Retrieval(embed, k, config.chunk_size, config.chunk_overlap, config.separators, max_chars)
+
+
+def _run(spark: SparkSession, folder: str, out: str, config: files.Config, extract, write) -> None:
+    """Extracts from the documents that are not finished; those without a last error get their rows written and are marked done."""
+    docs = files.documents(spark, folder, config.max_txt_chars).select("doc_id", "text")
     todo = sinks.pending(docs, sinks.done(spark, f"{out}/done", "doc_id"), "doc_id")
-    found = extraction.chained(todo, "doc_id", "text", make)
-    found.write.mode("append").parquet(f"{out}/empresas")
-    sinks.mark_done(todo, "doc_id", f"{out}/done", 0)
+    place = f"{out}/respostas/{uuid.uuid4().hex}"
+    rows, failed = extract(todo, lambda df, name: sinks.stored(df, f"{place}/{name}"))
+    write(rows, failed)
+    sinks.mark_done(sinks.pending(todo, failed, "doc_id"), "doc_id", f"{out}/done", 0)
+
+
+def run_chained(spark: SparkSession, folder: str, out: str, make, config: files.Config = files.Config(), embed=None) -> None:
+    """Companies, then the partners of each; ``embed`` makes the embedder of the retrieval, without it contexts are whole texts."""
+    _run(
+        spark,
+        folder,
+        out,
+        config,
+        lambda docs, keep: extraction.chained_run(docs, "doc_id", "text", make, keep, _retrieval(config, embed, config.k_chained, config.max_context_chars), _flags(config)),
+        lambda rows, failed: sinks.pending(rows, failed, "doc_id").write.mode("append").parquet(f"{out}/empresas"),
+    )
+
+
+def run_independent(spark: SparkSession, folder: str, out: str, make, config: files.Config = files.Config(), embed=None) -> None:
+    """Companies and persons by two independent questions, as flat CSV."""
+    _run(
+        spark,
+        folder,
+        out,
+        config,
+        lambda docs, keep: extraction.independent_run(docs, "doc_id", "text", make, keep, _retrieval(config, embed, config.k_independent), _flags(config), config.parse_max_retries),
+        lambda rows, failed: sinks.write_entities_csv(sinks.pending(rows, failed.withColumnRenamed("doc_id", "arquivo"), "arquivo"), f"{out}/entidades"),
+    )
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -66,11 +104,14 @@ def main(argv: list[str] | None = None) -> int:
         s.add_argument("--tolerancia-nome-socio", type=float, default=None if name == "score-csv" else JSON_TOLERANCE)
         if name == "score-csv":
             s.add_argument("--limiar", type=float, default=0.95)
-    s = sub.add_parser("run-chained")
-    s.add_argument("folder")
-    s.add_argument("out")
-    s.add_argument("--url")
-    s.add_argument("--model", default="")
+    for name in ("run-chained", "run-independent"):
+        s = sub.add_parser(name)
+        s.add_argument("folder")
+        s.add_argument("out")
+        s.add_argument("--url")
+        s.add_argument("--model", default="")
+        s.add_argument("--embedding")
+        s.add_argument("--embedding-url", default="http://localhost:11434/api/embed")
     s = sub.add_parser("parse-answers")
     s.add_argument("table")
     s.add_argument("out")
@@ -80,9 +121,12 @@ def main(argv: list[str] | None = None) -> int:
         print(report(score_csv(spark, a.gabarito, a.resposta, a.limiar, a.tolerancia_nome, a.tolerancia_nome_socio), "CSV", a.exportar_txt, a.exportar_json, vars(a)))
     elif a.command == "score-json":
         print(report(score_json(spark, a.gabarito, a.resposta, a.tolerancia_nome, a.tolerancia_nome_socio), "JSON", a.exportar_txt, a.exportar_json, vars(a)))
-    elif a.command == "run-chained":
-        url, model = a.url, a.model
-        run_chained(spark, a.folder, a.out, (lambda: extraction.Http(url, model)) if url else extraction.Patterns)
+    elif a.command in ("run-chained", "run-independent"):
+        config = files.Config.load(model=a.model)
+        lines = a.command == "run-independent"
+        client = extraction.Http(a.url, a.model, config.temperature, 4096 if lines else 2048, backoff=extraction.LINES_BACKOFF if lines else extraction.JSON_BACKOFF)
+        embed = embedding.backend(a.embedding, a.embedding_url) if a.embedding else embedding.Hashing if a.url else None
+        (run_independent if lines else run_chained)(spark, a.folder, a.out, (lambda: client) if a.url else extraction.Patterns, config, embed)
     else:
         sinks.write_entities_csv(extraction.independent(spark.read.parquet(a.table), "arquivo", "raw", "pergunta"), a.out)
     return 0

@@ -102,7 +102,7 @@ def with_embedding(df: DataFrame, text: str, make: Callable[[], Embedder], out:
 
 
 def question_contexts(
-    docs: DataFrame, key: str, text: str, questions: DataFrame, query: str, question: str, make: Callable[[], Embedder], k: int, size: int, overlap: int, separators: Sequence[str], max_chars: int = 30_000
+    docs: DataFrame, key: str, text: str, questions: DataFrame, query: str, question: str, make: Callable[[], Embedder], k: int, size: int, overlap: int, separators: Sequence[str], max_chars: int | None = 30_000
 ) -> DataFrame:
     """The context of each question about a document: its k nearest chunks in rank order.
 

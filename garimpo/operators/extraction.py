@@ -3,9 +3,13 @@
 An extractor answers a batch of (context, question) pairs. The offline one finds
 names and identifiers by pattern; a replay reads stored answers; an HTTP one
 talks to a chat endpoint. Calls run inside ``mapInPandas`` with one client for a
-partition, retry what can be retried, and return errors as data. What a model
-answered should be written once and read back, for a plan that is run again
-would call it again.
+partition, retry what can be retried, and return errors as data. An answer that
+does not parse is asked for again, in the independent pipeline with a correction.
+What a model answered should be written once and read back, for a plan that is
+run again would call it again; the runs of the two pipelines do so by ``keep``.
+
+A ``Retrieval`` gives a question the nearest chunks of its document; without one
+the context is the whole text.
 """
 
 from __future__ import annotations
@@ -17,14 +21,15 @@ import time
 import urllib.request
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import partial
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from garimpo.functions import normalize as N
-from garimpo.operators import filters, parsing, prompts
+from garimpo.operators import embedding, filters, parsing, prompts
 from garimpo.session import ship
 
 # Signs of a fault that may pass. Fixed values.
@@ -43,6 +48,8 @@ class Backoff:
         return [min(self.base * 2**k, self.most) for k in range(self.tries - 1)]
 
 
+#: Tries of a structured call, and seconds between tries of any question.
+STRICT_TRIES, PAUSE = 3, 5.0
 LINES_BACKOFF, JSON_BACKOFF = Backoff(8, 20, 300), Backoff(5, 15)
 
 
@@ -75,12 +82,19 @@ class Patterns:
 
     Answers questions of the chained pipeline in JSON; a partners' question names
     its company's CNPJ, and only the text from there to the next company counts.
+    Questions that ask for lines get lines. Asked again it would answer the same.
     """
 
+    deterministic = True
+
     def answer(self, contexts: Sequence[str], questions: Sequence[str]) -> list[str]:
         return [self._one(c or "", q or "") for c, q in zip(contexts, questions)]
 
     def _one(self, context: str, question: str) -> str:
+        if prompts.PERSON_LINE in question:
+            return " ".join(f"{n}, {v if k == 'CPF' else ''}, {v if k == 'RG' else ''};" for n, k, v in _PERSON.findall(context))
+        if prompts.COMPANY_LINE in question:
+            return " ".join(f"{n}, {c};" for n, c in _NAMED_FIRM.findall(context))
         asked = _CNPJ.search(question)
         if not asked:
             return json.dumps({"empresas": [{"nome": n, "cnpj": c} for n, c in _NAMED_FIRM.findall(context)]}, ensure_ascii=False)
@@ -116,7 +130,7 @@ class Http:
     backoff: Backoff = JSON_BACKOFF
 
     def answer(self, contexts: Sequence[str], questions: Sequence[str]) -> list[str]:
-        return [retried(lambda c=c, q=q: self._call(f"Contexto:\n{c}\n\nPergunta:\n{q}"), self.backoff) for c, q in zip(contexts, questions)]
+        return [retried(lambda c=c, q=q: self._call(prompts.qa_text(c, q)), self.backoff) for c, q in zip(contexts, questions)]
 
     def _call(self, content: str) -> str:
         body = {"model": self.model, "temperature": self.temperature, "max_tokens": self.max_tokens, "messages": [{"role": "user", "content": content}]}
@@ -125,8 +139,43 @@ class Http:
             return json.load(r)["choices"][0]["message"]["content"]
 
 
-def ask(df: DataFrame, make: Callable[[], Extractor], keys: Sequence[str], context: str = "contexto", question: str = "pergunta") -> DataFrame:
-    """``keys``, ``resposta`` and ``erro``: a failed row keeps the message and an empty answer."""
+def _answered(model: Extractor, context: str, question: str, problem, tries: int, hint, pause: float) -> tuple[str, str | None]:
+    """The first answer without a problem, else the last one and its error."""
+    asked, answer, error = question, "", None
+    for n in range(1 if getattr(model, "deterministic", False) else tries):
+        if n:
+            time.sleep(pause)
+        try:
+            (answer,) = model.answer([context], [asked])
+            error = problem(answer) if problem else None
+            if error is None:
+                break
+            if hint:
+                asked = f"{question}\n{hint(error)}"
+        except Exception as e:  # noqa: BLE001
+            answer, error = "", f"{type(e).__name__}: {e}"
+    return answer, error
+
+
+def ask(
+    df: DataFrame,
+    make: Callable[[], Extractor],
+    keys: Sequence[str],
+    context: str = "contexto",
+    question: str = "pergunta",
+    problem: Callable[[str], str | None] | None = None,
+    tries: int = 1,
+    hint: Callable[[str], str | None] | None = None,
+) -> DataFrame:
+    """``keys``, ``resposta`` and ``erro``: a failed row keeps the message and an empty answer.
+
+    With ``problem`` an answer of which it gives an error is asked for again, up to
+    ``tries`` times in all, with the ``hint`` for its error; the last answer is kept
+    with its error.
+    """
+    if tries < 1:
+        raise ValueError("tries must be at least 1")
+    pause = PAUSE
     ship(df.sparkSession)
     cols = df.select(*keys, F.col(context).alias("_c"), F.col(question).alias("_q"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cols.schema.fields[:-2])
@@ -137,37 +186,108 @@ def ask(df: DataFrame, make: Callable[[], Extractor], keys: Sequence[str], conte
         for b in batches:
             answers, errors = [], []
             for c, q in zip(b["_c"], b["_q"]):
-                try:
-                    answers += model.answer([c], [q])
-                    errors.append(None)
-                except Exception as e:  # noqa: BLE001
-                    answers.append("")
-                    errors.append(f"{type(e).__name__}: {e}")
+                answer, error = _answered(model, c, q, problem, tries, hint, pause)
+                answers.append(answer)
+                errors.append(error)
             yield b[names].assign(resposta=answers, erro=errors)
 
     return cols.mapInPandas(run, f"{kinds}, resposta string, erro string")
 
 
-def chained(docs: DataFrame, key: str, context: str, make: Callable[[], Extractor], flags: prompts.Flags = prompts.Flags()) -> DataFrame:
-    """Companies first, then the partners of each: (key, ord, empresa, cnpj, socios).
+@dataclass(frozen=True)
+class Retrieval:
+    """Contexts by the ``k`` nearest chunks of a question's own document."""
 
-    A failed or invalid list gives no rows at that step; public bodies and
-    companies without a CNPJ are dropped, partners need a document.
-    """
-    first = ask(docs.select(key, F.col(context).alias("contexto"), prompts.companies_json_question(flags).alias("pergunta")), make, [key])
+    make: Callable[[], embedding.Embedder]
+    k: int
+    size: int
+    overlap: int
+    separators: tuple[str, ...]
+    max_chars: int | None = None
+
+    def contexts(self, docs: DataFrame, key: str, text: str, asked: DataFrame, keys: Sequence[str]) -> DataFrame:
+        """``asked`` with ``contexto``; questions about a document without chunks are left out."""
+        q = asked.withColumn("_id", F.to_json(F.struct(*keys)))
+        got = embedding.question_contexts(docs, key, text, q, "_id", "pergunta", self.make, self.k, self.size, self.overlap, self.separators, self.max_chars)
+        return q.join(got.withColumnRenamed("query_id", "_id"), "_id").drop("_id")
+
+
+Keep = Callable[[DataFrame, str], DataFrame]
+
+
+def _first(docs: DataFrame, key: str, text: str, question: Column, retrieval: Retrieval | None) -> DataFrame:
+    """A question about each document with its context."""
+    if retrieval is None:
+        return docs.select(key, F.col(text).alias("contexto"), question.alias("pergunta"))
+    return retrieval.contexts(docs, key, text, docs.select(key, question.alias("pergunta")), [key])
+
+
+def _chained(docs: DataFrame, key: str, text: str, make: Callable[[], Extractor], flags: prompts.Flags, retrieval: Retrieval | None, keep: Keep) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(companies with partners, answers about companies, answers about partners)."""
+    asked = _first(docs, key, text, prompts.companies_json_question(flags), retrieval)
+    asked = asked.withColumn("pergunta", prompts.with_schema(F.col("pergunta"), prompts.COMPANIES_SCHEMA))
+    first = keep(ask(asked, make, [key], problem=partial(parsing.strict_problem, shape=parsing.COMPANIES), tries=STRICT_TRIES), "empresas")
     firms = (
         first.select(key, F.posexplode(parsing.strict_companies("resposta")).alias("ord", "e"))
         .select(key, "ord", F.col("e.nome").alias("empresa"), F.col("e.cnpj").alias("cnpj"))
         .filter(filters.has_cnpj("cnpj") & ~filters.is_public_body("empresa"))
     )
-    second = firms.join(docs.select(key, F.col(context).alias("contexto")), key).withColumn("pergunta", prompts.partners_question(F.col("empresa"), F.col("cnpj"), flags))
-    answered = ask(second, make, [key, "ord", "empresa", "cnpj"])
+    keys = [key, "ord", "empresa", "cnpj"]
+    question = prompts.partners_question(F.col("empresa"), F.col("cnpj"), flags)
+    if retrieval is None:
+        second = firms.join(docs.select(key, F.col(text).alias("contexto")), key).withColumn("pergunta", question)
+    else:
+        second = retrieval.contexts(docs, key, text, firms.withColumn("pergunta", question), [key, "ord"])
+    second = second.withColumn("pergunta", prompts.with_schema(F.col("pergunta"), prompts.PARTNERS_SCHEMA))
+    answered = keep(ask(second, make, keys, problem=partial(parsing.strict_problem, shape=parsing.PERSONS), tries=STRICT_TRIES), "socios")
     partner = F.transform(
         F.filter(parsing.strict_partners("resposta"), lambda p: filters.has_document(p.cpf, p.rg)),
         lambda p: F.struct(p.nome.alias("nome"), filters.blank_null_words(p.cpf).alias("cpf"), filters.blank_null_words(p.rg).alias("rg")),
     )
     none = F.expr("cast(array() as array<struct<nome:string,cpf:string,rg:string>>)")
-    return answered.select(key, "ord", "empresa", "cnpj", F.coalesce(partner, none).alias("socios"))
+    return answered.select(*keys, F.coalesce(partner, none).alias("socios")), first, answered
+
+
+def chained(docs: DataFrame, key: str, context: str, make: Callable[[], Extractor], flags: prompts.Flags = prompts.Flags()) -> DataFrame:
+    """Companies first, then the partners of each, from whole contexts: (key, ord, empresa, cnpj, socios).
+
+    A failed or invalid list gives no rows at that step; public bodies and
+    companies without a CNPJ are dropped, partners need a document.
+    """
+    return _chained(docs, key, context, make, flags, None, lambda df, _: df)[0]
+
+
+def chained_run(
+    docs: DataFrame, key: str, text: str, make: Callable[[], Extractor], keep: Keep, retrieval: Retrieval | None = None, flags: prompts.Flags = prompts.Flags()
+) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``chained`` and the keys of the documents of which an answer failed to the last try.
+
+    ``keep`` stores the answers of a step under its name and gives them back.
+    """
+    rows, first, second = _chained(docs, key, text, make, flags, retrieval, keep)
+    a = first.filter(F.col("erro").isNotNull() | parsing.strict_companies("resposta").isNull()).select(key)
+    b = second.filter(F.col("erro").isNotNull() | parsing.strict_partners("resposta").isNull()).select(key)
+    return rows, a.unionByName(b).distinct()
+
+
+def independent_run(
+    docs: DataFrame, key: str, text: str, make: Callable[[], Extractor], keep: Keep, retrieval: Retrieval | None = None, flags: prompts.Flags = prompts.Flags(), tries: int = 3
+) -> tuple[DataFrame, DataFrame]:
+    """Both questions about each document: the rows of ``independent``, and the keys of the documents of which an answer failed to the last try.
+
+    An answer that is still blank at the last try says that there is nothing.
+    """
+    parts = []
+    for kind, question, shape, line in (
+        ("empresas", prompts.companies_question(flags), parsing.COMPANIES, prompts.COMPANY_LINE),
+        ("pessoas", prompts.persons_question(flags), parsing.PERSONS, prompts.PERSON_LINE),
+    ):
+        asked = _first(docs, key, text, question, retrieval)
+        got = ask(asked, make, [key], problem=partial(parsing.lenient_problem, shape=shape), tries=tries, hint=partial(parsing.correction_hint, shape=line))
+        parts.append(got.select(key, F.lit(kind).alias("pergunta"), F.col("resposta").alias("raw"), "erro"))
+    answers = keep(parts[0].unionByName(parts[1]), "respostas")
+    failed = answers.filter(F.col("erro").isNotNull() & (F.col("erro") != parsing.EMPTY)).select(key).distinct()
+    return independent(answers, key, "raw", "pergunta"), failed
 
 
 def independent(answers: DataFrame, key: str, raw: str, kind: str) -> DataFrame:

@@ -21,6 +21,9 @@ from garimpo.functions import normalize as N
 # Keys by which an answer gives itself away as a JSON Schema. Fixed values.
 SCHEMA_KEYS = ("$defs", "$schema", "properties", "required", "title", "description", "$ref", "allOf", "anyOf")
 
+#: Error of a blank answer, which is what is asked for where there is nothing to list.
+EMPTY = "empty_answer"
+
 THINK = r"(?i)<think>[\s\S]*?</think>"
 THINK_STRICT = r"<think>[\s\S]*?</think>"
 FENCE = r"(?i)```(?:json)?\s*([\s\S]*?)\s*```"
@@ -193,6 +196,51 @@ def lenient_persons(raw: Column | str) -> Column:
     return _lenient(PERSONS)(clean_response(raw), text_persons(raw))
 
 
+def _clean(raw: str | None) -> str:
+    """clean_response of one answer."""
+    text = re.sub(THINK, "", (raw or "").strip(), flags=re.ASCII).strip()
+    return re.sub(FENCE, r"\1", text, flags=re.ASCII).strip()
+
+
+def _text_rows(cleaned: str, shape: Shape) -> list[tuple]:
+    """text_companies and text_persons of one cleaned answer."""
+    plain = re.sub(r"\s+", " ", re.sub(TAG, "", cleaned))
+    n = len(shape.columns)
+    rows = [tuple(p.strip(" ") for p in [*r.split(",", n - 1), *[""] * n][:n]) for r in (p.strip(" ") for p in plain.split(";")) if r]
+    return [r for r in rows if r[0].lower() not in N.PARSE_NAME_NULLS and (r[0] or shape == COMPANIES)]
+
+
+def lenient_problem(raw: str | None, shape: Shape) -> str | None:
+    """The error of lenient_companies or lenient_persons, for a try inside a partition; EMPTY for a blank answer."""
+    cleaned = _clean(raw)
+    return read_lenient(cleaned, _text_rows(cleaned, shape), shape)[1] if cleaned else EMPTY
+
+
+def strict_problem(raw: str | None, shape: Shape) -> str | None:
+    """Why strict_companies or strict_partners would refuse an answer, for a try inside a partition."""
+    text = re.sub(THINK_STRICT, "", raw or "").strip()
+    fenced = re.search(r"```(?:json)?\s*([\s\S]*?)\s*```", text, re.ASCII)
+    body = fenced[1].strip() if fenced else text
+    found = re.search(r"\{[\s\S]*\}", body)
+    try:
+        data = json.loads(found[0] if found else body)
+    except (ValueError, RecursionError) as e:
+        return f"json_decode:{e}"
+    items = data.get(shape.key) if isinstance(data, dict) else None
+    if not isinstance(items, list):
+        return "no_list_key"
+
+    def good(x) -> bool:
+        if not isinstance(x, dict) or not isinstance(x.get("nome"), str) or not x["nome"].strip():
+            return False
+        if shape == COMPANIES:
+            return isinstance(x.get("cnpj"), str) and bool(x["cnpj"].strip())
+        numbers = [x[k] for k in ("cpf", "rg") if k in x]
+        return all(isinstance(v, str) for v in numbers) and any(v.strip().lower() not in N.SCHEMA_DOC_NULLS for v in numbers)
+
+    return None if all(map(good, items)) else "bad_item"
+
+
 def _typed(blob: Column, key: str, fields: tuple[str, ...]) -> Column:
     items = F.try_variant_get(F.try_parse_json(blob), f"$.{key}", "array<variant>")
 
@@ -243,3 +291,15 @@ def correction(error: Column, shape: str) -> Column:
         .when(F.contains(F.lower(error), F.lit("null")), F.lit("Deixe vazio o que faltar, sem escrever null."))
         .otherwise(F.lit(only))
     )
+
+
+def correction_hint(error: str | None, shape: str) -> str | None:
+    """``correction`` of one error."""
+    only = f"Escreva apenas linhas da forma {shape}"
+    if not error:
+        return None
+    if error == "schema_echo":
+        return f"Veio um esquema em vez de dados. {only}"
+    if error.startswith("json_decode") or error == "no_json":
+        return f"{only} Nada de JSON nem de markdown."
+    return "Deixe vazio o que faltar, sem escrever null." if "null" in error.lower() else only

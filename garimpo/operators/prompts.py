@@ -23,6 +23,10 @@ NO_INVENTION = "Use só o que está escrito no texto; não invente dados."
 NO_PUBLIC = "Órgãos públicos não são empresas."
 
 
+COMPANIES_SCHEMA = '{"type": "object", "required": ["empresas"], "properties": {"empresas": {"type": "array", "items": {"type": "object", "required": ["nome", "cnpj"], "properties": {"nome": {"type": "string"}, "cnpj": {"type": "string"}}}}}}'
+PARTNERS_SCHEMA = '{"type": "object", "required": ["socios"], "properties": {"socios": {"type": "array", "items": {"type": "object", "required": ["nome"], "properties": {"nome": {"type": "string"}, "cpf": {"type": "string"}, "rg": {"type": "string"}}}}}}'
+
+
 def _join(*parts: Column | str | None) -> Column:
     return F.concat_ws("\n", *[F.lit(p) if isinstance(p, str) else p for p in parts if p is not None])
 
@@ -67,8 +71,16 @@ def partners_question(empresa: Column, cnpj: Column, flags: Flags = Flags()) ->
     )
 
 
+QA_PARTS = ("Responda com base no contexto; se ele não bastar, deixe a resposta vazia.\n\nContexto:\n", "\n\nPergunta:\n", "\n\nResposta:")
+
+
 def qa_prompt(context: Column, question: Column) -> Column:
-    return F.concat(F.lit("Responda com base no contexto; se ele não bastar, deixe a resposta vazia.\n\nContexto:\n"), context, F.lit("\n\nPergunta:\n"), question, F.lit("\n\nResposta:"))
+    return F.concat(F.lit(QA_PARTS[0]), context, F.lit(QA_PARTS[1]), question, F.lit(QA_PARTS[2]))
+
+
+def qa_text(context: str, question: str) -> str:
+    """``qa_prompt`` of one question."""
+    return QA_PARTS[0] + context + QA_PARTS[1] + question + QA_PARTS[2]
 
 
 def with_schema(question: Column, schema: str) -> Column:

@@ -99,7 +99,8 @@ def top_k(queries: DataFrame, rows: DataFrame, query: str, row: str, vector: str
     return near.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k).select(F.col("_q").alias("query_id"), F.col("_c").alias("chunk_id"), "rank", "dist")
 
 
-def contexts(ranked: DataFrame, key: str, chunk: str, max_chars: int = 30_000) -> DataFrame:
-    """Chunks of each query joined in rank order, cut to ``max_chars``."""
+def contexts(ranked: DataFrame, key: str, chunk: str, max_chars: int | None = 30_000) -> DataFrame:
+    """Chunks of each query joined in rank order, cut to ``max_chars`` if given."""
     parts = F.transform(F.array_sort(F.collect_list(F.struct("rank", F.col(chunk).alias("chunk")))), lambda s: s.chunk)
-    return ranked.groupBy(key).agg(F.substring(F.array_join(parts, "\n\n"), 1, max_chars).alias("contexto"))
+    joined = F.array_join(parts, "\n\n")
+    return ranked.groupBy(key).agg((joined if max_chars is None else F.substring(joined, 1, max_chars)).alias("contexto"))

@@ -152,10 +152,11 @@ class Config:
     prompt_enhancement: str = "não"
 
     @classmethod
-    def load(cls, env: dict[str, str] | None = None) -> Config:
+    def load(cls, env: dict[str, str] | None = None, model: str = "") -> Config:
         env = dict(os.environ) if env is None else env
         given = {k.lower(): v for k, v in json.loads(env.get("CONFIG_JSON") or "{}").items()}
         if "PARSE_MAX_RETRIES" in env:
             given["parse_max_retries"] = int(env["PARSE_MAX_RETRIES"])
         known = {f.name for f in fields(cls)}
-        return replace(cls(), **{k: tuple(v) if isinstance(v, list) else v for k, v in given.items() if k in known})
+        base = cls(parse_max_retries=5) if "gemma" in model.lower() else cls()
+        return replace(base, **{k: tuple(v) if isinstance(v, list) else v for k, v in given.items() if k in known})

@@ -34,6 +34,12 @@ def write_nested_json(nested: DataFrame, key: str, path: str, mode: str = "overw
     nested.select(F.to_json(F.create_map(key, "empresas"), {"ignoreNullFields": "false"}).alias("value")).write.mode(mode).text(path)
 
 
+def stored(df: DataFrame, path: str) -> DataFrame:
+    """The rows written once and read back, so that what made them is not run again."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def pending(docs: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Documents that are not finished yet."""
     return docs.join(done.select(key), key, "left_anti")

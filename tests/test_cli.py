@@ -1,7 +1,93 @@
 import json
 
+from pyspark.sql import functions as F
+
 from garimpo import cli
-from garimpo.operators import embedding
+from garimpo.operators import embedding, extraction, parsing, prompts
+from garimpo.sources import files
+
+
+def stumbling(log):
+    """Makes a model that gets right only the second try of a question, and never one about a broken document; it notes what it was given."""
+
+    class Model:
+        def __init__(self):
+            self.asked = set()
+
+        def answer(self, contexts, questions):
+            with open(log, "a", encoding="utf-8") as f:
+                f.write(json.dumps([contexts[0], questions[0]]) + "\n")
+            stem = (contexts[0], questions[0].split("\n")[0])
+            if "QUEBRADO" in contexts[0] or stem not in self.asked:
+                self.asked.add(stem)
+                return ['{"$defs": {}}']
+            return extraction.Patterns().answer(contexts, questions)
+
+    return Model
+
+
+LINE = "A Alfa LTDA (CNPJ 11.222.333/0001-44), por Ana Um, portador(a) do CPF nº 111.222.333-44."
+
+
+def _folder(tmp_path):
+    src = tmp_path / "in"
+    src.mkdir()
+    (src / "a.txt").write_text("; ".join(["palavra comum sem nada que interesse"] * 200 + [LINE.replace("A Alfa", "Das empresas do texto com nome e CNPJ dos sócios com CPF: Alfa")]))
+    (src / "b.txt").write_text("QUEBRADO " + LINE)
+    return str(src), str(tmp_path / "out"), str(tmp_path / "log")
+
+
+def _calls(log):
+    with open(log, encoding="utf-8") as f:
+        return [json.loads(x) for x in f]
+
+
+def test_run_chained_retrieves_and_tries_again(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(extraction, "PAUSE", 0)
+    src, out, log = _folder(tmp_path)
+    config = files.Config(k_chained=3)
+    cli.run_chained(spark, src, out, stumbling(log), config, embedding.Hashing)
+    (row,) = spark.read.parquet(out + "/empresas").collect()
+    assert (row.doc_id, row.cnpj) == ("a.txt", "11.222.333/0001-44") and [s.nome for s in row.socios] == ["Ana Um"]
+    assert [r.doc_id for r in spark.read.parquet(out + "/done").collect()] == ["a.txt"]
+    calls = _calls(log)
+    assert len(calls) == 2 + 2 + extraction.STRICT_TRIES and max(len(c) for c, _ in calls) < 1000
+    assert all("socios" in q or "empresas" in q for _, q in calls)
+    cli.run_chained(spark, src, out, stumbling(log), config, embedding.Hashing)
+    assert len(_calls(log)) == 7 + extraction.STRICT_TRIES and spark.read.parquet(out + "/empresas").count() == 1
+
+
+def test_run_independent_corrects(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(extraction, "PAUSE", 0)
+    src, out, log = _folder(tmp_path)
+    (tmp_path / "in" / "c.txt").write_text("nada")
+    cli.run_independent(spark, src, out, extraction.Patterns)
+    assert spark.read.parquet(out + "/done").count() == 3
+    rows = spark.read.option("header", True).csv(out + "/entidades").orderBy("arquivo", "tipo_entidade").collect()
+    assert [(r.arquivo, r.tipo_entidade, r.identificador) for r in rows] == [(d, t, i) for d in ("a.txt", "b.txt") for t, i in (("Empresa", "11.222.333/0001-44"), ("Pessoa", "111.222.333-44"))]
+    out += "2"
+    cli.run_independent(spark, src, out, stumbling(log), files.Config(parse_max_retries=2), embedding.Hashing)
+    assert {r.arquivo for r in spark.read.option("header", True).csv(out + "/entidades").collect()} == {"a.txt"}
+    assert {r.doc_id for r in spark.read.parquet(out + "/done").collect()} == {"a.txt", "c.txt"}
+    again = [q for _, q in _calls(log) if "Escreva apenas linhas" in q]
+    assert len(again) == 6 and all(prompts.COMPANY_LINE in q or prompts.PERSON_LINE in q for q in again)
+
+
+def test_problems_agree_with_the_readers(spark, small):
+    raw = [r.raw for r in spark.read.parquet(small + "/parse_resposta_v1.parquet").select("raw").collect()]
+    raw += [None, "", " \u00a0", "Ana, 1", ";;", "null, 1;", ", 5;", "<think>x</think> {}", "```json\n{\"empresas\": []}\n```", '{"empresas": [{"nome": "A", "cnpj": 1}]}', '{"empresas": [{"nome": "A", "cnpj": "1"}]} fim']
+    raw += ['{"socios": [{"nome": "A", "cpf": "-", "rg": "1"}]}', '{"socios": [{"nome": "A", "cpf": null, "rg": "1"}]}', '{"socios": [{"nome": "A", "cpf": "nd"}]}', '{"socios": [1]}', "[1]", '{"socios": {}}']
+    df = spark.createDataFrame([(r,) for r in raw], "raw string")
+    got = df.select("raw", parsing.lenient_companies("raw").erro.alias("a"), parsing.lenient_persons("raw").erro.alias("b"), parsing.strict_companies("raw").isNull().alias("c"), parsing.strict_partners("raw").isNull().alias("d"), (parsing.clean_response("raw") == "").alias("blank"))
+    for r in got.collect():
+        if not r.blank:
+            assert (parsing.lenient_problem(r.raw, parsing.COMPANIES), parsing.lenient_problem(r.raw, parsing.PERSONS)) == (r.a, r.b), r.raw
+        else:
+            assert parsing.lenient_problem(r.raw, parsing.COMPANIES) == parsing.EMPTY
+        assert (parsing.strict_problem(r.raw, parsing.COMPANIES) is not None, parsing.strict_problem(r.raw, parsing.PERSONS) is not None) == (r.c, r.d), r.raw
+    errors = [None, "", "schema_echo", "no_json", "json_decode:x", "has NULL", "empty_text"]
+    hints = spark.createDataFrame(list(enumerate(errors)), "i int, e string").orderBy("i").select(parsing.correction(F.col("e"), "L;").alias("h")).collect()
+    assert [h.h for h in hints] == [parsing.correction_hint(e, "L;") for e in errors]
 
 
 def test_scorers(spark, tmp_path, capsys):
