@@ -2,8 +2,10 @@
 
 Within a document the query and its chunks meet in an equi-join, for a document
 bounds both. Against a whole table, or a scope that may hold much of it, queries are taken in blocks of bounded size: a block is shipped, every
-partition keeps its k best for each query with one matrix product a batch, and
-only those candidates are shuffled.
+partition keeps its k best for each query, and only those candidates are
+shuffled. One matrix product a batch gives rough distances; the rows that these
+don't rule out by a bound of their rounding get exact ones, so ties go to the
+least ids whatever the partitions and batches are.
 """
 
 from __future__ import annotations
@@ -18,6 +20,8 @@ from pyspark.sql import functions as F
 
 #: Queries in one block, all that is shipped at once.
 BLOCK = 4096
+#: Queries of a block that are compared with a batch at once.
+STEP = 256
 
 
 def unit(v: Column | str) -> Column:
@@ -40,6 +44,29 @@ def top_k_in_scope(queries: DataFrame, chunks: DataFrame, scope: str, query: str
     return near.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k).select(scope, F.col("_q").alias("query_id"), F.col("_c").alias("chunk_id"), "rank", "dist", *keep)
 
 
+def _nearest(q: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, best: tuple[np.ndarray, np.ndarray] | None) -> tuple[np.ndarray, np.ndarray]:
+    """(distances, ids) of the k nearest of each query among ``x`` and the ``best`` so far, ties by id; the distances are those of squared_distance to the last bit."""
+    size = (q * q).sum(1)[:, None] + (x * x).sum(1)[None, :]
+    rough = size - 2 * q @ x.T
+    # rough and exact distance err by at most about 4 (dimensions + 4) roundings of size, whatever the order of the sums; this is twice as much
+    slack = size * (4 * (q.shape[1] + 8) * np.finfo(np.float64).eps)
+    limit = np.partition(rough + slack, k - 1, axis=1)[:, k - 1] if len(ids) >= k else np.full(len(q), np.inf)
+    if best is not None and best[0].shape[1] == k:
+        limit = np.fmin(limit, best[0][:, -1])
+    r, c = np.nonzero(~(rough - slack > limit[:, None]))  # what is no number stays
+    d, i = np.zeros(len(r)), ids[c]
+    for n in range(q.shape[1]):
+        t = q[r, n] - x[c, n]
+        d += t * t
+    if best is not None:
+        r = np.concatenate([np.repeat(np.arange(len(q)), best[0].shape[1]), r])
+        d, i = np.concatenate([best[0].ravel(), d]), np.concatenate([best[1].ravel(), i])
+    order = np.lexsort((i, d, r))
+    r = r[order]
+    order = order[np.arange(len(r)) - np.searchsorted(r, r) < k]
+    return d[order].reshape(len(q), -1), i[order].reshape(len(q), -1)
+
+
 def top_k(queries: DataFrame, rows: DataFrame, query: str, row: str, vector: str, k: int, scope: str | None = None) -> DataFrame:
     """The k nearest of all rows for each query, or of those with the query's ``scope`` where a scope may be large.
 
@@ -57,7 +84,7 @@ def top_k(queries: DataFrame, rows: DataFrame, query: str, row: str, vector: str
             for q, s, v in held.value:
                 by.setdefault(s, []).append((q, v))
             groups = {s: (np.array([q for q, _ in g]), np.array([v for _, v in g], np.float64)) for s, g in by.items()}
-            best: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+            best: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]] = {}
             for b in batches:
                 if not b.num_rows:
                     continue
@@ -69,15 +96,10 @@ def top_k(queries: DataFrame, rows: DataFrame, query: str, row: str, vector: str
                         at.setdefault(s, []).append(n)
                 for s, ns in at.items():
                     q, x, i = groups[s][1], vectors[ns], ids[ns]
-                    d = (q * q).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * q @ x.T
-                    i = np.broadcast_to(i, d.shape)
-                    if s in best:
-                        d, i = np.hstack([best[s][0], d]), np.hstack([best[s][1], i])
-                    # a little more than k, since the product rounds; the exact distance decides afterwards
-                    order = np.lexsort((i, d), axis=1)[:, : k + 8]
-                    best[s] = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
-            for s, (_, i) in best.items():
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(groups[s][0], i.shape[1])), pa.array(i.ravel())], names=["_q", "_c"])
+                    for n in range(0, len(q), STEP):
+                        best[s, n] = _nearest(q[n : n + STEP], x, i, k, best.get((s, n)))
+            for (s, n), (_, i) in best.items():
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(groups[s][0][n : n + STEP], i.shape[1])), pa.array(i.ravel())], names=["_q", "_c"])
 
         return rows.select(F.col(row).cast("long"), vector, here.alias("_s")).filter(F.col(vector).isNotNull()).mapInArrow(run, "_q long, _c long")
 

@@ -50,6 +50,27 @@ def test_top_k(spark):
     assert retrieval.top_k(q.limit(0), df, "id", "id", "v", 4).count() == 0
 
 
+def test_top_k_of_many_copies(spark):
+    rng = random.Random(6)
+    vectors = [[rng.gauss(0, 1) for _ in range(64)] for _ in range(12)]
+    ids = rng.sample(range(10_000), 12 * 300)
+    rows = [(n, n % 3, [x + 0.01 for x in vectors[j % 12]]) for j, n in enumerate(ids)]
+    q = spark.createDataFrame([(100_000 + j, 0, v) for j, v in enumerate(vectors)], "id long, scope int, v array<double>")
+    kept = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size in (7, 1000):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            df = spark.createDataFrame(rows, "id long, scope int, v array<double>").repartition(3)
+            for scope in (None, "scope"):
+                got = {}
+                for r in retrieval.top_k(q, df, "id", "id", "v", 5, scope).orderBy("query_id", "rank").collect():
+                    got.setdefault(r.query_id - 100_000, []).append(r.chunk_id)
+                for j in range(12):
+                    assert got[j] == sorted(n for m, n in enumerate(ids) if m % 12 == j and (scope is None or n % 3 == 0))[:5]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
+
+
 def test_unit_and_context(spark):
     df = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],)], "v array<double>")
     assert [r[0] for r in df.select(retrieval.unit("v")).collect()] == [[0.6, 0.8], [0.0, 0.0]]
