@@ -297,13 +297,14 @@ class Repairer:
                 for word, r in self._readings(w):
                     found[word] = r
         chains: list[str] = []
-        places, guessed = 0, False
+        places, guessed, left = 0, False, False
         if any(k != HELD for r in found.values() for _, k, _ in r):
             chunks = passages(text)
             got = self._choose(chunks, found)
             if got:
                 chunks, chains, places = got
                 text, chains = self._whole(text, chunks, chains)
+                left = self._garbled(text)
         if _LOST.search(text):
             filled, n = self._fill(text, bool(chains))
             if n:
@@ -313,7 +314,17 @@ class Repairer:
         lost = guessed or "�" in text
         if not chains and not lost:
             return None
-        return text, chains, places, not lost
+        return text, chains, places, not lost and not left
+
+    def _garbled(self, text: str) -> bool:
+        """Whether an odd word is left that has a reading which is valid UTF-8 or a known word."""
+        return any(
+            k != HELD and odd(w) and not odd(g) and (c[0].startswith("utf-8") or self.known(g))
+            for m in set(text.encode("utf-8", "replace").split())
+            if not m.isascii()
+            for w, got in self._readings(m)
+            for c, k, g in got
+        )
 
     def _whole(self, text: str, chunks: list[str], chains: list[str]) -> tuple[str, list[str]]:
         """The repaired passages, or the whole text undone at once by its first chain.
@@ -349,7 +360,9 @@ class Repairer:
         chains: list[str] = []
         places, language = 0, None
         words = {w: {c: (k, g) for c, k, g in r} for w, r in found.items()}
-        for _ in range(4):
+        seen: set[str] = set()
+        while (now := "".join(chunks)) not in seen:  # a reading may be longer than the odd word it undoes, so lengths alone don't exclude a circle
+            seen.add(now)
             by: dict[tuple, dict[str, str]] = {}
             held: dict[tuple, dict[str, str]] = {}
             costs: dict[tuple, float] = {}

@@ -48,6 +48,14 @@ def test_one_byte_encodings(repairer, wrong):
     assert got and got[0] == text
 
 
+def test_more_than_four_chains(repairer):
+    wrong = ["mac_roman", "cp850", "cp437", "cp1251", "cp1250"]
+    bad = " ".join("".join(M.charset(w).table[b] for b in CLEAN[0].encode()) for w in wrong)
+    got = repairer.repair(bad)
+    assert got[0] == " ".join([CLEAN[0]] * len(wrong)) and len(got[1]) > 4 and got[3]
+    assert repairer._garbled(bad) and not any(map(repairer._garbled, CLEAN))
+
+
 def test_lost_bytes_are_found(repairer):
     got = repairer.repair("a associa��o vendeu")
     assert got is not None and got[3] is False
