@@ -93,18 +93,19 @@ class Passages:
 
 
 def _blocks(items: DataFrame, key: str, text: str, n: int) -> list[list[tuple[int, str]]]:
-    """Items in blocks of bounded size, fetched row by row."""
+    """Items in blocks of bounded size in words as windows have them, fetched row by row."""
     out: list[list[tuple[int, str]]] = [[]]
     size = 0
     for r in items.select(key, text).filter(F.col(text).isNotNull()).toLocalIterator():
-        w = r[1].split()
-        for i in range(0, max(len(w) - n + 1, 1), BLOCK_WORDS):
-            part = w[i : i + BLOCK_WORDS + n - 1]
-            if size + len(part) > BLOCK_WORDS and out[-1]:
+        count, most = len(words(r[1])), BLOCK_WORDS + n - 1
+        at = spans(r[1]) if count > most else []
+        for i in range(0, max(count - n + 1, 1), BLOCK_WORDS):
+            held = min(count - i, most)
+            if size + held > BLOCK_WORDS and out[-1]:
                 out.append([])
                 size = 0
-            out[-1].append((r[0], " ".join(part) if len(w) > len(part) else r[1]))
-            size += len(part)
+            out[-1].append((r[0], r[1][at[i][0] : at[i + held - 1][1]] if at else r[1]))
+            size += held
     return [b for b in out if b]
 
 

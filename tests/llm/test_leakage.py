@@ -68,3 +68,15 @@ def test_blocks_give_the_same(spark, monkeypatch):
     monkeypatch.setattr(L, "BLOCK_WORDS", 100)
     got = L.leaks(docs, "doc_id", "text", items, "item_id", "text").collect()
     assert {tuple(r)[:2] for r in got} == one and len(got) == len(one) == 8
+
+
+def test_cuts_count_the_words_of_windows(spark, monkeypatch):
+    monkeypatch.setattr(L, "BLOCK_WORDS", 50)
+    spaced, joined = " - ".join(f"p{i}é" for i in range(120)), ".".join(f"q{i}" for i in range(200))
+    blocks = L._blocks(spark.createDataFrame([(1, spaced), (2, joined)], "item_id long, text string"), "item_id", "text", 12)
+    assert all(sum(len(words(t)) for _, t in b) <= 50 + 11 for b in blocks)
+    found = [L.Passages(b) for b in blocks]
+    for name, count, item_id in (("p%dé", 120, 1), ("q%d", 200, 2)):
+        for i in range(count - 11):
+            part = " ".join(name % k for k in range(i, i + 12))
+            assert {h[0] for p in found for h in p.find(part)} == {item_id}, part
