@@ -53,20 +53,21 @@ def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.pieces(_oversized(spark, d), "load_id", "text")
 
 
-def p5_found(spark: SparkSession, d: str) -> DataFrame:
+def _records(spark: SparkSession, d: str) -> DataFrame:
+    """Both tables at once, their values in three columns."""
     parts = [
-        refinement.duplicate_pairs(table(spark, d, t), "arquivo", k, f).select(F.lit(t).alias("tabela"), "id_menor", "id_maior")
+        table(spark, d, t).select(F.lit(t).alias("tabela"), "arquivo", F.col(k).alias("registro_id"), *[(F.col(f[i]) if i < len(f) else F.lit(None).cast("string")).alias(f"valor{i}") for i in range(3)])
         for t, k, f in RECORDS
     ]
     return parts[0].unionByName(parts[1])
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return refinement.duplicate_pairs(_records(spark, d), ("tabela", "arquivo"), "registro_id", ("valor0", "valor1", "valor2")).select("tabela", "id_menor", "id_maior")
+
+
 def p5_records(spark: SparkSession, d: str) -> DataFrame:
-    parts = [
-        refinement.collapse(table(spark, d, t), "arquivo", k, f).select(F.lit(t).alias("tabela"), "arquivo", F.col(k).alias("registro_id"), "copias")
-        for t, k, f in RECORDS
-    ]
-    return parts[0].unionByName(parts[1])
+    return refinement.collapse(_records(spark, d), ("tabela", "arquivo"), "registro_id", ("valor0", "valor1", "valor2")).select("tabela", "arquivo", "registro_id", "copias")
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -106,7 +107,8 @@ def p8_profile(spark: SparkSession, d: str) -> DataFrame:
     return _levels(spark, d, "source").groupBy("source").agg(F.count(F.lit(1)).alias("documentos"), F.avg("nivel_estimado").alias("nivel_medio"), *by_level)
 
 
-_STRIP = r"translate(lower(regexp_replace(coalesce({0}, ''), '[\p{{P}}\p{{Z}}\p{{Cc}}$+<=>^`|~]', '', 'g')), 'ς', 'σ')"
+# the lower case of the upper case folds in full but for ligatures, which the second replacement writes out
+_STRIP = r"translate(lower(upper(replace(replace(regexp_replace(nfc_normalize(coalesce({0}, '')), '[^\p{{L}}\p{{M}}\p{{N}}]', '', 'g'), 'ﬁ', 'fi'), 'ß', 'ss'))), 'ς', 'σ')"
 
 
 def _keys(t: str, k: str, fields: tuple[str, ...]) -> str:
