@@ -1,11 +1,18 @@
 """Problem 1: one consistent form for text that only looks the same.
 
-A longest-match transducer over grapheme clusters. Its mapping is compiled once
-from Unicode's own decompositions (widths, accents, spaces, letter ligatures,
-font variants) and a short table of look-alike letters, and is checked for
-conflicts: a key has one output, no output can be rewritten again, and no
-ordinary character is a key. Each text is read once, cluster by cluster;
-invisible characters inside a cluster are consumed without output.
+A longest-match transducer over grapheme clusters. Its mapping is compiled once,
+on the driver, from Unicode's own decompositions (widths, accents, spaces, letter
+ligatures, font variants) and a short table of look-alike letters, and is checked
+for conflicts: a key has one output, no output can be rewritten again, and no
+ordinary character is a key. The compiled tables, whose size is fixed, are sent
+to the executors.
+
+Each text is read once, cluster by cluster: the base goes through the table of
+single characters, marks join it for as long as the table of joins has a longer
+match, and invisible characters are consumed without output. The state beside it
+is the word's: the scripts of its letters so far. A cluster has one output as it
+stands and one in look-alike letters; which of them counts is settled at the end
+of the word, by its state.
 
 Look-alike letters are rewritten only in a word that mixes scripts: words wholly
 in another script are ordinary and stay as they are. If the word holds letters
@@ -20,13 +27,13 @@ kept, and ties or repeated rows are treated row by row.
 
 from __future__ import annotations
 
-import sys
 import unicodedata as U
+from dataclasses import dataclass
 from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -60,15 +67,19 @@ def unseen(c: str) -> bool:
     return c in UNSEEN or any(a <= ord(c) <= b for a, b in VARIATION)
 
 
+def _assigned() -> list[tuple[str, str]]:
+    """Characters with their categories, without ideographs and Hangul syllables."""
+    spans = (range(0x34FF), range(0x4DC0, 0x4E00), range(0xA000, 0xAC00), range(0xD7A4, 0xD800), range(0xFB00, 0x20000), range(0xE0000, 0xE0200))
+    found = [(c, U.category(c)) for span in spans for c in map(chr, span)]
+    return [(c, k) for c, k in found if k not in ("Cn", "Co")]
+
+
 def _singles() -> dict[str, str]:
     """One character each: widths, font variants, ligatures, roman numerals, spaces and canonical twins."""
     out: dict[str, str] = {}
-    for n in range(0x80, sys.maxunicode + 1):
-        if 0xD800 <= n <= 0xDFFF or 0xAC00 <= n <= 0xD7A3 or 0xF900 <= n <= 0xFAFF or 0x2F800 <= n <= 0x2FA1F:
-            continue
-        c = chr(n)
-        k = U.category(c)
-        if k in ("Cn", "Co") or unseen(c):
+    for c, k in _assigned():
+        n = ord(c)
+        if n < 0x80 or unseen(c):
             continue
         if k in ("Zs", "Zl", "Zp"):
             out[c] = " "
@@ -89,10 +100,7 @@ def _singles() -> dict[str, str]:
 def _clusters() -> dict[str, str]:
     """Decomposed clusters of every composed letter, canonical order."""
     out = {}
-    for n in range(0xA0, sys.maxunicode + 1):
-        if 0xAC00 <= n <= 0xD7A3 or 0xD800 <= n <= 0xDFFF:
-            continue
-        c = chr(n)
+    for c, _ in _assigned():
         how = U.decomposition(c)
         if how and how[0] != "<" and U.normalize("NFC", c) == c:
             full = U.normalize("NFD", c)
@@ -133,118 +141,175 @@ def mapping() -> tuple[dict[str, str], dict[str, str], dict[str, dict[str, str]]
     return general, twins, back
 
 
-_SCRIPTS = [(s, regex.compile(rf"\p{{Script={s}}}")) for s in ("Latin", "Cyrillic", "Greek", "Armenian", "Cherokee")]
-
+@dataclass(frozen=True)
+class Compiled:
+    """The transducer's tables: plain dictionaries of fixed size."""
 
-@lru_cache(1 << 16)
-def _script(c: str) -> str:
-    if not (c.isalpha() or U.category(c)[0] == "L"):
-        return ""
-    return next((s for s, r in _SCRIPTS if r.match(c)), "other")
+    single: dict[str, str]
+    #: Canonical decompositions, in full.
+    parts: dict[str, str]
+    #: Starter and mark to their composed letter.
+    joins: dict[tuple[str, str], str]
+    #: Combining marks with their classes.
+    marks: dict[str, int]
+    unseen: frozenset[str]
+    script: dict[str, str]
+    twins: dict[str, str]
+    back: dict[str, dict[str, str]]
 
 
-def _grow(root: dict, items: dict[str, str]) -> dict:
-    for key, value in items.items():
-        at = root
-        for c in key:
-            at = at.setdefault(c, {})
-        at[""] = value
-    return root
+@lru_cache(1)
+def compiled() -> Compiled:
+    general, twins, back = mapping()
+    every = _assigned()
+    parts, joins = {}, {}
+    for c, _ in every:
+        how = U.decomposition(c)
+        if how and how[0] != "<":
+            parts[c] = U.normalize("NFD", c)
+            if U.normalize("NFC", c) == c and " " in how:
+                joins[tuple(chr(int(x, 16)) for x in how.split())] = c
+    letters = "".join(c for c, k in every if k[0] == "L")
+    script = {c: s for s in ("Latin", "Cyrillic", "Greek", "Armenian", "Cherokee") for c in regex.findall(rf"\p{{Script={s}}}", letters)}
+    return Compiled(
+        {k: v for k, v in general.items() if len(k) == 1},
+        parts,
+        joins,
+        {c: U.combining(c) for c, k in every if k[0] == "M"},
+        frozenset(c for c, _ in every if unseen(c)),
+        script,
+        twins,
+        back,
+    )
 
 
 class Transducer:
-    """The compiled mapping. ``consistent`` rewrites one text."""
-
-    def __init__(self) -> None:
-        self.general, self.twins, self.back = mapping()
-        self.trie = _grow({}, self.general)
-        singles = [k for k in self.general if len(k) == 1] + list(self.twins)
-        gone = [chr(n) for n in range(sys.maxunicode + 1) if not 0xD800 <= n <= 0xDFFF and unseen(chr(n))]
-        self.unseen = frozenset(gone)
-        every = "".join(regex.escape(c, special_only=True) if c not in "[]-^\\&|~" else "\\" + c for c in dict.fromkeys([*singles, *gone]))
+    """Runs the compiled mapping. ``consistent`` rewrites one text."""
+
+    #: Clusters whose outputs are remembered.
+    MEMO = 100_000
+
+    def __init__(self, tables: Compiled) -> None:
+        self.tables = t = tables
+        self.extends = frozenset(t.marks) | t.unseen
         #: A text without any of these is in its consistent form already.
-        self.special = regex.compile(f"[{every}\\p{{M}}]")
-        self.cluster = regex.compile(rf"(?:[^\p{{M}}])?[\p{{M}}{''.join(regex.escape(c) for c in gone)}]*", regex.S)
-        self.word = regex.compile(rf"[\p{{L}}\p{{M}}{''.join(regex.escape(c) for c in gone)}]+")
-        self._memo: dict[str, str] = {}
-
-    def fold(self, cluster: str) -> str:
-        """Longest matches over one grapheme cluster; invisible characters give nothing."""
-        seen = [c for c in cluster if c not in self.unseen]
-        if len(seen) > 1:  # the base's width first, then marks in canonical order
-            seen = list(U.normalize("NFD", "".join(self.general.get(c, c) for c in seen)))
-        out, i = [], 0
-        while i < len(seen):
-            at, best, end = self.trie, None, i
-            for j in range(i, len(seen)):
-                at = at.get(seen[j])
-                if at is None:
-                    break
-                if "" in at:
-                    best, end = at[""], j + 1
-            if best is None:
-                out.append(seen[i])
-                i += 1
-            elif end < len(seen) and len(best) == 1:  # a composed letter may take further marks
-                seen[i:end] = [best]
-                if end - i == 1:
-                    out.append(best)
-                    i += 1
+        self.special = frozenset(t.single) | self.extends | frozenset(t.twins)
+        self.memo: dict[str, tuple[str, str, frozenset[str]]] = {}
+
+    def _joined(self, chars: list[str]) -> str:
+        """Marks in the order of their classes, each joined to the letter before as long as there is a longer match."""
+        marks, joins = self.tables.marks, self.tables.joins
+        i = 0
+        while i < len(chars):  # a stable sort of each run of marks
+            j = i
+            while j < len(chars) and marks.get(chars[j], 0):
+                j += 1
+            chars[i:j] = sorted(chars[i:j], key=marks.__getitem__)
+            i = j + 1
+        out: list[str] = []
+        starter, last = -1, 0
+        for c in chars:
+            k = marks.get(c, 0)
+            if starter >= 0 and (last == 0 and starter == len(out) - 1 or 0 < last < k):
+                longer = joins.get((out[starter], c))
+                if longer:
+                    out[starter] = longer
+                    continue
+            if k:
+                last = k
             else:
-                out.append(best)
-                i = end
-        got = "".join(out)
-        return U.normalize("NFC", got) if len(got) > 1 else got
-
-    def _run(self, part: str) -> str:
-        return "".join(self.fold(c) for c in self.cluster.findall(part) if c)
+                starter, last = len(out), 0
+            out.append(c)
+        return "".join(out)
 
-    def _word(self, word: str) -> str:
-        got = self._memo.get(word)
+    def _cluster(self, cluster: str) -> tuple[str, str, frozenset[str]]:
+        """A cluster's output, its output in look-alike letters, and the scripts of its letters."""
+        got = self.memo.get(cluster)
         if got is None:
-            got = self._run(word)
-            scripts = {_script(c) for c in got} - {"", "other"}
-            if len(scripts) > 1:
-                theirs = [c for c in got if _script(c) not in ("", "other", "Latin")]
-                own = {_script(c) for c in theirs if c not in self.twins}
-                to = self.back.get(next(iter(own)), {}) if len(own) == 1 else {}
-                if to and all(c in to for c in got if _script(c) == "Latin") and {_script(c) for c in theirs} == own:
-                    got = "".join(to.get(c, c) for c in got)
-                else:
-                    got = U.normalize("NFC", "".join(self.twins.get(c, c) for c in U.normalize("NFC", got)))
-            if len(self._memo) > 200_000:
-                self._memo.clear()
-            self._memo[word] = got
+            t = self.tables
+            seen = [t.single.get(c, c) for c in cluster if c not in t.unseen]
+            own = "".join(seen)
+            if len(seen) > 1 or own in t.marks:
+                own = self._joined(list("".join([t.parts.get(c, c) for c in own])))
+            twin = own
+            if any(c in t.twins for c in own):
+                twin = "".join([t.twins.get(c, c) for c in own])
+                if len(twin) > 1:
+                    twin = self._joined(list("".join([t.parts.get(c, c) for c in twin])))
+            if len(self.memo) >= self.MEMO:
+                self.memo.clear()
+            got = self.memo[cluster] = (own, twin, frozenset([t.script[c] for c in own if c in t.script]))
         return got
 
+    def _settled(self, clusters: list[tuple[str, str, frozenset[str]]], scripts: set[str]) -> str:
+        """The output of a word, by its state."""
+        t = self.tables
+        if len(scripts) > 1:
+            letters = [c for own, _, _ in clusters for c in own if c in t.script]
+            bound = {t.script[c] for c in letters if t.script[c] != "Latin" and c not in t.twins}
+            to = t.back.get(next(iter(bound)), {}) if len(bound) == 1 else {}
+            if to and scripts == bound | {"Latin"} and all(c in to for c in letters if t.script[c] == "Latin"):
+                return "".join([to.get(c, c) for own, _, _ in clusters for c in own])
+            return "".join([twin for _, twin, _ in clusters])
+        return "".join([own for own, _, _ in clusters])
+
     def consistent(self, text: str | None) -> str | None:
-        if text is None or not self.special.search(text):
+        if text is None or text.isascii() or self.special.isdisjoint(text):
             return text
-        out, end = [], 0
-        for m in self.word.finditer(text):
-            out.append(self._run(text[end : m.start()]))
-            out.append(self._word(m[0]))
-            end = m.end()
-        out.append(self._run(text[end:]))
+        extends = self.extends
+        out: list[str] = []
+        word: list[tuple[str, str, frozenset[str]]] = []
+        scripts: set[str] = set()
+        i, n = 0, len(text)
+        while i < n:
+            c = text[i]
+            j = i + 1
+            while j < n and text[j] in extends:
+                j += 1
+            got = self._cluster(text[i:j])
+            if c.isalpha() or c in extends:
+                word.append(got)
+                scripts |= got[2]
+            else:
+                if word:
+                    out.append(self._settled(word, scripts))
+                    word, scripts = [], set()
+                out.append(got[0])
+            i = j
+        if word:
+            out.append(self._settled(word, scripts))
         return "".join(out)
 
 
 @lru_cache(1)
 def transducer() -> Transducer:
-    return Transducer()
+    return Transducer(compiled())
+
+
+def consistent(spark: SparkSession, text: Column | str) -> Column:
+    """The text in its one consistent form. Sends the compiled tables, of fixed size, to the executors."""
+    held = spark.sparkContext.broadcast(compiled())
+
+    @F.arrow_udf(StringType())
+    def run(texts: pa.Array) -> pa.Array:
+        t = _running(held)
+        return pa.array([t.consistent(x) for x in texts.to_pylist()], pa.string())
+
+    return run(F.col(text) if isinstance(text, str) else text)
 
 
-@F.pandas_udf(StringType())
-def _consistent(texts: pd.Series) -> pd.Series:
-    t = transducer()
-    return pd.Series([t.consistent(x if isinstance(x, str) else None) for x in texts], dtype=object)
+_RUNNING: dict[int, Transducer] = {}
 
 
-def consistent(text: Column | str) -> Column:
-    """The text in its one consistent form."""
-    return _consistent(F.col(text) if isinstance(text, str) else text)
+def _running(held) -> Transducer:
+    """One transducer for each worker and broadcast."""
+    got = _RUNNING.get(id(held.value))
+    if got is None:
+        _RUNNING.clear()
+        got = _RUNNING[id(held.value)] = Transducer(held.value)
+    return got
 
 
 def with_consistent(df: DataFrame, text: str, out: str) -> DataFrame:
     """Adds ``out``, the consistent form, and ``<out>_changed``; null text gives null and false."""
-    return df.withColumn(out, consistent(F.col(text))).withColumn(f"{out}_changed", F.coalesce(F.col(out) != F.col(text), F.lit(False)))
+    return df.withColumn(out, consistent(df.sparkSession, F.col(text))).withColumn(f"{out}_changed", F.coalesce(F.col(out) != F.col(text), F.lit(False)))

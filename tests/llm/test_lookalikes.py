@@ -64,3 +64,25 @@ def test_table(spark):
     got = {r.id: (r.out, r.out_changed) for r in L.with_consistent(df, "nome", "out").collect()}
     assert got == {1: (None, False), 2: ("", False), 3: ("P" * 100_000, True), 4: ("LTDA", True), 5: ("LTDA", True), 6: ("LTDA", False)}
     assert L.with_consistent(df.limit(0), "nome", "out").count() == 0
+
+
+def test_marks_in_any_order_and_number():
+    import random
+
+    random.seed(3)
+    t = L.transducer()
+    marks = [*map(chr, range(0x300, 0x34F)), *"̛̣́̂̄̀"]
+    for _ in range(20_000):
+        text = random.choice("aeiouAEcnxyzéươ1=") + "".join(random.choices(marks, k=random.randint(1, 5)))
+        assert t.consistent(text) == unicodedata.normalize("NFC", text), ascii(text)
+
+
+def test_word_state_decides_the_output():
+    t = L.transducer()
+    for script, theirs, latin in L.TWINS:
+        for a, b in zip(theirs, latin):
+            if b.isalpha():
+                assert t.consistent(f"Q{a}q") == f"Q{b}q", (script, ascii(a))
+            assert t.consistent(a) == a
+            assert t.consistent(f"Qq {a}") == f"Qq {a}"
+    assert t.consistent("аb") == "ab" and t.consistent("а́b") == "áb" and t.consistent("а​b") == "ab"
