@@ -8,8 +8,8 @@ and every chunk is then tokenised from its own start state. The result is the
 same for any chunk size.
 
 Answers in JSON go through a second machine of the same kind (outside, inside a
-string, after a backslash), which finds open strings and unbalanced brackets
-before the strict decoder types the values.
+string, after a backslash); its tokens drive a pushdown automaton with the
+grammar of RFC 8259, which types the values and knows where each one begins.
 
 Reasons: ``colunas`` (wrong number of columns, records or keys), ``aspas``
 (broken quoting or JSON syntax), ``valor`` (a value that is not allowed, and null
@@ -24,14 +24,15 @@ input play no part.
 
 from __future__ import annotations
 
-import json
 import re
 from bisect import bisect_right
+from typing import NamedTuple
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 CHUNK = 4096
 # Values that count as empty, in any case. Fixed values.
@@ -40,7 +41,8 @@ EMPTY = frozenset({"", "null", "none", "n/a", "na", "nd", "-", "--", "não infor
 START, BARE, QUOTED, CLOSED, BROKEN = range(5)
 STATES = 5
 THINK = re.compile(r"<think>.*?</think>", re.I | re.S)
-FENCE = re.compile(r"```(?:[A-Za-z]+(?=\s|\Z))?")
+# a tag ends at white space, at an opening bracket or with the text
+FENCE = re.compile(r"```(?:[A-Za-z]+(?=[\s{\[]|\Z))?")
 CNPJ = re.compile(r"[0-9]{14}")
 CPF = re.compile(r"[0-9]{11}")
 RG = re.compile(r"[0-9]{4,9}[0-9Xx]")
@@ -69,9 +71,33 @@ def _filled(text: str, at: int) -> int:
     return at
 
 
-class Delimited:
+class Machine:
+    """A finite-state machine that reads a text in chunks, whose transition functions compose."""
+
+    STATES, START = 1, 0
+
+    def transition(self, text: str, a: int, b: int) -> tuple[int, ...]:
+        """The chunk's transition function: end state by start state."""
+        raise NotImplementedError
+
+    def starts(self, text: str, chunk: int) -> list[tuple[int, int, int]]:
+        """(begin, end, start state) of each chunk, by composition of the chunks' functions."""
+        cuts = [(a, min(a + chunk, len(text))) for a in range(0, max(len(text), 1), chunk)]
+        if len(cuts) == 1:
+            return [(*cuts[0], self.START)]
+        out, composed = [], tuple(range(self.STATES))
+        for a, b in cuts:
+            out.append((a, b, composed[self.START]))
+            f = self.transition(text, a, b)
+            composed = tuple(f[s] for s in composed)
+        return out
+
+
+class Delimited(Machine):
     """The machine for one dialect: field separators, record separators, and whether ``"`` quotes."""
 
+    STATES, START = STATES, START
+
     def __init__(self, field: str, record: str, quoting: bool) -> None:
         self.field, self.record, self.quoting = field, record, quoting
         stops = re.escape(field + record + ('"' if quoting else ""))
@@ -92,7 +118,6 @@ class Delimited:
         return BROKEN if state == CLOSED and not blank else state
 
     def transition(self, text: str, a: int, b: int) -> tuple[int, ...]:
-        """The chunk's transition function: end state by start state."""
         now = list(range(STATES))
         at = a
         for m in self.stop.finditer(text, a, b):
@@ -106,18 +131,6 @@ class Delimited:
             now = [self.plain(s, blank) for s in now]
         return tuple(now)
 
-    def starts(self, text: str, chunk: int) -> list[tuple[int, int, int]]:
-        """(begin, end, start state) of each chunk, by composition of the chunks' functions."""
-        cuts = [(a, min(a + chunk, len(text))) for a in range(0, max(len(text), 1), chunk)]
-        if len(cuts) == 1:
-            return [(*cuts[0], START)]
-        out, composed = [], tuple(range(STATES))
-        for a, b in cuts:
-            out.append((a, b, composed[START]))
-            f = self.transition(text, a, b)
-            composed = tuple(f[s] for s in composed)
-        return out
-
     def events(self, text: str, a: int, b: int, state: int) -> tuple[list[tuple[int, str]], int, int]:
         """Separators that count in this chunk, the end state, and where it broke (-1: nowhere)."""
         out: list[tuple[int, str]] = []
@@ -167,62 +180,140 @@ class Delimited:
 
 CSV = Delimited(",", "\n\r", True)
 LIST = Delimited(",", ";", False)
-_JSON_STOP = re.compile(r'["\\{}\[\]]')
 
 
-def json_structure(text: str, chunk: int = CHUNK) -> None:
-    """The JSON machine: strings and bracket depth, chunk by chunk; raises Rejected."""
-    outside, inside, escaped = 0, 1, 2
+class Node(NamedTuple):
+    """A JSON value: what it is, where it begins, and its text, members by key or elements."""
+
+    kind: str
+    at: int
+    value: str | dict[str, Node] | list[Node] | None = None
+
 
-    def run(a: int, b: int, state: int) -> tuple[int, list[tuple[int, str]]]:
-        events = []
+class Json(Machine):
+    """The machine of JSON: outside strings, inside one, after a backslash. Its tokens go to a pushdown automaton."""
+
+    STATES, START = 3, 0
+    OUTSIDE, INSIDE, ESCAPED = range(3)
+    STOP = re.compile(r'["\\{}\[\],:]')
+    SCALAR = re.compile(r"(-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?)|true|false|null")
+    STRING = re.compile(r'(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9A-Fa-f]{4}))*')
+    ESCAPE = re.compile(r"\\(?:u[Dd][89ABab][0-9A-Fa-f]{2}\\u[Dd][C-Fc-f][0-9A-Fa-f]{2}|u[0-9A-Fa-f]{4}|.)")
+    PLAIN = {"b": "\b", "f": "\f", "n": "\n", "r": "\r", "t": "\t"}
+    BLANK = " \t\n\r"
+
+    def events(self, text: str, a: int, b: int, state: int) -> tuple[list[tuple[int, str]], int, int]:
+        """Quotes that open or close a string and marks outside strings in this chunk, and the end state."""
+        out: list[tuple[int, str]] = []
         at = a
-        for m in _JSON_STOP.finditer(text, a, b):
+        for m in self.STOP.finditer(text, a, b):
             p, c = m.start(), m[0]
-            if state == escaped:
-                state = inside
+            if state == self.ESCAPED:
+                state = self.INSIDE
                 if p == at:  # the character after the backslash
                     at = p + 1
                     continue
-            if c == "\\":
-                if state == inside:
-                    state = escaped
-            elif c == '"':
-                state = outside if state == inside else inside
-            elif state == outside:
-                events.append((p, c))
+            if c == '"':
+                state = self.OUTSIDE if state == self.INSIDE else self.INSIDE
+                out.append((p, c))
+            elif state == self.OUTSIDE:
+                out.append((p, c))
+            elif c == "\\":
+                state = self.ESCAPED
             at = p + 1
-        if state == escaped and at < b:
-            state = inside
-        return state, events
-
-    cuts = [(a, min(a + chunk, len(text))) for a in range(0, max(len(text), 1), chunk)]
-    state, found = outside, []
-    if len(cuts) == 1:
-        state, found = run(*cuts[0], state)
-    else:
-        for a, b in cuts:
-            ends = [run(a, b, s) for s in (outside, inside, escaped)]
-            found += ends[state][1]
-            state = ends[state][0]
-    if state != outside:
-        raise Rejected("aspas", "cadeia sem fim", len(text))
-    depth: list[str] = []
-    for p, c in found:
-        if c in "{[":
-            depth.append(c)
-        elif not depth or depth.pop() + c not in ("{}", "[]"):
-            raise Rejected("aspas", "parênteses sem par", p)
-    if depth:
-        raise Rejected("aspas", "objeto sem fim", len(text))
-
-
-def _no_constant(name: str):
-    raise ValueError(name)
-
+        if state == self.ESCAPED and at < b:
+            state = self.INSIDE
+        return out, state, -1
 
-# numbers stay what they are: never a string
-_DECODER = json.JSONDecoder(parse_constant=_no_constant, parse_int=lambda s: (s,), parse_float=lambda s: (s,))
+    def transition(self, text: str, a: int, b: int) -> tuple[int, ...]:
+        return tuple(self.events(text, a, b, s)[1] for s in range(self.STATES))
+
+    def unescaped(self, s: str) -> str:
+        """A string's value; half of a surrogate pair by itself becomes U+FFFD."""
+
+        def one(m: re.Match) -> str:
+            e = m[0][1:]
+            if e[0] != "u":
+                return self.PLAIN.get(e, e)
+            if len(e) > 5:
+                return chr(0x10000 + ((int(e[1:5], 16) & 0x3FF) << 10 | int(e[7:], 16) & 0x3FF))
+            n = int(e[1:], 16)
+            return "\ufffd" if 0xD800 <= n <= 0xDFFF else chr(n)
+
+        return self.ESCAPE.sub(one, s)
+
+    def read(self, text: str, chunk: int = CHUNK) -> Node:
+        """The one value of the text, by RFC 8259; raises Rejected. Of equal keys the last counts."""
+        tokens: list[tuple[int, str]] = []
+        state = self.START
+        for a, b, s in self.starts(text, chunk):
+            found, state, _ = self.events(text, a, b, s)
+            tokens += found
+        if state != self.OUTSIDE:
+            raise Rejected("aspas", "cadeia sem fim", len(text))
+        tokens.append((len(text), ""))
+        root: list[Node] = []
+        stack: list[tuple[Node, str]] = []  # an open object or array, and the key its next member goes to
+        key, want = "", "value"
+
+        def put(node: Node) -> str:
+            if not stack:
+                root.append(node)
+                return "end"
+            top, _ = stack[-1]
+            if top.kind == "array":
+                top.value.append(node)
+            else:
+                top.value[key] = node
+            return "more"
+
+        at, n = 0, 0
+        while n < len(tokens):
+            p, c = tokens[n]
+            n += 1
+            if p > at and (gap := text[at:p].strip(self.BLANK)):
+                begin = at + len(text[at:p]) - len(text[at:p].lstrip(self.BLANK))
+                m = self.SCALAR.fullmatch(gap)
+                if not m or want not in ("value", "first"):
+                    raise Rejected("aspas", "json: texto após o objeto" if want == "end" else "json: valor", begin)
+                want = put(Node("number" if m[1] else gap, begin, gap))
+            at = p + 1
+            if c == "":
+                break
+            if want == "end":
+                raise Rejected("aspas", "json: texto após o objeto", p)
+            if c == '"':
+                end, _ = tokens[n]
+                n, at = n + 1, end + 1
+                content = text[p + 1 : end]
+                good = self.STRING.match(content).end()
+                if good < len(content):
+                    raise Rejected("aspas", "json: cadeia", p + 1 + good)
+                content = self.unescaped(content) if "\\" in content else content
+                if want in ("key", "first key"):
+                    key, want = content, ":"
+                elif want in ("value", "first"):
+                    want = put(Node("string", p, content))
+                else:
+                    raise Rejected("aspas", "json: cadeia", p)
+            elif c in "{[" and want in ("value", "first"):
+                stack.append((Node("object", p, {}) if c == "{" else Node("array", p, []), key))
+                want = "first key" if c == "{" else "first"
+            elif c in "}]" and stack and (stack[-1][0].kind == "object") == (c == "}") and want in ("more", "first key" if c == "}" else "first"):
+                node, key = stack.pop()
+                want = put(node)
+            elif c == ":" and want == ":":
+                want = "value"
+            elif c == "," and want == "more":
+                want = "key" if stack[-1][0].kind == "object" else "value"
+            else:
+                raise Rejected("aspas", f"json: {c}", p)
+        if stack or not root:
+            raise Rejected("aspas", "objeto sem fim", len(text))
+        return root[0]
+
+
+JSON = Json()
 
 
 def is_empty(v: str | None) -> bool:
@@ -294,50 +385,27 @@ def _entity(firms: bool, v: list, at: list[int]) -> tuple:
 
 
 def _json(text: str, pergunta: str | None) -> list[tuple]:
-    json_structure(text)
-    try:
-        data, end = _DECODER.raw_decode(text)
-    except json.JSONDecodeError as e:
-        raise Rejected("aspas", "json: " + e.msg, e.pos) from None
-    except (ValueError, RecursionError) as e:
-        raise Rejected("aspas", f"json: {type(e).__name__}", 0) from None
-    if text[end:].strip(" \t\n\r"):
-        raise Rejected("aspas", "json: texto após o objeto", end)
-    if not isinstance(data, dict):
-        raise Rejected("colunas", "não é objeto", 0)
+    root = JSON.read(text)
+    if root.kind != "object":
+        raise Rejected("colunas", "não é objeto", root.at)
     firms = _firms(pergunta)
     key = "empresas" if firms else "socios"
-    if not isinstance(data.get(key), list) or not data[key]:
-        raise Rejected("colunas", f"sem lista {key}", 0)
+    items = root.value.get(key)
+    if items is None or items.kind != "array" or not items.value:
+        raise Rejected("colunas", f"sem lista {key}", items.at if items else root.at)
     out = []
     want = ("nome", "cnpj") if firms else ("nome", "cpf", "rg")
-    for n, item in enumerate(data[key]):
-        if not isinstance(item, dict) or any(k not in item for k in want):
-            raise Rejected("colunas", "chaves do elemento", _element_at(text, key, n))
-        if any(item[k] is not None and not isinstance(item[k], str) for k in want):
-            raise Rejected("valor", "tipo do valor", _element_at(text, key, n))
-        try:
-            out.append(_entity(firms, [item[k] for k in want], [0] * 3))
-        except Rejected as e:
-            raise Rejected(e.motivo, e.detalhe, _element_at(text, key, n)) from None
+    for item in items.value:
+        if item.kind != "object" or any(k not in item.value for k in want):
+            raise Rejected("colunas", "chaves do elemento", item.at)
+        values = [item.value[k] for k in want]
+        for v in values:
+            if v.kind not in ("string", "null"):
+                raise Rejected("valor", "tipo do valor", v.at)
+        out.append(_entity(firms, [v.value if v.kind == "string" else None for v in values], [v.at for v in values]))
     return out
 
 
-def _element_at(text: str, key: str, n: int) -> int:
-    """Offset of the n-th element of the array under ``key``; only asked for answers that are rejected."""
-    m = re.search(rf'"{key}"\s*:\s*\[', text)
-    if not m:
-        return 0
-    at = m.end()
-    for _ in range(n + 1):
-        begin = at + len(text[at:]) - len(text[at:].lstrip(" \t\n\r,"))
-        try:
-            _, at = _DECODER.raw_decode(text, begin)
-        except ValueError:
-            return m.start()
-    return begin
-
-
 READERS = {"csv": _csv, "lista": _list, "json": _json}
 
 
@@ -386,18 +454,13 @@ def read_answer(raw: str | None, formato: str | None, pergunta: str | None) -> t
         return None, e.motivo, e.detalhe, at
 
 
-@F.pandas_udf(READ)
-def _read(raw: pd.Series, formato: pd.Series, pergunta: pd.Series) -> pd.DataFrame:
-    rows = [read_answer(*(v if isinstance(v, str) else None for v in x)) for x in zip(raw, formato, pergunta)]
-    records = [None if r[0] is None else [dict(zip(ROW.names, x)) for x in r[0]] for r in rows]
-    return pd.DataFrame(
-        {
-            "registros": pd.Series(records, dtype=object),
-            "motivo": pd.Series([r[1] for r in rows], dtype=object),
-            "detalhe": pd.Series([r[2] for r in rows], dtype=object),
-            "posicao": pd.Series([r[3] for r in rows], dtype="Int32"),
-        }
-    )
+@F.arrow_udf(READ)
+def _read(raw: pa.Array, formato: pa.Array, pergunta: pa.Array) -> pa.Array:
+    rows = [read_answer(*x) for x in zip(raw.to_pylist(), formato.to_pylist(), pergunta.to_pylist())]
+    kind = to_arrow_type(READ)
+    cols = list(zip(*rows)) if rows else [()] * 4
+    records = [None if r is None else [dict(zip(ROW.names, x)) for x in r] for r in cols[0]]
+    return pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip((records, *cols[1:]), kind)], fields=list(kind))
 
 
 # else the planner would run it a second time, in a filter that it infers below an explode

@@ -48,7 +48,7 @@ def _rg(x: str) -> str:
     return f"({_empty(x)} OR regexp_full_match(regexp_replace({_strip(x)}, '[ .-]', '', 'g'), '[0-9]{{4,9}}[0-9Xx]'))"
 
 
-_CLEAN = _strip("regexp_replace(regexp_replace(raw, '(?is)<think>.*?</think>', '', 'g'), '```[A-Za-z]*', '', 'g')")
+_CLEAN = _strip("regexp_replace(regexp_replace(raw, '(?is)<think>.*?</think>', '', 'g'), '```(?:[A-Za-z]+(\\s|[{\\[]|$))?', '\\1', 'g')")
 _FIELD = r'((?:[^",\r\n]*|\s*"(?:[^"]|"")*"\s*))'
 _CSV = f"^{','.join([_FIELD] * 5)}$"
 

@@ -13,6 +13,9 @@ GOOD = [
     (f"Alfa, {CNPJ}; Beta, ;;", "lista", "empresas"),
     (f"Ana, {CPF}, ; Rui, , 12345", "lista", "pessoas"),
     ('{"x":1,"empresas":[{"nome":"A","cnpj":null,"y":[1]}]}', "json", "empresas"),
+    ('```json{"empresas":[{"nome":"A","cnpj":null}]}```', "json", "empresas"),
+    ("```" + '[1]'.join(('{"a":', ',"empresas":[{"nome":"\\ud83d\\ude00 \\ud800","cnpj":""}]}')), "json", "empresas"),
+    ('{"a":' + "[" * 3000 + "]" * 3000 + ',"empresas":[{"nome":"A","cnpj":null}]}', "json", "empresas"),
     ('```json\n{"socios":[{"nome":"A\\u00e7","cpf":"","rg":"123456X"}]}\n```', "json", "pessoas"),
 ]
 BAD = [
@@ -79,7 +82,7 @@ def test_fields_are_typed_and_unquoted():
 def test_chunks_compose():
     random.seed(3)
     for _ in range(300):
-        text = "".join(random.choice('ab,;"\n \\{}[]') for _ in range(random.randint(0, 60)))
+        text = "".join(random.choice('ab,;"\n \\{}[]:1') for _ in range(random.randint(0, 60)))
         for machine in (Q.CSV, Q.LIST):
             got = set()
             for chunk in (1, 2, 7, 4096):
@@ -91,7 +94,7 @@ def test_chunks_compose():
         got = set()
         for chunk in (1, 3, 4096):
             try:
-                got.add(repr(Q.json_structure(text, chunk)))
+                got.add(repr(Q.JSON.read(text, chunk)))
             except Q.Rejected as e:
                 got.add(repr((e.motivo, e.detalhe, e.at)))
         assert len(got) == 1, text
@@ -126,3 +129,56 @@ def test_table(spark):
 def test_long_text_is_read_whole():
     raw = "; ".join(f"Nome {i}, " for i in range(20_000)) + "; X"
     assert Q.read_answer(raw, "lista", "empresas")[1:] == ("colunas", "1 campos", raw.rindex("X"))
+
+
+def test_offsets_in_json_point_at_the_value():
+    raw = '{"x":{"empresas":[{"nome":1}]},"empresas":[{"nome":"A","cnpj":null},{"nome":"B","cnpj":"12"}]}'
+    assert Q.read_answer(raw, "json", "empresas")[1:] == ("valor", "cnpj", raw.index('"12"'))
+    raw = '{"empresas":[{"nome":"A","cnpj":null},{"cnpj":"12"}]}'
+    assert Q.read_answer(raw, "json", "empresas")[1:] == ("colunas", "chaves do elemento", raw.index('{"cnpj":"12"}'))
+    raw = '{"empresas":[{"nome":"A\\q","cnpj":null}]}'
+    assert Q.read_answer(raw, "json", "empresas")[1:] == ("aspas", "json: cadeia", raw.index("\\"))
+
+
+def _plain(node):
+    if node.kind == "object":
+        return {k: _plain(v) for k, v in node.value.items()}
+    if node.kind == "array":
+        return [_plain(v) for v in node.value]
+    return {"true": True, "false": False, "null": None}.get(node.kind, node.value) if node.kind != "string" else "s" + node.value
+
+
+def test_json_machine_equals_the_json_module():
+    import json
+
+    def strict(text):
+        def no(name):
+            raise ValueError(name)
+
+        def strings(x):
+            if isinstance(x, str):
+                return "s" + x
+            if isinstance(x, list):
+                return [strings(v) for v in x]
+            return {k: strings(v) for k, v in x.items()} if isinstance(x, dict) else x[0] if isinstance(x, tuple) else x
+
+        try:
+            return strings(json.loads(text, parse_constant=no, parse_int=lambda v: (v,), parse_float=lambda v: (v,)))
+        except ValueError:
+            return "bad"
+
+    def ours(text):
+        try:
+            return _plain(Q.JSON.read(text, 7))
+        except Q.Rejected:
+            return "bad"
+
+    random.seed(8)
+    pieces = ['{', '}', '[', ']', ',', ':', '"a"', '"b\\n"', '"\\u00e7"', '1', '-0.5e3', '01', 'true', 'null', 'NaN', ' ', '"\\x"', '"', "\t", '"k":', '{"k":1}', '[1,2]', "\x0b"]
+    good = 0
+    for _ in range(30_000):
+        text = "".join(random.choices(pieces, k=random.randint(1, 7)))
+        want = strict(text)
+        assert ours(text) == want, text
+        good += want != "bad"
+    assert good > 300
