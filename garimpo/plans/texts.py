@@ -11,7 +11,7 @@ from garimpo.functions import normalize as N
 from garimpo.functions.similarity import similarity
 from garimpo.operators import chunking, embedding, extraction, filters, parsing, prompts, retrieval
 from garimpo.plans.scoring import GOLD, NESTED_GOLD, nested_docs, sql_digits, sql_doc, sql_firm, sql_ident, sql_norm, sql_rg, sql_strip
-from garimpo.session import shared_dir, ship, spread, table, text_batches
+from garimpo.session import shared_dir, ship, table, text_table
 from garimpo.sources import files, sinks
 
 MAX_CHARS, K, EVERY = 50_000, 5, 20
@@ -28,8 +28,7 @@ def resume_antijoin(spark: SparkSession, d: str) -> DataFrame:
 
 def chunk_split(spark: SparkSession, d: str) -> DataFrame:
     ship(spark)
-    text_batches(spark)
-    return chunking.chunk_table(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text", 1000, 100, ("\n\n", "\n", ". ", " "))
+    return chunking.chunk_table(text_table(spark, d, "documents", "doc_id", "text"), "doc_id", "text", 1000, 100, ("\n\n", "\n", ". ", " "))
 
 
 def chunk_pieces(spark: SparkSession, d: str) -> DataFrame:
@@ -74,7 +73,7 @@ def normalize_text(spark: SparkSession, d: str) -> DataFrame:
 
 
 def normalize_documents(spark: SparkSession, d: str) -> DataFrame:
-    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", N.normalize_text("text").alias("texto"))
+    return text_table(spark, d, "documents", "doc_id", "text").select("doc_id", N.normalize_text("text").alias("texto"))
 
 
 def normalize_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -183,8 +182,7 @@ _CNPJ, _CPF = r"[0-9]{2}\.[0-9]{3}\.[0-9]{3}/[0-9]{4}-[0-9]{2}", r"[0-9]{3}\.[0-
 
 def extract_chained(spark: SparkSession, d: str) -> DataFrame:
     ship(spark)
-    text_batches(spark)
-    docs = spread(table(spark, d, "documents").select("arquivo", "text"))
+    docs = text_table(spark, d, "documents", "arquivo", "text")
     got = extraction.chained(docs, "arquivo", "text", extraction.Patterns)
     return got.select("arquivo", "ord", "empresa", "cnpj", F.to_json("socios").alias("socios"))
 
@@ -192,8 +190,7 @@ def extract_chained(spark: SparkSession, d: str) -> DataFrame:
 def question_contexts(spark: SparkSession, d: str) -> DataFrame:
     """For each company the context of the question about its partners, from the chunks of its own document."""
     ship(spark)
-    text_batches(spark)
-    docs = spread(table(spark, d, "documents").select("arquivo", "text"))
+    docs = text_table(spark, d, "documents", "arquivo", "text")
     asked = table(spark, d, "empresa").select("arquivo", "empresa_id", prompts.partners_question(N.text_or_empty("nome"), N.text_or_empty("cnpj")).alias("pergunta"))
     return embedding.question_contexts(docs, "arquivo", "text", asked, "empresa_id", "pergunta", embedding.Hashing, 5, 600, 100, ("\n\n", "\n", ". ", " "))
 

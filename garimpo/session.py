@@ -1,4 +1,4 @@
-"""What every operator needs from a session: table access, shared storage, batching."""
+"""What every operator needs from a session: table access and shared storage. Arrow batches have Spark's own bound in bytes."""
 
 from __future__ import annotations
 
@@ -9,30 +9,24 @@ import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows per Arrow batch for operators that carry whole texts (60,000 characters each at most here).
-TEXT_BATCH_ROWS = 512
+#: Session setting: parts that a table of texts is given if it has fewer files. Not set on a cluster.
+LEAST_PARTS = "garimpo.leastParts"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def text_batches(spark: SparkSession, rows: int = TEXT_BATCH_ROWS) -> None:
-    """Bounds Arrow batches so that a Python worker holds at most ``rows`` texts at once."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def text_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """A table with whole texts, as it is stored.
 
-
-def spread(df: DataFrame) -> DataFrame:
-    """Gives every core a part of an input that comes in fewer parts than there are cores.
-
-    Work on whole texts is bound by the CPU; a small table in one row group would
-    keep a single core busy. Inputs that come in parts enough are left as they are,
-    and so are results of a shuffle, which come in parts already.
+    Only where ``garimpo.leastParts`` is set, as for a benchmark over one small
+    file that cannot be split, is it dealt into so many parts.
     """
-    if "AdaptiveSparkPlan" in df._jdf.queryExecution().executedPlan().toString():
-        return df
-    n = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+    df = table(spark, sf_dir, name)
+    df = df.select(*columns) if columns else df
+    least = int(spark.conf.get(LEAST_PARTS, "0"))
+    return df.repartition(least) if least and least > len(df.inputFiles()) else df
 
 
 def shared_dir(spark: SparkSession) -> str:
