@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from garimpo.session import shared_dir, spread, text_batches
+from garimpo.session import shared_dir
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 # The word pattern that these vocabularies were made with. Fixed value.
@@ -95,7 +95,6 @@ def count_tokens(encode, text: str | None) -> int:
 def with_tokens(df: DataFrame, key: str, source: str, text: str, tokenizer: str = TOKENIZER) -> DataFrame:
     """(_id, _source, _tokens) of each document. The vocabulary file is read when called."""
     spark = df.sparkSession
-    text_batches(spark)
     with open(tokenizer, "rb") as f:
         held = spark.sparkContext.broadcast(f.read())
 
@@ -106,7 +105,7 @@ def with_tokens(df: DataFrame, key: str, source: str, text: str, tokenizer: str
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), n], names=["_id", "_source", "_tokens"])
 
     cols = [F.col(key).cast("long").alias("_id"), F.col(source).cast("string").alias("_source"), F.col(text).cast("string").alias("_text")]
-    return spread(df.select(*cols)).mapInArrow(run, "_id long, _source string, _tokens long")
+    return df.select(*cols).mapInArrow(run, "_id long, _source string, _tokens long")
 
 
 def targets(df: DataFrame, source: str, weight: str, repeats: str) -> list[Target]:

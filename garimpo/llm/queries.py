@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from garimpo.llm import leakage, lookalikes, mixing, mojibake, reading, refinement, splitting
-from garimpo.session import ship, table
+from garimpo.session import ship, table, text_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,8 +32,8 @@ def p1_names(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_restored(spark: SparkSession, d: str) -> DataFrame:
     ship(spark)
-    dictionaries = mojibake.train(mojibake.samples(table(spark, d, "documents"), "doc_id", "text", "lang"))
-    return mojibake.wrongly_decoded(table(spark, d, "loader"), "load_id", "text", dictionaries)
+    dictionaries = mojibake.train(mojibake.samples(text_table(spark, d, "documents"), "doc_id", "text", "lang"))
+    return mojibake.wrongly_decoded(text_table(spark, d, "loader"), "load_id", "text", dictionaries)
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -42,7 +42,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 def _oversized(spark: SparkSession, d: str) -> DataFrame:
     ship(spark)
-    return splitting.split_oversized(table(spark, d, "loader").select("load_id", "text"), "text")
+    return splitting.split_oversized(text_table(spark, d, "loader", "load_id", "text"), "text")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -76,13 +76,13 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_passages(spark: SparkSession, d: str) -> DataFrame:
     ship(spark)
-    return leakage.leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "itens_avaliacao"), "item_id", "text")
+    return leakage.leaks(text_table(spark, d, "documents"), "doc_id", "text", table(spark, d, "itens_avaliacao"), "item_id", "text")
 
 
 def _mixture(spark: SparkSession, d: str) -> mixing.Mixture:
     ship(spark)
     wanted = mixing.targets(table(spark, d, "metas_mistura"), "source", "peso_alvo", "max_repeticoes")
-    return mixing.mix(table(spark, d, "documents"), "doc_id", "source", "text", wanted)
+    return mixing.mix(text_table(spark, d, "documents"), "doc_id", "source", "text", wanted)
 
 
 def p7_documents(spark: SparkSession, d: str) -> DataFrame:
@@ -95,7 +95,7 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
 
 def _levels(spark: SparkSession, d: str, *keep: str) -> DataFrame:
     ship(spark)
-    return reading.levels(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "rotulos_leitura"), "doc_id", "nivel", keep)
+    return reading.levels(text_table(spark, d, "documents"), "doc_id", "text", table(spark, d, "rotulos_leitura"), "doc_id", "nivel", keep)
 
 
 def p8_levels(spark: SparkSession, d: str) -> DataFrame:
@@ -127,6 +127,17 @@ SQL = {
         OR regexp_matches(nome, '[\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}\\x{{ff01}}-\\x{{ff5e}}\\x{{fb00}}-\\x{{fb06}}]')
         OR len(list_filter(regexp_extract_all(nome, '[\\p{{L}}\\p{{M}}]+'), lambda w: {_SCRIPTS} > 1)) > 0""",
     "p6_found": f"""SELECT DISTINCT doc_id, item_id FROM ({_WINDOWS.format(id="doc_id", t="documents")}) JOIN ({_WINDOWS.format(id="item_id", t="itens_avaliacao")}) USING (g)""",
+    # passages are islands of windows; offsets are sums over the stretches with and without letters or digits
+    "p6_passages": f"""WITH hits AS (SELECT DISTINCT doc_id, item_id, d.i FROM ({_WINDOWS.format(id="doc_id", t="documents").replace("DISTINCT doc_id", "doc_id, i")}) d
+            JOIN ({_WINDOWS.format(id="item_id", t="itens_avaliacao")}) USING (g)),
+        runs AS (SELECT doc_id, item_id, min(i) AS a, max(i) + 11 AS b FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id, item_id ORDER BY i) AS run
+            FROM (SELECT *, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id, item_id ORDER BY i) + 12 THEN 0 ELSE 1 END AS new FROM hits)) GROUP BY doc_id, item_id, run),
+        parts AS (SELECT doc_id, unnest(s) AS p, generate_subscripts(s, 1) AS k FROM (SELECT doc_id, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}\\p{{M}}]+|[^\\p{{L}}\\p{{N}}\\p{{M}}]+') AS s
+            FROM documents WHERE doc_id IN (SELECT doc_id FROM hits))),
+        places AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS w, begin, begin + length(p) AS fin FROM (SELECT *, sum(length(p)) OVER (PARTITION BY doc_id ORDER BY k) - length(p) AS begin FROM parts)
+            WHERE regexp_matches(p, '[\\p{{L}}\\p{{N}}]')),
+        totals AS (SELECT doc_id, item_id, sum(b - a + 1)::INT AS n_palavras, count(*)::INT AS n_trechos, min(a) AS a, arg_min(b, a) AS b FROM runs GROUP BY doc_id, item_id)
+        SELECT t.doc_id, item_id, n_palavras, n_trechos, x.begin::INT AS inicio, y.fin::INT AS fim FROM totals t JOIN places x ON t.doc_id = x.doc_id AND t.a = x.w JOIN places y ON t.doc_id = y.doc_id AND t.b = y.w""",
     "p4_found": "SELECT load_id FROM loader WHERE length(text) > 4000",
     "p5_found": f"""WITH k AS ({_BOTH})
         SELECT a.tabela, a.id AS id_menor, b.id AS id_maior FROM k a JOIN k b

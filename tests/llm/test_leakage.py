@@ -29,8 +29,8 @@ def test_found_in_other_writing():
     p = L.Passages([(1, item(1)), (2, item(2)), (3, "curto demais")])
     part = item(1).split()
     text = "Início. " + " ".join(part[5:17]).upper().replace(" ", ",\n ") + " fim"
-    ((i, n, runs, a, b),) = p.find(text)
-    assert (i, n, runs) == (1, 12, 1) and text[a:b].lower().startswith("palavra1x5")
+    ((i, [(first, last, a, b)]),) = p.find(text)
+    assert (i, first, last) == (1, 1, 12) and text[a:b].lower().startswith("palavra1x5")
     assert p.find(" ".join(part[5:16])) == []
     assert p.find(" ".join([*part[:8], "outra", *part[8:16]])) == []
 
@@ -40,7 +40,7 @@ def test_shared_passages_and_several_runs():
     p = L.Passages([(1, "a b " + shared), (2, shared + " c")])
     assert {h[0] for h in p.find("x " + shared + " y")} == {1, 2}
     two = item(1) + " meio " + item(1)
-    assert L.Passages([(1, item(1))]).find(two)[0][2] == 2
+    assert L.Passages([(1, item(1))]).find(two)[0][1][1][:2] == (31, 60)
 
 
 def test_against_brute_force(spark):
@@ -61,22 +61,43 @@ def test_against_brute_force(spark):
     assert L.leaks(df, "doc_id", "text", it.limit(0), "item_id", "text").count() == 0
 
 
-def test_blocks_give_the_same(spark, monkeypatch):
-    docs = spark.createDataFrame([(d, item(d % 4, 300)) for d in range(8)], "doc_id long, text string")
-    items = spark.createDataFrame([(k, item(k, 300)) for k in range(4)], "item_id long, text string")
-    one = {tuple(r)[:2] for r in L.leaks(docs, "doc_id", "text", items, "item_id", "text").collect()}
-    monkeypatch.setattr(L, "BLOCK_WORDS", 100)
-    got = L.leaks(docs, "doc_id", "text", items, "item_id", "text").collect()
-    assert {tuple(r)[:2] for r in got} == one and len(got) == len(one) == 8
+def test_any_block_size_gives_the_same_rows(spark):
+    random.seed(2)
+    marks = [" ", " - ", ", ", " … ", ".\n"]
 
+    def written(ws):
+        return "".join(w + random.choice(marks) for w in ws)
 
-def test_cuts_count_the_words_of_windows(spark, monkeypatch):
-    monkeypatch.setattr(L, "BLOCK_WORDS", 50)
+    rows = [(k, written([f"p{random.randint(0, 6)}" for _ in range(random.choice((5, 14, 60, 90)))])) for k in range(12)] + [(20, "a-b-c." * 20)]
+    def own(text):
+        return re.findall(r"\w+", text.upper())
+
+    def other():
+        return [f"p{random.randint(0, 6)}" for _ in range(20)]
+
+    texts = [(d, written(other() + own(a[1]) + other() + own(b[1]) + other() + own(a[1]))) for d in range(20) for a, b in [random.choices(rows, k=2)]]
+    docs, items = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(rows, "item_id long, text string")
+
+    def found(size):
+        return sorted(map(tuple, L.leaks(docs, "doc_id", "text", items, "item_id", "text", 8, size).collect()))
+
+    one = found(10_000)
+    assert len(one) > 10 and any(r[3] > 1 for r in one)
+    for size in (1, 17, 100):
+        assert found(size) == one
+
+
+def test_cuts_count_the_words_of_windows(spark):
     spaced, joined = " - ".join(f"p{i}é" for i in range(120)), ".".join(f"q{i}" for i in range(200))
-    blocks = L._blocks(spark.createDataFrame([(1, spaced), (2, joined)], "item_id long, text string"), "item_id", "text", 12)
-    assert all(sum(len(words(t)) for _, t in b) <= 50 + 11 for b in blocks)
+    blocks = list(L._blocks(spark.createDataFrame([(1, spaced), (2, joined)], "item_id long, text string"), "item_id", "text", 12, 50))
+    assert all(sum(len(words(t)) for _, t in b) <= 50 for b in blocks)
     found = [L.Passages(b) for b in blocks]
     for name, count, item_id in (("p%dé", 120, 1), ("q%d", 200, 2)):
         for i in range(count - 11):
             part = " ".join(name % k for k in range(i, i + 12))
             assert {h[0] for p in found for h in p.find(part)} == {item_id}, part
+
+
+def test_codes_are_as_wide_as_the_vocabulary():
+    many = L.Passages([(1, " ".join(f"w{i}" for i in range(18_000)))])
+    assert many.width == 4 and len(set(many.codes.values())) == 18_000
