@@ -10,17 +10,22 @@ The streams are interleaved by Pfair scheduling: block j of a source with n of N
 blocks is released at slot floor(jN/n), has its deadline at ceil((j+1)N/n), and
 the released block with the earliest deadline goes first. At every prefix of the
 result a source is less than one block from its share (besides the document that
-straddles a block's end).
+straddles a block's end). ``block_tokens`` is the size of a block, whatever the
+size of the data, and so the bound of that deviation.
 
 The positions in a stream are prefix sums in two steps, over at most ``BUCKETS``
 hash buckets of each source and then inside a bucket, so that no source is held
-by one task. The schedule has at most ``BLOCKS`` blocks plus one for each source,
-whatever the size of the data; it and the target table are all that is broadcast.
+by one task; rows are shuffled by bucket once, without texts. The schedule is
+made in an executor, row after row: it needs the state of each source only, and
+some microseconds for a block. It is joined by source and block, and is
+broadcast only up to ``MOST_BROADCAST`` blocks. The driver sees
+the targets and the token totals of the listed sources.
 
 Defined results: a source that is null, has no target, or has target 0 or less
 or a cap below 1 gives nothing; a listed source without documents gets share 0
 and its weight goes to the others; null text has 0 tokens; repeated texts under
-other ids are documents of their own; repeated target rows of one source are
+other ids are documents of their own; a run of more than ``PIECE`` white-space
+characters is counted in cuts, any other text whole; repeated target rows of one source are
 added up, with the greatest cap; an empty corpus gives no documents and shares
 of 0. Ties of the hash go by id. Other columns are not read.
 """
@@ -29,12 +34,13 @@ from __future__ import annotations
 
 import base64
 import heapq
-import uuid
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from garimpo.session import shared_dir
@@ -42,14 +48,17 @@ from garimpo.session import shared_dir
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 # The word pattern that these vocabularies were made with. Fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-BUCKET_BITS = 10
+BUCKET_BITS = 12
 BUCKETS = 1 << BUCKET_BITS
-BLOCKS = 1 << 15
+#: Tokens of a block of the schedule.
+BLOCK_TOKENS = 1 << 16
+#: Blocks of a schedule that is broadcast at most; a longer one is joined by shuffle.
+MOST_BROADCAST = 1 << 18
 #: Most targets that are taken to the driver.
 MOST_TARGETS = 10_000
-#: Rows of prefix sums that are broadcast at most; with more sources they are joined.
-MOST_BROADCAST = 1 << 18
+#: Characters that the tokenizer is given at once, as it fails on longer white space; cuts go where no token can reach across.
 PIECE = 100_000
+_CUT = re.compile(r"(?<=\S)(?=\s)")
 
 
 @dataclass(frozen=True)
@@ -77,19 +86,22 @@ def encoding(tokenizer: bytes):
 
 
 def count_tokens(encode, text: str | None) -> int:
-    """Tokens of a text; a very long one is counted in pieces that end before a space."""
+    """Tokens of a text. A very long one is counted in pieces that end before white space, which begins a token."""
     if not text:
         return 0
-    if len(text) <= PIECE:
-        return len(encode(text))
     n, at = 0, 0
-    while at < len(text):
-        end = min(at + PIECE, len(text))
-        cut = text.rfind(" ", at + 1, end) if end < len(text) else end
-        end = cut if cut > at and (cut == len(text) or not text[cut - 1].isspace()) else end
+    while len(text) - at > PIECE:
+        end = at + PIECE
+        while end > at and not (text[end].isspace() and not text[end - 1].isspace()):
+            end -= 1
+        if end == at and text[at + PIECE].isspace():  # white space only
+            end = at + PIECE
+        elif end == at:
+            later = _CUT.search(text, at + PIECE)
+            end = later.start() if later else len(text)
         n += len(encode(text[at:end]))
         at = end
-    return n
+    return n + len(encode(text[at:]))
 
 
 def with_tokens(df: DataFrame, key: str, source: str, text: str, tokenizer: str = TOKENIZER) -> DataFrame:
@@ -142,14 +154,13 @@ def allot(wanted: list[Target], available: dict[str, int], total: int) -> list[S
     return [Share(t.source, t.weight, available.get(t.source, 0), taken.get(t.source, 0)) for t in wanted]
 
 
-def pfair(blocks: dict[str, int]) -> list[tuple[str, int, int]]:
+def pfair(blocks: dict[str, int]) -> Iterator[tuple[str, int, int]]:
     """(source, block, slot) by release times, deadlines and earliest deadline first."""
     total = sum(blocks.values())
     names = sorted(blocks)
     coming = [(0, k, 0) for k, s in enumerate(names) if blocks[s]]  # (release, source, block)
     heapq.heapify(coming)
     ready: list[tuple[int, int, int]] = []  # (deadline, source, block)
-    out = []
     for slot in range(total):
         while coming and coming[0][0] <= slot:
             _, k, j = heapq.heappop(coming)
@@ -158,8 +169,18 @@ def pfair(blocks: dict[str, int]) -> list[tuple[str, int, int]]:
             if j + 1 < n:
                 heapq.heappush(coming, ((j + 1) * total // n, k, j + 1))
         _, k, j = heapq.heappop(ready)
-        out.append((names[k], j, slot))
-    return out
+        yield names[k], j, slot
+
+
+def schedule(spark: SparkSession, blocks: dict[str, int]) -> DataFrame:
+    """The rows of ``pfair``, made in one task that holds a batch at a time."""
+
+    def run(_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pfair(blocks)
+        while batch := list(islice(rows, 1 << 16)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*batch), (pa.string(), pa.int64(), pa.int64()))], names=["_source", "_block", "slot"])
+
+    return spark.range(1, numPartitions=1).mapInArrow(run, "_source string, _block long, slot long")
 
 
 @dataclass
@@ -170,37 +191,34 @@ class Mixture:
     shares: DataFrame
 
 
-def mix(docs: DataFrame, key: str, source: str, text: str, wanted: list[Target], total_tokens: int | None = None, tokenizer: str = TOKENIZER, seed: int = 0, blocks: int = BLOCKS) -> Mixture:
+def mix(docs: DataFrame, key: str, source: str, text: str, wanted: list[Target], total_tokens: int | None = None, tokenizer: str = TOKENIZER, seed: int = 0, block_tokens: int = BLOCK_TOKENS) -> Mixture:
     """Chooses documents for ``total_tokens`` (none given: as many as the listed sources hold once).
 
-    Counts the tokens when called and keeps the counts, without texts, in the
-    shared folder; the rest is lazy.
+    Counts the tokens when called and keeps the counts, without texts, as a
+    checkpoint in the shared folder; the rest is lazy.
     """
     spark = docs.sparkSession
     names = [t.source for t in wanted]
     counted = with_tokens(docs.filter(F.col(source).isin(names)) if names else docs.limit(0), key, source, text, tokenizer)
-    place = f"{shared_dir(spark).rstrip('/')}/garimpo-mix-{uuid.uuid4().hex}"
+    shared_dir(spark)
     hashed = counted.withColumn("_hash", F.xxhash64("_id", F.lit(seed)))
-    hashed.withColumn("_bucket", F.shiftrightunsigned("_hash", 64 - BUCKET_BITS).cast("int")).write.parquet(place)
-    counted = spark.read.parquet(place)
+    counted = hashed.withColumn("_bucket", F.shiftrightunsigned("_hash", 64 - BUCKET_BITS).cast("int")).checkpoint()
 
     sums = counted.groupBy("_source", "_bucket").agg(F.sum("_tokens").alias("_sum"))
     by_source = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(by_source), F.lit(0)))
     available = {r[0]: int(r[1]) for r in counted.groupBy("_source").agg(F.sum("_tokens")).collect()}
     shares = allot(wanted, available, sum(available.values()) if total_tokens is None else total_tokens)
-    taken = sum(s.taken for s in shares)
-    size = max(1, -(-taken // blocks))
-    order = pfair({s.source: -(-s.taken // size) for s in shares if s.taken})
 
     plan = spark.createDataFrame([(s.source, s.weight, s.available, s.taken) for s in shares], "_source string, _weight double, _available long, _taken long")
-    slots = spark.createDataFrame(order, "_source string, _block long, slot long")
-    prefix = sums.select("_source", "_bucket", "_before")
+    blocks = {s.source: -(-s.taken // block_tokens) for s in shares if s.taken}
+    slots = schedule(spark, blocks)
+    slots = F.broadcast(slots) if sum(blocks.values()) <= MOST_BROADCAST else slots.hint("shuffle_merge")  # the planner can't know its size
+    prefix = sums.select("_source", "_bucket", F.coalesce(F.sum("_sum").over(by_source), F.lit(0)).alias("_before"))
     in_bucket = Window.partitionBy("_source", "_bucket").orderBy("_hash", "_id").rowsBetween(Window.unboundedPreceding, -1)
     placed = (
         counted.withColumn("_inside", F.coalesce(F.sum("_tokens").over(in_bucket), F.lit(0)))
-        .join(F.broadcast(prefix) if len(names) * BUCKETS <= MOST_BROADCAST else prefix, ["_source", "_bucket"])
-        .join(F.broadcast(plan), "_source")
+        .join(prefix, ["_source", "_bucket"])
+        .join(F.broadcast(plan), "_source")  # at most MOST_TARGETS rows
         .withColumn("_at", F.col("_before") + F.col("_inside"))
     )
     epochs = F.expr("if(_available > 0, _taken div _available, 0L)")
@@ -210,8 +228,8 @@ def mix(docs: DataFrame, key: str, source: str, text: str, wanted: list[Target],
         .filter("_copies > 0")
         .withColumn("repeticao", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
         .withColumn("posicao", (F.col("repeticao") - 1) * F.col("_available") + F.col("_at"))
-        .withColumn("_block", F.expr(f"posicao div {size}L"))
-        .join(F.broadcast(slots), ["_source", "_block"], "left")
+        .withColumn("_block", F.expr(f"posicao div {block_tokens}L"))
+        .join(slots, ["_source", "_block"], "left")
         .select(F.col("_id").alias(key), F.col("_source").alias(source), "repeticao", F.col("_tokens").alias("tokens"), "slot", "posicao")
     )
     got = chosen.groupBy(F.col(source).alias("_source")).agg(F.sum("tokens").alias("tokens"), F.countDistinct(key).alias("documentos"), F.count(F.lit(1)).alias("copias"), F.max("repeticao").alias("max_repeticao"))

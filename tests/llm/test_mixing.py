@@ -17,7 +17,7 @@ def test_pfair_keeps_every_share():
             done[s] += 1
             assert all(abs(done[x] - (slot + 1) * n[x] / total) < 1 for x in n)
         assert done == n
-    assert M.pfair({}) == []
+    assert list(M.pfair({})) == []
 
 
 def test_allot():
@@ -39,12 +39,41 @@ def test_tokens():
     assert M.count_tokens(e.encode_ordinary, text) == len(e.encode_ordinary(text))
     assert M.count_tokens(e.encode_ordinary, None) == M.count_tokens(e.encode_ordinary, "") == 0
     assert e.decode(e.encode_ordinary(text)) == text
-    assert M.count_tokens(e.encode_ordinary, "x" * 250_000) > 0
+    random.seed(6)
+    kinds = [" ", "\n", "  ", "palavra", "1", ".", "é", "\u3000", "\t"]
+    for text in ("x" * 250_000, "é, " * 90_000, "x" * 150_000 + " " * 90_000 + "y", "".join(random.choices(kinds, k=150_000)), " " * 99_000 + "x" * 120_000 + "\n fim"):
+        assert M.count_tokens(e.encode_ordinary, text) == len(e.encode_ordinary(text)), text[:10]
+    assert M.count_tokens(e.encode_ordinary, " " * 450_000 + "x") > 0
 
 
-def mixture(spark, rows, wanted, total=None, blocks=50):
+def test_schedule_is_that_of_pfair(spark):
+    n = {"a": 70_000, "b": 3, "c": 900}
+    assert [tuple(r) for r in M.schedule(spark, n).orderBy("slot").collect()] == list(M.pfair(n))
+    assert M.schedule(spark, {}).count() == 0
+
+
+def test_a_long_schedule_is_joined(spark, monkeypatch):
+    rows = [(i, "ab"[i % 3 == 0], "palavra " * 5) for i in range(200)]
+    wanted = [M.Target("a", 0.5, 1), M.Target("b", 0.5, 1)]
+    one = sorted(map(tuple, mixture(spark, rows, wanted).documents.collect()))
+    monkeypatch.setattr(M, "MOST_BROADCAST", 3)
+    assert sorted(map(tuple, mixture(spark, rows, wanted).documents.collect())) == one
+
+
+def test_the_block_bounds_the_deviation_at_any_size(spark):
+    for size in (100, 2000):
+        rows = [(i, "ab"[i % 3 == 0], "palavra " * 5) for i in range(size)]
+        docs = mixture(spark, rows, [M.Target("a", 0.5, 1), M.Target("b", 0.5, 1)], block_tokens=30).documents.collect()
+        seen = {"a": 0, "b": 0}
+        whole = {s: sum(r.tokens for r in docs if r.source == s) for s in seen}
+        for r in sorted(docs, key=lambda r: (r.slot, r.posicao)):
+            seen[r.source] += r.tokens
+            assert all(abs(seen[s] - sum(seen.values()) * whole[s] / sum(whole.values())) < 2 * 30 for s in seen)
+
+
+def mixture(spark, rows, wanted, total=None, block_tokens=60):
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, source string, text string, tokens int")
-    return M.mix(df, "doc_id", "source", "text", wanted, total, blocks=blocks)
+    return M.mix(df, "doc_id", "source", "text", wanted, total, block_tokens=block_tokens)
 
 
 def test_shares_and_caps(spark):
