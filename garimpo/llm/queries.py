@@ -102,6 +102,11 @@ def p8_levels(spark: SparkSession, d: str) -> DataFrame:
     return _levels(spark, d)
 
 
+def p8_held_out(spark: SparkSession, d: str) -> DataFrame:
+    ship(spark)
+    return reading.held_out(text_table(spark, d, "documents"), "doc_id", "text", table(spark, d, "rotulos_leitura"), "doc_id", "nivel")
+
+
 def p8_profile(spark: SparkSession, d: str) -> DataFrame:
     by_level = [F.count_if(F.col("nivel") == k).alias(f"nivel_{k}") for k in range(1, reading.LEVELS + 1)]
     return _levels(spark, d, "source").groupBy("source").agg(F.count(F.lit(1)).alias("documentos"), F.avg("nivel_estimado").alias("nivel_medio"), *by_level)
@@ -147,4 +152,4 @@ SQL = {
         UNION ALL SELECT tabela, arquivo, id, 1 FROM k WHERE arquivo IS NULL""",
 }
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_names": p1_names, "p2_found": p2_found, "p2_restored": p2_restored, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_records": p5_records, "p6_found": p6_found, "p6_passages": p6_passages, "p7_documents": p7_documents, "p7_shares": p7_shares, "p8_levels": p8_levels, "p8_profile": p8_profile}
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_names": p1_names, "p2_found": p2_found, "p2_restored": p2_restored, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_records": p5_records, "p6_found": p6_found, "p6_passages": p6_passages, "p7_documents": p7_documents, "p7_shares": p7_shares, "p8_levels": p8_levels, "p8_held_out": p8_held_out, "p8_profile": p8_profile}

@@ -8,10 +8,16 @@ them to the graded levels. The estimate is the expected level, so it is
 comparable across sources and with the grades.
 
 Word rarity is the mean surprisal of the words under counts over the whole
-corpus. The counts are kept in a table of ``BUCKETS`` hashed cells: its size does
-not depend on the vocabulary, and it is all of the corpus that reaches the driver
-and is broadcast. The model is fitted to at most ``MOST_LABELS`` labelled rows,
-least hash of the id first.
+corpus. The counts are exact and stay distributed, as a checkpoint in the shared
+folder. The ``VOCABULARY`` most frequent words (whole classes of equal frequency,
+by logarithmic bins) have their own surprisal; all others share that of their
+mean count, so a rare word is rare in a corpus of any size. That table and the
+sizes of the bins are all of the corpus that reaches the driver and is broadcast.
+The model is fitted to at most ``MOST_LABELS`` labelled rows, least hash of the
+id first.
+
+Words a sentence count up to 200 and letters a word up to 30 (number tables and
+endless lines), and a standardised feature up to four deviations.
 
 Defined results: a null, empty or wordless text has no estimate (null level, 0
 words); texts of any length are read whole; rows without a level are left out of
@@ -34,8 +40,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from garimpo.llm.words import normalised
+from garimpo.session import shared_dir
 
-BUCKETS = 1 << 17
+#: Most words with a count of their own.
+VOCABULARY = 1 << 17
+#: Bins of word counts for each doubling.
+BINS = 64
 MOST_LABELS = 20_000
 LEAST_LABELS = 8
 LEVELS = 5
@@ -56,30 +66,25 @@ SUBORDINATORS = frozenset(
 FEATURES = ("log_palavras", "palavras_por_frase", "letras_por_palavra", "palavras_longas", "diversidade", "diversidade_log", "raridade", "conectivos", "subordinadas_por_frase", "virgulas_por_frase")
 
 
-def bucket(word: bytes) -> int:
-    return zlib.crc32(word) & (BUCKETS - 1)
-
-
-class _Packed(dict):
-    """word -> surprisal in 1/256 bits, long word, connective and subordinator, packed into one integer to be summed."""
-
-    def __init__(self, surprisal: np.ndarray) -> None:
-        super().__init__()
-        self.surprisal = surprisal
-
-    def __missing__(self, w: bytes) -> int:
-        v = int(self.surprisal[bucket(w)] * 256) + ((len(w) >= LONG_WORD) << 40) + ((w in CONNECTIVES) << 64) + ((w in SUBORDINATORS) << 88)
-        if len(self) < MEMO:
-            self[w] = v
-        return v
-
+@dataclass(frozen=True)
+class Rarity:
+    """Surprisal of words in bits: of frequent ones their own, of all others one value."""
 
-_LOW, _MID = (1 << 40) - 1, (1 << 24) - 1
+    words: list[bytes]
+    bits: np.ndarray
+    other: float
 
 
 class Measure:
-    def __init__(self, surprisal: np.ndarray) -> None:
-        self.of = _Packed(surprisal).__getitem__
+    def __init__(self, rarity: Rarity) -> None:
+        # rows of the table: the words, connectives and subordinators without a count of their own, other short and long words
+        words = list(dict.fromkeys([*rarity.words, *sorted(CONNECTIVES | SUBORDINATORS)]))
+        self.rows = _Rows(zip(words, range(len(words))))
+        self.table = np.zeros((len(words) + 2, 4))
+        self.table[:, 0] = rarity.other
+        self.table[: len(rarity.words), 0] = rarity.bits
+        self.table[:-2, 1:] = [(len(w) >= LONG_WORD, w in CONNECTIVES, w in SUBORDINATORS) for w in words]
+        self.table[-1, 1] = 1
 
     def features(self, text: str | None) -> list[float] | None:
         ws = normalised(text).split() if text else ()
@@ -87,7 +92,7 @@ class Measure:
         if not n:
             return None
         types = len(set(ws))
-        packed = sum(map(self.of, ws))
+        bits, long, connectives, subordinators = self.table[np.fromiter(map(self.rows.__getitem__, ws), np.int64, n)].sum(0).tolist()
         letters = sum(map(len, ws))
         ends = text.count(". ") + text.count(".\n") + text.count("? ") + text.count("! ") + text.count("?\n") + text.count("!\n") + text.count(".\r")
         sentences = max(1, ends + (text.rstrip()[-1:] in ".!?"))
@@ -95,48 +100,68 @@ class Measure:
             math.log(n),
             min(n / sentences, 200.0),
             min(letters / n, 30.0),
-            (packed >> 40 & _MID) / n,
+            long / n,
             types / math.sqrt(2 * n),
             math.log(types + 1) / math.log(n + 1),
-            (packed & _LOW) / 256 / n,
-            (packed >> 64 & _MID) / n,
-            (packed >> 88) / sentences,
+            bits / n,
+            connectives / n,
+            subordinators / sentences,
             text.count(",") / sentences,
         ]
 
 
-def word_counts(df: DataFrame, text: str) -> np.ndarray:
-    """Counts of all words of all texts in hashed cells. Runs a job."""
+class _Rows(dict):
+    """word -> row of the table; other words take the last two rows, counted from the end."""
+
+    def __missing__(self, w: bytes) -> int:
+        return -1 if len(w) >= LONG_WORD else -2
+
+
+def word_counts(df: DataFrame, text: str) -> DataFrame:
+    """(word, n) of all words of all texts, counted in the partitions before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(BUCKETS, np.int64)
         counts: Counter = Counter()
 
-        def flush() -> None:
-            if counts:
-                at = np.fromiter((bucket(w) for w in counts), np.int64, len(counts))
-                np.add.at(cells, at, np.fromiter(counts.values(), np.int64, len(counts)))
-                counts.clear()
+        def flush() -> pa.RecordBatch:
+            got = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
+            counts.clear()
+            return got
 
         for b in batches:
             for t in b.column(0).to_pylist():
                 if t:
                     counts.update(normalised(t).split())
-            if len(counts) > MEMO:
-                flush()
-        flush()
-        used = np.flatnonzero(cells)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(cells[used], pa.int64())], names=["cell", "n"])
-
-    parts = df.select(F.col(text).cast("string")).mapInArrow(run, "cell int, n long")
-    out = np.zeros(BUCKETS, np.int64)
-    got = parts.groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    out[got["cell"].to_numpy()] = got["n"].to_numpy()
-    return out
-
-
-def surprisal(counts: np.ndarray) -> np.ndarray:
-    return np.log2((counts.sum() + BUCKETS) / (counts + 1.0)).astype(np.float32)
+                    if len(counts) > MEMO:
+                        yield flush()
+        yield flush()
+
+    return df.select(F.col(text).cast("string")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def rarity(counts: DataFrame, most: int | None = None) -> Rarity:
+    """Surprisal under the counts, with one added for each word. Reads ``counts`` twice."""
+    most = VOCABULARY if most is None else most
+    at = F.floor(F.log2("n") * BINS).cast("int")
+    bins = counts.groupBy(at.alias("bin")).agg(F.count(F.lit(1)).alias("words"), F.sum("n").alias("n")).orderBy(F.desc("bin")).collect()
+    held, least = 0, None
+    for r in bins:
+        if held + r.words > most:
+            break
+        held, least = held + r.words, r.bin
+    rest = [r for r in bins if least is None or r.bin < least]
+    types, total = sum(r.words for r in bins), sum(r.n for r in bins)
+    few, kinds = sum(r.n for r in rest), sum(r.words for r in rest)
+    # at most ``most`` rows
+    own = counts.filter(at >= least).orderBy("word").toArrow() if held else pa.table({"word": pa.array([], pa.binary()), "n": pa.array([], pa.int64())})
+    bits = np.log2((total + types) / (own["n"].to_numpy() + 1.0))
+    return Rarity(own["word"].to_pylist(), bits, math.log2((total + types) / (few / kinds + 1)) if kinds else 0.0)
+
+
+def known_words(docs: DataFrame, text: str) -> Rarity:
+    """The rarity of the words of all documents. Runs jobs."""
+    shared_dir(docs.sparkSession)
+    return rarity(word_counts(docs, text).checkpoint())
 
 
 @dataclass(frozen=True)
@@ -189,7 +214,7 @@ def fit(x: np.ndarray, level: np.ndarray, penalty: float = PENALTY, rounds: int
     return Ordinal(mean, scale, p[:d], p[d] + np.concatenate([[0.0], np.cumsum(gaps)]))
 
 
-def labelled_features(docs: DataFrame, key: str, text: str, labels: DataFrame, label_key: str, level: str, rarity: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def labelled_features(docs: DataFrame, key: str, text: str, labels: DataFrame, label_key: str, level: str, known: Rarity) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(ids, features, levels) of the bounded sample of labelled rows. Runs a job."""
     spark = docs.sparkSession
     usable = labels.select(F.col(label_key).cast("long").alias("_id"), F.col(level).cast("int").alias("_level")).filter(f"_id is not null and _level between 1 and {LEVELS}")
@@ -198,7 +223,7 @@ def labelled_features(docs: DataFrame, key: str, text: str, labels: DataFrame, l
     if not len(ids):
         return ids, np.zeros((0, len(FEATURES))), levels
     wanted = spark.createDataFrame(pa.table({"_id": np.unique(ids)}))
-    held = spark.sparkContext.broadcast(rarity)
+    held = spark.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Measure(held.value).features
@@ -216,13 +241,33 @@ def labelled_features(docs: DataFrame, key: str, text: str, labels: DataFrame, l
     return ids[keep], x, levels[keep]
 
 
+def held_out(docs: DataFrame, key: str, text: str, labels: DataFrame, label_key: str, level: str, parts: int = 2) -> DataFrame:
+    """How near the model comes to labels it has not seen: documents are dealt into parts by id, each judged by a model of the others.
+
+    One row for each part and level: labels, how many have that level as the
+    likeliest, how many are at most one level off, and the mean error.
+    """
+    spark = docs.sparkSession
+    ids, x, y = labelled_features(docs, key, text, labels, label_key, level, known_words(docs, text))
+    part = np.array([zlib.crc32(str(i).encode()) % parts for i in ids.tolist()], int)
+    rows = []
+    for k in range(parts):
+        own = part == k
+        if own.any() and (~own).sum() >= LEAST_LABELS:
+            p = fit(x[~own], y[~own]).probabilities(x[own])
+            off = np.abs(p.argmax(1) + 1 - y[own])
+            error = np.abs(p @ np.arange(1, LEVELS + 1) - y[own])
+            rows += [(k, v, int(here.sum()), int((off[here] == 0).sum()), int((off[here] <= 1).sum()), float(error[here].mean())) for v in range(1, LEVELS + 1) if (here := y[own] == v).any()]
+    return spark.createDataFrame(rows, "parte int, nivel int, rotulos int, exatos int, ate_um int, erro_medio double")
+
+
 def levels(docs: DataFrame, key: str, text: str, labels: DataFrame, label_key: str, level: str, keep: Sequence[str] = ()) -> DataFrame:
     """``key``, the columns of ``keep``, ``palavras``, ``nivel_estimado`` (1 to 5, real) and ``nivel`` (the likeliest). Fits when called."""
     spark = docs.sparkSession
-    rarity = surprisal(word_counts(docs, text))
-    _, x, y = labelled_features(docs, key, text, labels, label_key, level, rarity)
+    known = known_words(docs, text)
+    _, x, y = labelled_features(docs, key, text, labels, label_key, level, known)
     model = fit(x, y) if len(y) >= LEAST_LABELS else None
-    held = spark.sparkContext.broadcast((rarity, model))
+    held = spark.sparkContext.broadcast((known, model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, fitted = held.value

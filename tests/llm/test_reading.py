@@ -1,4 +1,6 @@
+import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -25,11 +27,8 @@ def corpus():
 
 
 def test_held_out_accuracy(corpus):
-    counts = np.zeros(R.BUCKETS, np.int64)
-    for _, t, _ in corpus:
-        for w in R.normalised(t).split():
-            counts[R.bucket(w)] += 1
-    of = R.Measure(R.surprisal(counts)).features
+    counts = Counter(w for _, t, _ in corpus for w in R.normalised(t).split())
+    of = R.Measure(R.Rarity(list(counts), -np.log2(np.array(list(counts.values())) / counts.total()), 20.0)).features
     x, y = np.array([of(t) for _, t, _ in corpus]), np.array([k for *_, k in corpus])
     m = R.fit(x[::2], y[::2])
     guess = m.probabilities(x[1::2]).argmax(1) + 1
@@ -39,18 +38,38 @@ def test_held_out_accuracy(corpus):
     assert np.allclose(m.probabilities(x).sum(1), 1)
 
 
-def test_packed_sums_are_exact():
-    table = R.surprisal(np.ones(R.BUCKETS, np.int64))
+def test_features_are_exact():
     t = "porque que contratualmente casa, " * 5000
-    f = dict(zip(R.FEATURES, R.Measure(table).features(t)))
-    assert f["conectivos"] == 0.25 and f["palavras_longas"] == 0.25 and f["letras_por_palavra"] == (6 + 3 + 15 + 4) / 4
+    for known in (R.Rarity([], np.zeros(0), 3.0), R.Rarity([b"casa", b"contratualmente"], np.array([3.0, 3.0]), 3.0)):
+        f = dict(zip(R.FEATURES, R.Measure(known).features(t)))
+        assert f["conectivos"] == 0.25 and f["palavras_longas"] == 0.25 and f["letras_por_palavra"] == (6 + 3 + 15 + 4) / 4 and f["raridade"] == 3.0
 
 
 def test_counts_cover_everything(spark):
     texts = ["um dois dois", None, "", "três Três TRES"]
     df = spark.createDataFrame([(t,) for t in texts * 10], "text string").repartition(3)
     counts = R.word_counts(df, "text")
-    assert counts.sum() == 60 and counts[R.bucket(b"dois")] == 20 and counts[R.bucket(b"tres")] == 30
+    assert {bytes(r.word): r.n for r in counts.collect()} == {b"um": 10, b"dois": 20, b"tres": 30}
+    known = R.rarity(counts)
+    assert known.words == [b"dois", b"tres", b"um"] and np.allclose(known.bits, [math.log2(63 / 21), math.log2(63 / 31), math.log2(63 / 11)])
+
+
+def test_rare_words_stay_rare_beyond_the_vocabulary(spark):
+    texts = ["comum " * 50 + "medio " * 9] + [f"raro{i} unico{i} unico{i}" for i in range(300)]
+    counts = R.word_counts(spark.createDataFrame([(t,) for t in texts], "text string"), "text")
+    known = R.rarity(counts, 10)
+    assert known.words == [b"comum", b"medio"]
+    total, types = 59 + 900, 602
+    assert abs(known.other - math.log2((total + types) / (900 / 600 + 1))) < 1e-9 and known.other > known.bits.max()
+    assert R.rarity(counts.limit(0)).words == []
+
+
+def test_held_out_query(spark, corpus):
+    docs = spark.createDataFrame([(i, t) for i, t, _ in corpus], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, k) for i, _, k in corpus], "doc_id long, nivel int")
+    got = R.held_out(docs, "doc_id", "text", labels, "doc_id", "nivel").collect()
+    assert sum(r.rotulos for r in got) == 400 and sum(r.ate_um for r in got) > 360
+    assert R.held_out(docs, "doc_id", "text", labels.limit(0), "doc_id", "nivel").count() == 0
 
 
 def test_table(spark, corpus):
