@@ -18,14 +18,17 @@ words whose characters are odd as they stand (a sign or a capital inside a word,
 or a character that the languages do not use), until some passage of the text
 has given the chain away.
 
-U+FFFD stands for bytes that are lost: such loads are found but cannot be
-restored in full. Question marks in place of lost continuation bytes are filled
-in with the letters that make a known word or compress best, and the text is not
-counted as restored.
-
-The dictionaries are trained on a bounded sample of labelled clean documents
-(``TRAIN_DOCS`` for each language, least hash of the id first) and a short seed
-text for each language, which alone serves where there are no labelled documents.
+Lost bytes, U+FFFD or a question mark in place of a continuation byte, are read
+like other bytes: the text with the letters that may have been there is chosen
+if it is shorter to describe, their cost included. Of the readings that make a
+known word the shortest is taken; where there is none, each place takes the
+letter that compresses best among those around it, and U+FFFD stays. Such loads are
+found but not counted as restored.
+
+The dictionaries are trained on a bounded sample of labelled clean documents (at
+most ``TRAIN_DOCS`` for each language, of at most ``TRAIN_BYTES`` each, least
+hash of the id first) and a short seed text for each language, which alone
+serves where there are no labelled documents.
 
 Defined results: null, empty, blank and pure ASCII text is unchanged; a text of
 any length is read whole; equal texts get equal results; an empty table gives
@@ -43,8 +46,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-#: Bound of the training sample, documents for each language.
+#: Bounds of the training sample: documents for each language, and bytes of a document.
 TRAIN_DOCS = 600
+TRAIN_BYTES = 1 << 16
+#: Size of a dictionary, or a quarter of its sample where that is less.
 DICT_BYTES = 1 << 16
 LEVELS = (3, 9, 15)
 #: Bytes that it costs to state a chain in a text: each UTF-8 step, a step between one-byte encodings, a filled-in letter.
@@ -69,6 +74,8 @@ ONE_BYTE = tuple(
 #: Letters and signs beyond ASCII that one-byte readings may give.
 LETTERS = frozenset("áàâãäéêíóôõúüçñÁÀÂÃÉÊÍÓÔÕÚÜÇÑªº«»°§¿¡")
 SIGNS = frozenset("ªº«»°§¿¡")
+#: Marks and signs that one-byte readings may give besides.
+OTHERS = frozenset("–—‘’“”…€£¢¥½±")
 SEEDS = {
     "pt": "A empresa não apresentou certidão, razão pela qual se impõe a notificação. Ação, decisão, conclusão, seção, sócio, sócia, sócios, cônjuge, "
     "também, já, só, é, há, às, à, até, você, após, três, mês, público, responsável, possível, específica, princípio, prejuízo, município, cláusula, "
@@ -144,7 +151,7 @@ class ByteStep:
         self.label, self.right, self.wrong = f"{a}>{b}", a, b
         self.cost = BYTE_STEP
         to, of = charset(a).table, charset(b).bytes
-        self.map = {c: to[n] for c, n in of.items() if n >= 0x80 and to[n] in LETTERS}
+        self.map = {c: to[n] for c, n in of.items() if n >= 0x80 and (to[n] in LETTERS or to[n] in OTHERS)}
 
     def undo(self, word: str) -> str | None:
         out = []
@@ -163,32 +170,38 @@ def steps() -> tuple[list[Utf8Step], list[ByteStep]]:
     return [Utf8Step(b) for b in READ_AS], [ByteStep(a, b) for a, b in ONE_BYTE]
 
 
-def readings(word: str, depth: int = 3) -> list[tuple[tuple[str, ...], float, str]]:
-    """(chain, cost, text) of every reading of a word other than itself."""
+def readings(word: str) -> list[tuple[tuple[str, ...], float, str]]:
+    """(chain, cost, text) of every reading of a word other than itself.
+
+    Of several chains to one text the first counts, and each that repeats one step.
+    """
     utf8, byte = steps()
-    out: dict[str, tuple[tuple[str, ...], float, str]] = {}
+    out: list[tuple[tuple[str, ...], float, str]] = []
+    seen = {word}
     level = [((), 0.0, word)]
-    for d in range(depth):
+    while level:  # every step shortens the word
         after = []
         for chain, cost, text in level:
             for s in utf8:
                 got = s.undo(text)
-                if got is not None and got != word and got not in out:
-                    out[got] = (chain + (s.label,), cost + s.cost, got)
-                    after.append(out[got])
+                if got is not None and got != word and (got not in seen or {*chain, s.label} == {s.label}):
+                    seen.add(got)
+                    after.append((chain + (s.label,), cost + s.cost, got))
+        out += after
         level = after
-        if not level:
-            break
-    strange = odd(word)
-    for s in byte if word[0] not in TYPOGRAPHIC and word[-1] not in TYPOGRAPHIC else ():
+    # a mark at the end of a word is a mark of the text until its chain has been seen
+    strange = word[0] not in TYPOGRAPHIC and word[-1] not in TYPOGRAPHIC and (odd(word) or _INNER.search(word))
+    for s in byte:
         got = s.undo(word)
-        if got is not None and got not in out and not odd(got) and not _RUNS.search(got):
-            out[got] = ((s.label,), s.cost if strange else HELD, got)
-    return list(out.values())
+        if got is not None and got not in seen and not odd(got) and not _RUNS.search(got):
+            seen.add(got)
+            out.append(((s.label,), s.cost if strange else HELD, got))
+    return out
 
 
 # Marks and signs that are usual in any text. Fixed values.
 TYPOGRAPHIC = "–—‘’“”…€£"
+_INNER = re.compile(f"[^\\W\\d_][{TYPOGRAPHIC}][^\\W\\d_]")
 
 
 def odd(word: str) -> bool:
@@ -203,20 +216,21 @@ def odd(word: str) -> bool:
         if c.islower() and c not in SIGNS and word[i + 1 : i + 2].isupper():
             return True
         inside = i > 0 and word[i - 1].isalpha() and word[i - 1] not in SIGNS
-        if inside and (c in SIGNS and word[i + 1 : i + 2].isalpha() or c.isupper() and word[i - 1].islower()):
+        if inside and (c in SIGNS and word[i + 1 : i + 2].isalpha() or c.isupper() and (word[i - 1].islower() or word[i + 1 : i + 2].islower())):
             return True
     return False
 
 
 _RUNS = re.compile("[^\x00-\x7f]{3}")
-_LOST = re.compile("[ÂÃ]\\?|â\\?[?\x80-\xbf€œž™š]|â€\\?")
-_FILLS = {2: [c for c in "ÃÇÉÁÍÕÓÊÚÀÂÔÜãçéáíõóêúàâô"], 3: ["“", "”", "–", "’", "€", "—"]}
+_LOST = re.compile("[ÂÃ]\\?|â\\?[?\x80-\xbf€œž™š]|â€\\?|\ufffd")
+# What lost bytes may have been. Fixed values.
+_LETTERS, _MARKS = tuple("ãçéáíõóêúàâôüñ"), ("“", "”", "–", "’", "€", "—")
 _TOKEN = re.compile(r"[^\x00-\x20]+[\x00-\x20]*|[\x00-\x20]+")
 _END = re.compile(r"[.;!?\n\r\f][ \t\n\r\f]*\Z")
 CHUNK_WORDS = 30
 _RUN = re.compile(r"[^\x00-\x20]+")
-_NEAR = re.compile(r"[A-Za-z]{0,10}[^\x00-\x7f](?:[A-Za-z]{0,4}[^\x00-\x7f])*[A-Za-z]{0,10}")
-LONG = 60
+#: What is read as one word: a stretch of letters and characters beyond ASCII.
+_WORD = re.compile(r"(?:[A-Za-z]|[^\x00-\x7f])+")
 
 
 def passages(text: str) -> list[str]:
@@ -246,6 +260,8 @@ class Repairer:
             for d in dictionaries.values()
         ]
         self.content = b"\n".join(dictionaries.values())
+        self.plain = self.content.decode("utf-8", "ignore").lower()
+        self.longest = max(map(len, _RUN.findall(self.plain)), default=0)
         self.words: dict[str, bool] = {}
         self.memo: dict[bytes, list] = {}
 
@@ -254,12 +270,20 @@ class Repairer:
         got = self.words.get(word)
         if got is None:
             bare = word.strip(".,;:!?()\"'“”«»").lower()
-            got = len(bare) >= 3 and any(f"{a}{bare}".encode() in self.content for a in " (\n")
+            ends = ("",) if len(bare) >= 3 else (" ", ".", ",")
+            got = bool(bare) and any(f"{a}{bare}{b}".encode() in self.content for a in " (\n" for b in ends)
             if len(self.words) > MEMO:
                 self.words.clear()
             self.words[word] = got
         return got
 
+    def likely(self, word: str, reading: str) -> bool:
+        """Whether a reading puts three characters that a dictionary has for three that none has, wherever it differs."""
+        if len(word) != len(reading):
+            return False
+        a, b = f" {word.lower()} ", f" {reading.lower()} "
+        return len(a) == len(b) and all(b[i - 1 : i + 2] in self.plain and a[i - 1 : i + 2] not in self.plain for i in range(1, len(a) - 1) if a[i] != b[i])
+
     def language(self, texts: list[str]) -> int:
         """The dictionary that describes these passages best."""
         b = [t.encode("utf-8", "replace") for t in texts]
@@ -275,12 +299,7 @@ class Repairer:
         got = self.memo.get(word)
         if got is None:
             text = word.decode("utf-8", "replace")
-            if len(text) > LONG:
-                got = [(w, readings(w)) for w in dict.fromkeys(_NEAR.findall(text))]
-                got = [(w, r) for w, r in got if r]
-                return got
-            r = readings(text)
-            got = [(text, r)] if r else []
+            got = [(w, r) for w in dict.fromkeys(_WORD.findall(text)) if not w.isascii() and (r := readings(w))]
             if len(self.memo) > MEMO:
                 self.memo.clear()
             self.memo[word] = got
@@ -308,17 +327,14 @@ class Repairer:
             filled, n = self._fill(text, bool(chains))
             if n:
                 text, places = filled, places + n
-                chains.append("utf-8>?")
+                chains.append("?")
                 guessed = True
-        lost = guessed or "�" in text
-        if not chains and not lost:
-            return None
-        return text, chains, places, not lost and not left
+        return (text, chains, places, not guessed and not left) if chains else None
 
     def _garbled(self, text: str) -> bool:
         """Whether an odd word is left that has a reading which is valid UTF-8 or a known word."""
         return any(
-            k != HELD and odd(w) and not odd(g) and (c[0].startswith("utf-8") or self.known(g))
+            k != HELD and odd(w) and not odd(g) and (c[0].startswith("utf-8") or self.known(g) or self.likely(w, g))
             for m in set(text.encode("utf-8", "replace").split())
             if not m.isascii()
             for w, got in self._readings(m)
@@ -345,15 +361,7 @@ class Repairer:
         return (whole, chains[:1]) if longer <= stated else (done, chains)
 
     def _apply(self, chunk: str, to: dict[str, str]) -> str:
-        def one(m: re.Match) -> str:
-            w = m[0]
-            if w.isascii():
-                return w
-            if len(w) > LONG:
-                return _NEAR.sub(lambda k: to.get(k[0], k[0]), w)
-            return to.get(w, w)
-
-        return _RUN.sub(one, chunk)
+        return _WORD.sub(lambda m: to.get(m[0], m[0]), chunk)
 
     def _choose(self, chunks: list[str], found: dict[str, list]) -> tuple[list[str], list[str], int] | None:
         chains: list[str] = []
@@ -367,24 +375,27 @@ class Repairer:
             costs: dict[tuple, float] = {}
             for w, r in words.items():
                 for c, (k, g) in r.items():
+                    # what stands as a known word, or ends in a mark of the text, gives way to a known word only
+                    if k == HELD and (self.known(w) or w[0] in TYPOGRAPHIC or w[-1] in TYPOGRAPHIC) and not self.known(g):
+                        continue
                     (held if k == HELD else by).setdefault(c, {})[w] = g
                     if k != HELD:
                         costs[c] = k
             if not by:
                 break
-            own = [{w for m in _RUN.findall(x) if not m.isascii() for w in ([m] if len(m) <= LONG else _NEAR.findall(m)) if w in words} for x in chunks]
+            own = [{w for w in _WORD.findall(x) if w in words} for x in chunks]
             if language is None:
                 language = self.language([chunks[i] for i, o in enumerate(own) if o])
-            size = cache(lambda i: self.length(chunks[i], language))  # noqa: B023
+            size = cache(lambda t: self.length(t, language))  # noqa: B023
             best, gain = None, 0.0
             for c, to in by.items():
                 changed, total = {}, -costs[c]
                 for i, o in enumerate(own):
                     if any(w in to for w in o):
                         got = self._apply(chunks[i], to)
-                        less = size(i) - self.length(got, language) - PLACE
+                        less = size(chunks[i]) - size(got) - PLACE
                         valid = c[0].startswith("utf-8")
-                        less += ODD * sum(1 for w in o if w in to and odd(w) and not odd(to[w]) and (valid or self.known(to[w])))
+                        less += ODD * sum(1 for w in o if w in to and odd(w) and not odd(to[w]) and (valid or self.known(to[w]) or self.likely(w, to[w])))
                         if less > 0:
                             changed[i] = got
                             total += less
@@ -398,7 +409,7 @@ class Repairer:
             for i, o in enumerate(own) if c in held else ():
                 if any(w in held[c] for w in o):
                     got = self._apply(chunks[i], with_letters if i in changed else every)
-                    less = self.length(changed.get(i, chunks[i]), language) - self.length(got, language)
+                    less = size(changed.get(i, chunks[i])) - size(got)
                     if less > 0 or less == 0 and i in changed:  # in an affected passage a tie goes to the chain
                         changed[i] = got
             by[c] = every
@@ -417,30 +428,62 @@ class Repairer:
         return (chunks, chains, places) if chains else None
 
     def _fill(self, text: str, known: bool) -> tuple[str, int]:
-        """Question marks that stand for lost bytes, word by word; the reading known to a dictionary goes first, then the shortest."""
-        sure = known or any(text[m.end() : m.end() + 1].isalpha() for m in _LOST.finditer(text))
+        """Lost bytes, word by word: filled in where that is shorter; and how many places are affected."""
         out, at, n = [], 0, 0
         for m in _RUN.finditer(text):
-            marks = list(_LOST.finditer(m[0])) if not m[0].isascii() else []
+            word = m[0]
+            marks = list(_LOST.finditer(word)) if not word.isascii() else []
             if not marks:
                 continue
             before, rest = text[max(0, m.start() - 30) : m.start()], text[m.end() : m.end() + 30]
-            readings_, cut = [""], 0
-            for k in marks:
-                fixed = m[0][cut : k.start()]
-                options = _FILLS[2 if k[0][0] in "ÂÃ" else 3]
-                readings_ = [r + fixed + o for r in readings_ for o in options] if len(readings_) <= len(options) else [r + fixed + options[0] for r in readings_]
-                cut = k.end()
-            readings_ = [r + m[0][cut:] for r in readings_]
-            held = [r for r in readings_ if r.lower().strip(".,;:!?\"'()“”«»").encode() in self.content]
-            sizes = [(self.length(f"{before}{r}{rest}".lower()), i) for i, r in enumerate(held or readings_)]
-            size, i = min(sizes)
-            if sure or self.length(f"{before}{m[0]}{rest}".lower()) - size > FILL:
-                out += [text[at : m.start()], (held or readings_)[i]]
-                at = m.end()
+            as_is = self.length(f"{before}{word}{rest}".lower())
+            # odd as it stands: U+FFFD anywhere, a question mark inside a word or where a chain has been seen
+            as_is += ODD * sum(1 for k in marks if k[0][0] == "\ufffd" or known or word[k.end() : k.end() + 1].isalpha())
+            got, size, sure = self._lost(word, marks, before, rest)
+            if as_is - size > FILL * len(marks):
                 n += len(marks)
+                if sure or "\ufffd" not in word:
+                    out += [text[at : m.start()], got]
+                    at = m.end()
         return "".join(out) + text[at:], n
 
+    def _lost(self, word: str, marks: list[re.Match], before: str, rest: str) -> tuple[str, float, bool]:
+        """The shortest reading of a word's lost bytes, its length with what is around it, and whether it is a known word."""
+        begins = [0, *[k.end() for k in marks]]
+        fixed = [word[a : k.start()] for a, k in zip(begins, marks)] + [word[begins[-1] :]]
+        letters = "".join(fixed)
+        options = []
+        for i, k in enumerate(marks):
+            some = _MARKS if k[0][0] in "â" else _LETTERS if k[0][0] in "ÂÃ" else ("", *_LETTERS, *_MARKS)
+            upper = letters.isupper() or i == 0 and not fixed[0] and letters[1:2].isupper()
+            options.append([x.upper() for x in some] if upper else list(some))
+
+        def joined(filled: list[str]) -> str:
+            return "".join(x for pair in zip(fixed, [*filled, ""]) for x in pair)
+
+        def size(reading: str) -> float:
+            return self.length(f"{before}{reading}{rest}".lower())
+
+        # all known words that fit, however many marks there are; none is longer than the longest
+        fits = set()
+        if len(letters) <= self.longest and any(map(str.isalpha, letters)):
+            bare = [f.lower() for f in fixed]
+            bare[0], bare[-1] = bare[0].lstrip("\"'([“‘«"), bare[-1].rstrip(".,;:!?\"'()“”«»")
+            pattern = "".join(f"{re.escape(f)}({'|'.join(re.escape(x.lower()) for x in o)})" for f, o in zip(bare, options)) + re.escape(bare[-1])
+            fits = {m.groups() for m in re.finditer(rf"(?<!\w){pattern}(?!\w)", self.plain)}
+        if fits:
+            cased = [joined([next(x for x in o if x.lower() == y) for o, y in zip(options, f)]) for f in sorted(fits)]
+            best = min(cased, key=lambda r: (size(r), r))
+            return best, size(best), True
+        filled: list[str] = []
+        done = before
+        for i, o in enumerate(options):  # from left to right, by what is near
+            after = fixed[i + 1] + "".join(x[0] + f for x, f in zip(options[i + 1 : i + 9], fixed[i + 2 : i + 10])) + rest
+            near = (done + fixed[i])[-30:]
+            filled.append(o[0] if o[0] == "" else min(o, key=lambda x: self.length(f"{near}{x}{after[:30]}".lower())))  # noqa: B023
+            done = near + filled[-1]
+        return joined(filled), size(joined(filled)), False
+
 
 def train(samples: dict[str, list[str]]) -> dict[str, bytes]:
     """A zstandard dictionary for each language, from its documents and seed text."""
@@ -449,14 +492,11 @@ def train(samples: dict[str, list[str]]) -> dict[str, bytes]:
     out = {}
     for lang, seed in SEEDS.items():
         parts = [p.encode() for t in samples.get(lang, []) for p in re.split(r"(?<=[.;!?])\s+|\n+", t) if len(p) > 20]
-        if sum(map(len, parts)) >= 4 * DICT_BYTES:
-            try:
-                out[lang] = z.train_dictionary(DICT_BYTES, parts, level=9).as_bytes()
-                continue
-            except z.ZstdError:
-                pass
-        raw = b"\n".join(parts)[: DICT_BYTES // 2] + b"\n" + seed.encode()
-        out[lang] = raw
+        parts += [p.encode() for p in seed.split(", ")]
+        try:
+            out[lang] = z.train_dictionary(min(DICT_BYTES, sum(map(len, parts)) // 4), parts, level=9).as_bytes()
+        except z.ZstdError:  # too little to train on
+            out[lang] = b"\n".join(parts)
     return out
 
 
@@ -464,7 +504,7 @@ def samples(docs: DataFrame, doc: str, text: str, lang: str) -> dict[str, list[s
     """A bounded sample of labelled documents by language; reads the table when called."""
     code = F.substring(F.lower(F.trim(F.col(lang))), 1, 2)
     code = F.when(code == "po", "pt").otherwise(code)
-    labelled = docs.select(F.col(doc).cast("long").alias("_id"), code.alias("_lang")).filter(F.col("_lang").isin(*SEEDS))
+    labelled = docs.filter(F.octet_length(F.col(text).cast("string")).between(1, TRAIN_BYTES)).select(F.col(doc).cast("long").alias("_id"), code.alias("_lang")).filter(F.col("_lang").isin(*SEEDS))
     least = Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id")
     chosen = labelled.withColumn("_n", F.row_number().over(least)).filter(F.col("_n") <= TRAIN_DOCS).drop("_n").toArrow()
     out: dict[str, list[str]] = {k: [] for k in SEEDS}
@@ -473,7 +513,7 @@ def samples(docs: DataFrame, doc: str, text: str, lang: str) -> dict[str, list[s
         wanted = docs.sparkSession.createDataFrame(chosen)
         texts = docs.select(F.col(doc).cast("long").alias("_id"), F.col(text).cast("string").alias("_text")).join(F.broadcast(wanted), "_id")
         for r in sorted(texts.select("_lang", "_id", "_text").collect(), key=lambda r: (r[0], r[1], r[2] or "")):
-            if r[2]:
+            if r[2] and len(r[2].encode("utf-8", "replace")) <= TRAIN_BYTES:  # an id may have several texts
                 out[r[0]].append(r[2])
     return out
 
