@@ -261,7 +261,9 @@ class Repairer:
         ]
         self.content = b"\n".join(dictionaries.values())
         self.plain = self.content.decode("utf-8", "ignore").lower()
-        self.longest = max(map(len, _RUN.findall(self.plain)), default=0)
+        #: Known words that hold characters beyond ASCII, one in each line.
+        known = sorted({w for t in self.plain.split() if not t.isascii() for w in [t.strip(".,;:!?\"'()[]“”‘«»")]})
+        self.accented, self.longest = "\n".join(known), max(map(len, known), default=0)
         self.words: dict[str, bool] = {}
         self.memo: dict[bytes, list] = {}
 
@@ -323,7 +325,7 @@ class Repairer:
                 chunks, chains, places = got
                 text, chains = self._whole(text, chunks, chains)
                 left = self._garbled(text)
-        if _LOST.search(text):
+        if ("?" in text or "\ufffd" in text) and _LOST.search(text):
             filled, n = self._fill(text, bool(chains))
             if n:
                 text, places = filled, places + n
@@ -368,6 +370,7 @@ class Repairer:
         places, language = 0, None
         words = {w: {c: (k, g) for c, k, g in r} for w, r in found.items()}
         seen: set[str] = set()
+        size = cache(lambda t: self.length(t, language))
         while (now := "".join(chunks)) not in seen:  # a reading may be longer than the odd word it undoes, so lengths alone don't exclude a circle
             seen.add(now)
             by: dict[tuple, dict[str, str]] = {}
@@ -386,7 +389,6 @@ class Repairer:
             own = [{w for w in _WORD.findall(x) if w in words} for x in chunks]
             if language is None:
                 language = self.language([chunks[i] for i, o in enumerate(own) if o])
-            size = cache(lambda t: self.length(t, language))  # noqa: B023
             best, gain = None, 0.0
             for c, to in by.items():
                 changed, total = {}, -costs[c]
@@ -470,7 +472,7 @@ class Repairer:
             bare = [f.lower() for f in fixed]
             bare[0], bare[-1] = bare[0].lstrip("\"'([“‘«"), bare[-1].rstrip(".,;:!?\"'()“”«»")
             pattern = "".join(f"{re.escape(f)}({'|'.join(re.escape(x.lower()) for x in o)})" for f, o in zip(bare, options)) + re.escape(bare[-1])
-            fits = {m.groups() for m in re.finditer(rf"(?<!\w){pattern}(?!\w)", self.plain)}
+            fits = {m.groups() for m in re.finditer(rf"(?m)^{pattern}$", self.accented)}
         if fits:
             cased = [joined([next(x for x in o if x.lower() == y) for o, y in zip(options, f)]) for f in sorted(fits)]
             best = min(cased, key=lambda r: (size(r), r))
