@@ -2,18 +2,17 @@
 
     python -m garimpo.cli score-csv GOLD ANSWER [--limiar 0.95] [--tolerancia-nome T] [--tolerancia-nome-socio T] [--exportar-txt F] [--exportar-json F]
     python -m garimpo.cli score-json GOLD ANSWER [--tolerancia-nome 1.0] [--tolerancia-nome-socio 1.0] [--exportar-txt F] [--exportar-json F]
-    python -m garimpo.cli run-chained FOLDER OUT [--url U --model M] [--embedding E [--embedding-url U]]
-    python -m garimpo.cli run-independent FOLDER OUT [--url U --model M] [--embedding E [--embedding-url U]]
+    python -m garimpo.cli run-chained FOLDER OUT [--provider P] [--url U] [--model M] [--embedding E [--embedding-url U]]
+    python -m garimpo.cli run-independent FOLDER OUT [--provider P] [--url U] [--model M] [--embedding E [--embedding-url U]]
     python -m garimpo.cli parse-answers TABLE OUT
 
-A model at ``--url`` is asked about the nearest chunks by the embedding, hashed words where none is named. Without one,
+A model of the provider, or at ``--url``, is asked about the nearest chunks by the embedding, hashed words where none is named. Without one,
 patterns read the whole texts.
 """
 
 from __future__ import annotations
 
 import argparse
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,16 +36,25 @@ def score_json(spark: SparkSession, gold: str, answer: str, name: float = JSON_T
     return docs, totals, metrics.nested_measures(totals)
 
 
-def report(scored: tuple[DataFrame, DataFrame, DataFrame], title: str, text: str | None, data: str | None, config: dict) -> str:
+def report(scored: tuple[DataFrame, DataFrame, DataFrame], of, title: str, text: str | None, data: str | None, config: dict) -> str:
+    """The report's global part; with ``text`` and ``data`` whole reports, documents included, are written to those files.
+
+    ``of`` makes the measures of counters.
+    """
     docs, totals, measures = scored
     docs = docs.persist()
-    body = sinks.report_text(totals.first().asDict(), {**measures.first().asDict(), **metrics.macro(docs).drop("documentos_processados", "documentos_passaram", "taxa_documentos_completos").first().asDict()}, title)
-    if text:
-        with open(text, "w", encoding="utf-8") as f:
-            f.write(body)
-    if data:
-        sinks.report_json(totals, measures, docs, config).write.mode("overwrite").json(data)
-    return body
+    try:
+        names = (totals.columns, measures.columns)
+        total, rates, means = totals.first().asDict(), measures.first().asDict(), metrics.macro(docs).first().asDict()
+        head = sinks.report_head(title, config, total, rates, means)
+        each = of(docs, ("id", metrics.PASS, *names[0])) if text or data else None
+        if text:
+            sinks.write_report_text(text, head, metrics.passed_documents(docs), sinks.document_blocks(each, *names))
+        if data:
+            sinks.write_report_json(data, *sinks.report_json(config, total, rates, means, each, *names))
+    finally:
+        docs.unpersist()
+    return "\n".join(head)
 
 
 def _flags(config: files.Config) -> prompts.Flags:
@@ -58,36 +66,49 @@ def _retrieval(config: files.Config, embed, k: int, max_chars: int | None = None
 
 
 def _run(spark: SparkSession, folder: str, out: str, config: files.Config, extract, write) -> None:
-    """Extracts from the documents that are not finished; those without a last error get their rows written and are marked done."""
+    """Extracts from the documents that are not finished; those without a last error get their rows written and are marked done.
+
+    Everything of a batch goes under its number, so that a batch that was not
+    finished is written again and no row is there twice. Failed answers are kept
+    in ``erros``; their documents are taken again by the next run.
+    """
     docs = files.documents(spark, folder, config.max_txt_chars).select("doc_id", "text")
-    todo = sinks.pending(docs, sinks.done(spark, f"{out}/done", "doc_id"), "doc_id")
-    place = f"{out}/respostas/{uuid.uuid4().hex}"
-    rows, failed = extract(todo, lambda df, name: sinks.stored(df, f"{place}/{name}"))
-    write(rows, failed)
-    sinks.mark_done(sinks.pending(todo, failed, "doc_id"), "doc_id", f"{out}/done", 0)
+    finished = sinks.done(spark, f"{out}/done", "doc_id")
+    batch = sinks.next_batch(finished)
+    todo = sinks.pending(docs, finished, "doc_id")
+    rows, errors = extract(todo, lambda df, name: sinks.stored(df, f"{out}/respostas/batch_id={batch}/{name}"))
+    sinks.write_batch(errors, f"{out}/erros", batch)
+    failed = errors.select("doc_id").distinct()
+    write(rows, failed, batch)
+    sinks.mark_done(sinks.pending(todo, failed, "doc_id"), "doc_id", f"{out}/done", batch)
 
 
 def run_chained(spark: SparkSession, folder: str, out: str, make, config: files.Config = files.Config(), embed=None) -> None:
-    """Companies, then the partners of each; ``embed`` makes the embedder of the retrieval, without it contexts are whole texts."""
+    """Companies, then the partners of each, as a table and as nested JSON; ``embed`` makes the embedder of the retrieval, without it contexts are whole texts."""
+
+    def write(rows: DataFrame, failed: DataFrame, batch: int) -> None:
+        good = sinks.pending(rows, failed, "doc_id")
+        sinks.write_batch(good, f"{out}/empresas", batch)
+        sinks.write_nested_json(sinks.nested_results(good, "doc_id"), "doc_id", f"{out}/json/batch_id={batch}")
+
     _run(
-        spark,
-        folder,
-        out,
-        config,
-        lambda docs, keep: extraction.chained_run(docs, "doc_id", "text", make, keep, _retrieval(config, embed, config.k_chained, config.max_context_chars), _flags(config)),
-        lambda rows, failed: sinks.pending(rows, failed, "doc_id").write.mode("append").parquet(f"{out}/empresas"),
+        spark, folder, out, config, lambda docs, keep: extraction.chained_run(docs, "doc_id", "text", make, keep, _retrieval(config, embed, config.k_chained, config.max_context_chars), _flags(config)), write
     )
 
 
 def run_independent(spark: SparkSession, folder: str, out: str, make, config: files.Config = files.Config(), embed=None) -> None:
     """Companies and persons by two independent questions, as flat CSV."""
+
+    def write(rows: DataFrame, failed: DataFrame, batch: int) -> None:
+        sinks.write_entities_csv(sinks.pending(rows, failed.withColumnRenamed("doc_id", "arquivo"), "arquivo"), f"{out}/entidades/batch_id={batch}", "overwrite")
+
     _run(
         spark,
         folder,
         out,
         config,
         lambda docs, keep: extraction.independent_run(docs, "doc_id", "text", make, keep, _retrieval(config, embed, config.k_independent), _flags(config), config.parse_max_retries),
-        lambda rows, failed: sinks.write_entities_csv(sinks.pending(rows, failed.withColumnRenamed("doc_id", "arquivo"), "arquivo"), f"{out}/entidades"),
+        write,
     )
 
 
@@ -108,6 +129,7 @@ def main(argv: list[str] | None = None) -> int:
         s = sub.add_parser(name)
         s.add_argument("folder")
         s.add_argument("out")
+        s.add_argument("--provider", choices=sorted(extraction.ADDRESSES))
         s.add_argument("--url")
         s.add_argument("--model", default="")
         s.add_argument("--embedding")
@@ -118,15 +140,16 @@ def main(argv: list[str] | None = None) -> int:
     a = p.parse_args(argv)
     spark = SparkSession.builder.appName("garimpo").getOrCreate()
     if a.command == "score-csv":
-        print(report(score_csv(spark, a.gabarito, a.resposta, a.limiar, a.tolerancia_nome, a.tolerancia_nome_socio), "CSV", a.exportar_txt, a.exportar_json, vars(a)))
+        print(report(score_csv(spark, a.gabarito, a.resposta, a.limiar, a.tolerancia_nome, a.tolerancia_nome_socio), metrics.flat_measures, "CSV", a.exportar_txt, a.exportar_json, vars(a)))
     elif a.command == "score-json":
-        print(report(score_json(spark, a.gabarito, a.resposta, a.tolerancia_nome, a.tolerancia_nome_socio), "JSON", a.exportar_txt, a.exportar_json, vars(a)))
+        print(report(score_json(spark, a.gabarito, a.resposta, a.tolerancia_nome, a.tolerancia_nome_socio), metrics.nested_measures, "JSON", a.exportar_txt, a.exportar_json, vars(a)))
     elif a.command in ("run-chained", "run-independent"):
         config = files.Config.load(model=a.model)
         lines = a.command == "run-independent"
-        client = extraction.Http(a.url, a.model, config.temperature, 4096 if lines else 2048, backoff=extraction.LINES_BACKOFF if lines else extraction.JSON_BACKOFF)
-        embed = embedding.backend(a.embedding, a.embedding_url) if a.embedding else embedding.Hashing if a.url else None
-        (run_independent if lines else run_chained)(spark, a.folder, a.out, (lambda: client) if a.url else extraction.Patterns, config, embed)
+        asked = a.url or a.provider
+        client = extraction.client(a.provider or "openrouter", a.model, lines, config.temperature, a.url) if asked else None
+        embed = embedding.backend(a.embedding, a.embedding_url) if a.embedding else embedding.Hashing if asked else None
+        (run_independent if lines else run_chained)(spark, a.folder, a.out, (lambda: client) if asked else extraction.Patterns, config, embed)
     else:
         sinks.write_entities_csv(extraction.independent(spark.read.parquet(a.table), "arquivo", "raw", "pergunta"), a.out)
     return 0

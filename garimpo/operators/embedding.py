@@ -107,9 +107,10 @@ def question_contexts(
     """The context of each question about a document: its k nearest chunks in rank order.
 
     ``questions`` has the document's key, so a question about one company of a
-    document finds the chunks of that document only.
+    document finds the chunks of that document only, and a query's id need be
+    unique within its document only. Returns the key, ``query_id`` and ``contexto``.
     """
     chunks = with_embedding(chunking.chunk_table(docs, key, text, size, overlap, separators), "chunk", make)
     asked = with_embedding(questions.select(key, query, question), question, make)
     ranked = retrieval.top_k_in_scope(asked, chunks, key, query, "chunk_idx", "embedding", k, ("chunk",))
-    return retrieval.contexts(ranked, "query_id", "chunk", max_chars)
+    return retrieval.contexts(ranked, (key, "query_id"), "chunk", max_chars)

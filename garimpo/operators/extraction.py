@@ -117,9 +117,23 @@ class Replay:
         return [self.answers.get(q, "") for q in questions]
 
 
+# What short names of models stand for at the hosted provider, and the addresses of the providers. Fixed values.
+HOSTED = {
+    "llama3.3:70b": "meta-llama/llama-3.3-70b-instruct",
+    "deepseek-r1:70b": "deepseek/deepseek-r1-distill-llama-70b",
+    "gemma3:27b": "google/gemma-3-27b-it",
+    "qwen3:32b": "qwen/qwen3-32b",
+}
+ADDRESSES = {"openrouter": "https://openrouter.ai/api/v1/chat/completions", "ollama": "http://localhost:11434/api/chat"}
+
+
 @dataclass(frozen=True)
 class Http:
-    """A chat endpoint; the key comes from the environment of the executors."""
+    """A chat endpoint; the key comes from the environment of the executors.
+
+    ``local`` endpoints take the budget as ``num_predict`` among options and
+    answer with one message.
+    """
 
     url: str
     model: str
@@ -128,15 +142,36 @@ class Http:
     timeout: float = 300
     key_variable: str = "LLM_API_KEY"
     backoff: Backoff = JSON_BACKOFF
+    local: bool = False
+    compress: bool = False
 
     def answer(self, contexts: Sequence[str], questions: Sequence[str]) -> list[str]:
         return [retried(lambda c=c, q=q: self._call(prompts.qa_text(c, q)), self.backoff) for c, q in zip(contexts, questions)]
 
     def _call(self, content: str) -> str:
-        body = {"model": self.model, "temperature": self.temperature, "max_tokens": self.max_tokens, "messages": [{"role": "user", "content": content}]}
+        body = self.body(content)
         head = {"Content-Type": "application/json", "Authorization": f"Bearer {os.environ.get(self.key_variable, '')}"}
         with urllib.request.urlopen(urllib.request.Request(self.url, json.dumps(body).encode(), head), timeout=self.timeout) as r:  # noqa: S310
-            return json.load(r)["choices"][0]["message"]["content"]
+            got = json.load(r)
+        return (got if self.local else got["choices"][0])["message"]["content"]
+
+    def body(self, content: str) -> dict:
+        """What is sent for one question."""
+        body = {"model": self.model, "messages": [{"role": "user", "content": content}]}
+        if self.local:
+            return {**body, "stream": False, "options": {"temperature": self.temperature, "num_predict": self.max_tokens}}
+        body |= {"temperature": self.temperature, "max_tokens": self.max_tokens}
+        return {**body, "plugins": [{"id": "context-compression"}]} if self.compress else body
+
+
+def client(provider: str, model: str, lines: bool, temperature: float = 0.1, url: str | None = None) -> Http:
+    """The model of a provider, with the budget of the pipeline: answers in lines (independent) or in JSON (chained)."""
+    if provider not in ADDRESSES:
+        raise ValueError(f"unknown provider {provider}")
+    backoff = LINES_BACKOFF if lines else JSON_BACKOFF
+    if provider == "ollama":
+        return Http(url or ADDRESSES[provider], model, temperature, 300 if lines else 1024, backoff=backoff, local=True)
+    return Http(url or ADDRESSES[provider], HOSTED.get(model, model), temperature, 4096 if lines else 2048, backoff=backoff, compress=not (lines and model == "gemma3:27b"))
 
 
 def _answered(model: Extractor, context: str, question: str, problem, tries: int, hint, pause: float) -> tuple[str, str | None]:
@@ -209,7 +244,7 @@ class Retrieval:
         """``asked`` with ``contexto``; questions about a document without chunks are left out."""
         q = asked.withColumn("_id", F.to_json(F.struct(*keys)))
         got = embedding.question_contexts(docs, key, text, q, "_id", "pergunta", self.make, self.k, self.size, self.overlap, self.separators, self.max_chars)
-        return q.join(got.withColumnRenamed("query_id", "_id"), "_id").drop("_id")
+        return q.join(got.withColumnRenamed("query_id", "_id"), [key, "_id"]).drop("_id")
 
 
 Keep = Callable[[DataFrame, str], DataFrame]
@@ -260,20 +295,23 @@ def chained(docs: DataFrame, key: str, context: str, make: Callable[[], Extracto
 def chained_run(
     docs: DataFrame, key: str, text: str, make: Callable[[], Extractor], keep: Keep, retrieval: Retrieval | None = None, flags: prompts.Flags = prompts.Flags()
 ) -> tuple[DataFrame, DataFrame]:
-    """The rows of ``chained`` and the keys of the documents of which an answer failed to the last try.
+    """The rows of ``chained``, and the answers that failed to the last try: (key, etapa, resposta, erro).
 
     ``keep`` stores the answers of a step under its name and gives them back.
     """
     rows, first, second = _chained(docs, key, text, make, flags, retrieval, keep)
-    a = first.filter(F.col("erro").isNotNull() | parsing.strict_companies("resposta").isNull()).select(key)
-    b = second.filter(F.col("erro").isNotNull() | parsing.strict_partners("resposta").isNull()).select(key)
-    return rows, a.unionByName(b).distinct()
+    steps = (("empresas", first, parsing.strict_companies), ("socios", second, parsing.strict_partners))
+    a, b = (
+        answers.filter(F.col("erro").isNotNull() | read("resposta").isNull()).select(key, F.lit(step).alias("etapa"), "resposta", F.coalesce("erro", F.lit("invalid")).alias("erro"))
+        for step, answers, read in steps
+    )
+    return rows, a.unionByName(b)
 
 
 def independent_run(
     docs: DataFrame, key: str, text: str, make: Callable[[], Extractor], keep: Keep, retrieval: Retrieval | None = None, flags: prompts.Flags = prompts.Flags(), tries: int = 3
 ) -> tuple[DataFrame, DataFrame]:
-    """Both questions about each document: the rows of ``independent``, and the keys of the documents of which an answer failed to the last try.
+    """Both questions about each document: the rows of ``independent``, and the answers that failed to the last try: (key, etapa, resposta, erro).
 
     An answer that is still blank at the last try says that there is nothing.
     """
@@ -286,7 +324,7 @@ def independent_run(
         got = ask(asked, make, [key], problem=partial(parsing.lenient_problem, shape=shape), tries=tries, hint=partial(parsing.correction_hint, shape=line))
         parts.append(got.select(key, F.lit(kind).alias("pergunta"), F.col("resposta").alias("raw"), "erro"))
     answers = keep(parts[0].unionByName(parts[1]), "respostas")
-    failed = answers.filter(F.col("erro").isNotNull() & (F.col("erro") != parsing.EMPTY)).select(key).distinct()
+    failed = answers.filter(F.col("erro").isNotNull() & (F.col("erro") != parsing.EMPTY)).select(key, F.col("pergunta").alias("etapa"), F.col("raw").alias("resposta"), "erro")
     return independent(answers, key, "raw", "pergunta"), failed
 
 

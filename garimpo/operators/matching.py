@@ -102,16 +102,18 @@ def _similar_persons(tolerance: float):
 
 def normalised(entities: DataFrame) -> DataFrame:
     """Flat entities (id, ord, tipo, nome, identificador, aux) with the keys that matching compares."""
-    kind = F.lower(N.normalize_text("tipo"))
-    return entities.select(
+    kinds = entities.select(
         "id",
         F.col("ord").cast("long").alias("o"),
-        F.contains(kind, F.lit("empresa")).alias("firm"),
-        F.contains(kind, F.lit("pessoa")).alias("person"),
+        F.lower(N.normalize_text("tipo")).alias("_kind"),
         N.normalize_text("nome").alias("n"),
-        N.company_name("nome").alias("firm_n"),
         N.normalize_identifier("identificador").alias("c"),
-        N.normalize_rg("aux").alias("d"),
+        "aux",
+    )
+    firm, person = (F.contains("_kind", F.lit(k)) for k in ("empresa", "pessoa"))
+    # suffixes play a part for companies only, the RG for persons only
+    return kinds.select(
+        "id", "o", firm.alias("firm"), person.alias("person"), "n", F.when(firm, N.strip_suffixes("n")).alias("firm_n"), "c", F.when(person, N.normalize_rg("aux")).alias("d")
     )
 
 

@@ -7,6 +7,8 @@ denominator is 0.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,18 +19,61 @@ def _n(pairs: str, test: str = "true") -> Column:
     return F.expr(f"size(filter({pairs}, p -> {test}))")
 
 
+# Names of the counters. Fixed values.
 FLAT = (
-    "total_empresas_gabarito total_empresas_resposta empresas_corretas empresas_nomes_corretos empresas_cnpjs_corretos empresas_extras empresas_faltantes "
-    "total_pessoas_gabarito total_pessoas_resposta pessoas_nome_cpf_corretas pessoas_nome_rg_corretas pessoas_cpf_rg_corretas pessoas_completas "
-    "pessoas_nome_correto pessoas_cpf_correto pessoas_rg_correto pessoas_extras pessoas_faltantes empresa_socio_nome_cpf empresa_socio_nome_rg "
-    "empresa_socio_nome_cpf_rg socios_corretos documentos_completos documentos_parciais empresas_com_socios_completos empresas_com_socios_parciais"
-).split()
+    "total_empresas_gabarito",
+    "total_empresas_resposta",
+    "empresas_corretas",
+    "empresas_nomes_corretos",
+    "empresas_cnpjs_corretos",
+    "empresas_extras",
+    "empresas_faltantes",
+    "total_pessoas_gabarito",
+    "total_pessoas_resposta",
+    "pessoas_nome_cpf_corretas",
+    "pessoas_nome_rg_corretas",
+    "pessoas_cpf_rg_corretas",
+    "pessoas_completas",
+    "pessoas_nome_correto",
+    "pessoas_cpf_correto",
+    "pessoas_rg_correto",
+    "pessoas_extras",
+    "pessoas_faltantes",
+    "empresa_socio_nome_cpf",
+    "empresa_socio_nome_rg",
+    "empresa_socio_nome_cpf_rg",
+    "socios_corretos",
+    "documentos_completos",
+    "documentos_parciais",
+    "empresas_com_socios_completos",
+    "empresas_com_socios_parciais",
+)
 NESTED = (
-    "total_empresas_gabarito total_empresas_resposta empresas_corretas nomes_corretos cnpjs_corretos empresas_extras empresas_faltantes "
-    "total_socios_gabarito total_socios_resposta socios_nome_cpf_corretos socios_nome_rg_corretos socios_cpf_rg_corretos socios_completos "
-    "socios_nome_correto socios_cpf_correto socios_rg_correto socios_extras socios_faltantes empresa_socio_nome_cpf empresa_socio_nome_rg "
-    "empresa_socio_nome_cpf_rg empresas_com_socios_completos empresas_com_socios_parciais documento_num_empresas_validadas"
-).split()
+    "total_empresas_gabarito",
+    "total_empresas_resposta",
+    "empresas_corretas",
+    "nomes_corretos",
+    "cnpjs_corretos",
+    "empresas_extras",
+    "empresas_faltantes",
+    "total_socios_gabarito",
+    "total_socios_resposta",
+    "socios_nome_cpf_corretos",
+    "socios_nome_rg_corretos",
+    "socios_cpf_rg_corretos",
+    "socios_completos",
+    "socios_nome_correto",
+    "socios_cpf_correto",
+    "socios_rg_correto",
+    "socios_extras",
+    "socios_faltantes",
+    "empresa_socio_nome_cpf",
+    "empresa_socio_nome_rg",
+    "empresa_socio_nome_cpf_rg",
+    "empresas_com_socios_completos",
+    "empresas_com_socios_parciais",
+    "documento_num_empresas_validadas",
+)
 PASS = "documento_todas_empresas_socios"
 
 
@@ -140,11 +185,11 @@ def nested_counters(matched: DataFrame) -> DataFrame:
     return df.withColumn(PASS, passed)
 
 
-def totals(counters: DataFrame, names: list[str]) -> DataFrame:
+def totals(counters: DataFrame, names: Sequence[str]) -> DataFrame:
     return counters.agg(*[F.coalesce(F.sum(n), F.lit(0)).cast("long").alias(n) for n in names])
 
 
-def rollup(counters: DataFrame, names: list[str]) -> DataFrame:
+def rollup(counters: DataFrame, names: Sequence[str]) -> DataFrame:
     """Documents and the corpus in one table; ``nivel`` 1 marks the corpus row."""
     return counters.rollup("id").agg(F.grouping_id().cast("int").alias("nivel"), *[F.sum(n).cast("long").alias(n) for n in names])
 
@@ -157,6 +202,11 @@ class _Measures:
     def __init__(self) -> None:
         self.columns: dict[str, Column] = {}
 
+    def of(self, counters: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+        """The measures, F1 from columns that are there already."""
+        plain = [v.alias(k) for k, v in self.columns.items() if not k.startswith("f1_")]
+        return counters.select(*keep, *plain).select(*keep, *[v.alias(k) if k.startswith("f1_") else k for k, v in self.columns.items()])
+
     def precision_recall(self, name: str, right: Column, answered: Column, gold: Column) -> None:
         self.columns[f"precisao_{name}"] = safe_ratio(right, answered)
         self.columns[f"recall_{name}"] = safe_ratio(right, gold)
@@ -166,7 +216,7 @@ class _Measures:
         self.precision_recall(name, right, answered, gold)
         if gold_guards:
             self.columns[f"precisao_{name}"] = F.when(gold > 0, right.cast("double") / F.greatest(answered, F.lit(1))).otherwise(0.0)
-        self.columns[f"f1_{name}"] = _f1(self.columns[f"precisao_{name}"], self.columns[f"recall_{name}"])
+        self.columns[f"f1_{name}"] = _f1(F.col(f"precisao_{name}"), F.col(f"recall_{name}"))
         self.columns[f"acuracia_{name}"] = safe_ratio(right, F.greatest(gold, answered))
 
 
@@ -187,7 +237,7 @@ def flat_measures(counters: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     m.family("global_completa", whole, er, eg, gold_guards=True)
     m.columns["taxa_documentos_completos"] = safe_ratio(whole, eg) * 100
     m.columns["taxa_documentos_parciais"] = safe_ratio(c("empresas_com_socios_parciais"), eg) * 100
-    return counters.select(*keep, *[v.alias(k) for k, v in m.columns.items()])
+    return m.of(counters, keep)
 
 
 def nested_measures(counters: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -207,7 +257,7 @@ def nested_measures(counters: DataFrame, keep: tuple[str, ...] = ()) -> DataFram
     m.family("global_completa", whole, er, eg, gold_guards=True)
     m.columns["taxa_empresas_completas"] = safe_ratio(whole, eg)
     m.columns["taxa_empresas_parciais"] = safe_ratio(c("empresas_com_socios_parciais"), eg)
-    return counters.select(*keep, *[v.alias(k) for k, v in m.columns.items()])
+    return m.of(counters, keep)
 
 
 def macro(counters: DataFrame) -> DataFrame:

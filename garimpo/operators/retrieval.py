@@ -10,7 +10,7 @@ least ids whatever the partitions and batches are.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import numpy as np
@@ -40,7 +40,7 @@ def top_k_in_scope(queries: DataFrame, chunks: DataFrame, scope: str, query: str
     q = queries.select(scope, F.col(query).alias("_q"), F.col(vector).alias("_qv"))
     c = chunks.select(scope, F.col(chunk).alias("_c"), F.col(vector).alias("_cv"), *keep)
     near = q.join(c, scope).select(scope, "_q", "_c", squared_distance(F.col("_qv"), F.col("_cv")).alias("dist"), *keep)
-    by = Window.partitionBy("_q").orderBy("dist", "_c")
+    by = Window.partitionBy(scope, "_q").orderBy("dist", "_c")
     return near.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k).select(scope, F.col("_q").alias("query_id"), F.col("_c").alias("chunk_id"), "rank", "dist", *keep)
 
 
@@ -121,8 +121,9 @@ def top_k(queries: DataFrame, rows: DataFrame, query: str, row: str, vector: str
     return near.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k).select(F.col("_q").alias("query_id"), F.col("_c").alias("chunk_id"), "rank", "dist")
 
 
-def contexts(ranked: DataFrame, key: str, chunk: str, max_chars: int | None = 30_000) -> DataFrame:
+def contexts(ranked: DataFrame, keys: str | Sequence[str], chunk: str, max_chars: int | None = 30_000) -> DataFrame:
     """Chunks of each query joined in rank order, cut to ``max_chars`` if given."""
+    keys = [keys] if isinstance(keys, str) else list(keys)
     parts = F.transform(F.array_sort(F.collect_list(F.struct("rank", F.col(chunk).alias("chunk")))), lambda s: s.chunk)
     joined = F.array_join(parts, "\n\n")
-    return ranked.groupBy(key).agg((joined if max_chars is None else F.substring(joined, 1, max_chars)).alias("contexto"))
+    return ranked.groupBy(*keys).agg((joined if max_chars is None else F.substring(joined, 1, max_chars)).alias("contexto"))

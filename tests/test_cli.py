@@ -1,5 +1,7 @@
 import json
+import shutil
 
+import pytest
 from pyspark.sql import functions as F
 
 from garimpo import cli
@@ -50,6 +52,8 @@ def test_run_chained_retrieves_and_tries_again(spark, tmp_path, monkeypatch):
     (row,) = spark.read.parquet(out + "/empresas").collect()
     assert (row.doc_id, row.cnpj) == ("a.txt", "11.222.333/0001-44") and [s.nome for s in row.socios] == ["Ana Um"]
     assert [r.doc_id for r in spark.read.parquet(out + "/done").collect()] == ["a.txt"]
+    assert [(r.doc_id, r.etapa, bool(r.erro)) for r in spark.read.parquet(out + "/erros").collect()] == [("b.txt", "empresas", True)]
+    assert json.loads(spark.read.text(out + "/json").first()[0])["a.txt"][0]["socios"][0]["nome"] == "Ana Um"
     calls = _calls(log)
     assert len(calls) == 2 + 2 + extraction.STRICT_TRIES and max(len(c) for c, _ in calls) < 1000
     assert all("socios" in q or "empresas" in q for _, q in calls)
@@ -97,7 +101,10 @@ def test_scorers(spark, tmp_path, capsys):
     txt, out = str(tmp_path / "o.txt"), str(tmp_path / "o.json")
     assert cli.main(["score-csv", str(tmp_path / "g.csv"), str(tmp_path / "r.csv"), "--limiar", "0.85", "--exportar-txt", txt, "--exportar-json", out]) == 0
     assert "f1_empresas" in capsys.readouterr().out and "100.00%" in open(txt, encoding="utf-8").read()
-    assert spark.read.json(out).count() == 4
+    whole = json.load(open(out, encoding="utf-8"))
+    assert whole["configuracao"]["limiar"] == 0.85 and whole["metricas_globais"]["contagens"]["total_empresas_gabarito"] == 1
+    assert whole["metricas_por_documento"]["1"]["passou_validacao_completa"] is True and whole["metricas_por_documento"]["1"]["metricas"]["f1_empresas"] == 1.0
+    assert "DOCUMENTO 1" in open(txt, encoding="utf-8").read()
     _, totals, _ = cli.score_csv(spark, str(tmp_path / "g.csv"), str(tmp_path / "r.csv"), 0.95)
     assert totals.first().pessoas_nome_correto == 0
     doc = {"d1.txt": [{"empresa": "Alfa", "cnpj": "1", "socios": [{"nome": "Ana", "cpf": "2", "rg": ""}]}]}
@@ -111,8 +118,10 @@ def test_run_chained_resumes(spark, tmp_path):
     src.mkdir()
     line = "A Alfa LTDA (CNPJ 11.222.333/0001-44), por Ana Um, portador(a) do CPF nº 111.222.333-44."
     (src / "a.txt").write_text(line)
-    for _ in range(2):
+    for n in range(3):
         cli.main(["run-chained", str(src), out])
+        if n == 0:  # as if the run had been lost before its last step
+            shutil.rmtree(out + "/done")
     assert spark.read.parquet(out + "/empresas").count() == 1
     (src / "b.txt").write_text(line)
     cli.main(["run-chained", str(src), out])
@@ -125,3 +134,13 @@ def test_contexts_stay_in_their_document(spark):
     got = {r.query_id: r.contexto for r in embedding.question_contexts(docs, "doc", "text", asked, "q", "pergunta", embedding.Hashing, 1, 20, 0, (". ",)).collect()}
     assert got[1].strip(". ").startswith("quatro cinco") and "outro" in got[2] and 3 not in got
     assert embedding.device("x") == "x" and callable(embedding.backend("org/model"))
+
+
+def test_clients():
+    hosted = extraction.client("openrouter", "gemma3:27b", True)
+    assert hosted.body("x")["model"] == "google/gemma-3-27b-it" and hosted.body("x")["max_tokens"] == 4096 and "plugins" not in hosted.body("x")
+    assert extraction.client("openrouter", "own", False, url="http://h").body("x")["plugins"] and extraction.client("openrouter", "own", False).max_tokens == 2048
+    local = extraction.client("ollama", "m", False, 0.2)
+    assert local.body("x")["options"] == {"temperature": 0.2, "num_predict": 1024} and local.backoff == extraction.JSON_BACKOFF
+    with pytest.raises(ValueError):
+        extraction.client("x", "m", True)

@@ -135,11 +135,21 @@ def test_stream_resumes(spark, tmp_path):
     assert go() == ["a.txt", "b.txt"]
 
 
-def test_reports(spark):
-    text = sinks.report_text({"n": 3}, {"f1": 0.5, "taxa_documentos_completos": 50.0}, "T")
-    assert "50.00%" in text and "50.0%" in text
-    one = spark.createDataFrame([("d", 1)], "id string, n int")
-    assert sinks.report_json(one, one, one, {}).count() == 4
+def test_reports(spark, tmp_path):
+    head = sinks.report_head("T", {"limiar": 0.9}, {"total_empresas_gabarito": 3000}, {"f1_empresas": 0.5, "taxa_documentos_completos": 50.0}, {"documentos_passaram": 1, "f1_media": 0.25})
+    text = "\n".join(head)
+    assert "50.00%" in text and "50.0%" in text and "3,000" in text and "25.00%" in text and "limiar: 0.9" in text
+    scored = spark.createDataFrame([("2", 1, 0.5, True), ("1", 3, 1.0, False)], "id string, n int, f1 double, documento_todas_empresas_socios boolean")
+    place = str(tmp_path / "r.txt")
+    sinks.write_report_text(place, head, scored.filter("documento_todas_empresas_socios"), sinks.document_blocks(scored, ["n"], ["f1"]))
+    lines = open(place, encoding="utf-8").read().split("\n")
+    assert lines.index("DOCUMENTO 1") < lines.index("DOCUMENTO 2  [validação completa]") and "  2" in lines and any(x.endswith("100.00%") for x in lines)
+    place = str(tmp_path / "r.json")
+    sinks.write_report_json(place, *sinks.report_json({"a": [1]}, {"n": 4}, {"f1": 0.5}, {"m": 0.1}, scored, ["n"], ["f1"]))
+    got = json.load(open(place, encoding="utf-8"))
+    assert got["configuracao"] == {"a": [1]} and list(got["metricas_por_documento"]) == ["1", "2"] and got["metricas_por_documento"]["2"]["contagens"] == {"n": 1}
+    sinks.write_report_json(place, *sinks.report_json({}, {}, {}, {}, scored.limit(0), ["n"], ["f1"]))
+    assert json.load(open(place, encoding="utf-8"))["metricas_por_documento"] == {}
 
 
 def test_retries():
