@@ -83,9 +83,26 @@ _ROW = f"""a <> '' AND lower(k) IN ('empresa', 'pessoa') AND NOT {_empty("n")} A
 # DuckDB's reader also takes trailing commas and NaN, which RFC 8259 does not
 _LOOSE = r"""regexp_matches(regexp_replace(t, '"(?:[^"\\]|\\.)*"', '""', 'g'), '(?i),\s*[}\]]|nan|inf')"""
 
-SQL: dict[str, str] = {
-    "p3_found": f"""WITH t AS (SELECT resposta_id, formato, pergunta, {_CLEAN} AS t FROM parse_resposta_v1),
+_READ = f"""t AS (SELECT resposta_id, formato, pergunta, {_CLEAN} AS t FROM parse_resposta_v1),
         j AS (SELECT *, CASE WHEN formato = 'json' AND json_valid(t) AND NOT {_LOOSE} THEN t::JSON END AS j, CASE WHEN formato = 'csv' AND regexp_matches(t, '{_CSV}') THEN regexp_extract(t, '{_CSV}', ['a', 'k', 'n', 'i', 'x']) END AS c FROM t),
-        f AS (SELECT *, {_bare("a")} AS a, {_bare("k")} AS k, {_bare("n")} AS n, {_bare("i")} AS i, {_bare("x")} AS x FROM j)
-        SELECT resposta_id FROM f WHERE NOT coalesce(t <> '' AND CASE formato WHEN 'csv' THEN c IS NOT NULL AND {_ROW} WHEN 'lista' THEN {_LIST} WHEN 'json' THEN {_JSON} ELSE false END, false)""",
+        f AS (SELECT *, {_bare("a")} AS a, {_bare("k")} AS k, {_bare("n")} AS n, {_bare("i")} AS i, {_bare("x")} AS x FROM j),
+        v AS (SELECT *, coalesce(t <> '' AND CASE formato WHEN 'csv' THEN c IS NOT NULL AND {_ROW} WHEN 'lista' THEN {_LIST} WHEN 'json' THEN {_JSON} ELSE false END, false) AS bom FROM f)"""
+
+
+def _value(x: str) -> str:
+    return f"CASE WHEN NOT {_empty(x)} THEN {_strip(x)} END"
+
+
+_KIND = "CASE WHEN pergunta = 'empresas' THEN 'Empresa' ELSE 'Pessoa' END AS tipo"
+_ID = "json_extract_string(e, CASE WHEN pergunta = 'empresas' THEN '$.cnpj' ELSE '$.cpf' END)"
+
+SQL: dict[str, str] = {
+    "p3_found": f"WITH {_READ} SELECT resposta_id FROM v WHERE NOT bom",
+    "p3_records": f"""WITH {_READ}
+        SELECT resposta_id, 0 AS ord, a AS arquivo, CASE WHEN lower(k) = 'empresa' THEN 'Empresa' ELSE 'Pessoa' END AS tipo, n AS nome, {_value("i")} AS identificador,
+            CASE WHEN lower(k) = 'pessoa' THEN {_value("x")} END AS rg FROM v WHERE bom AND formato = 'csv'
+        UNION ALL SELECT resposta_id, p - 1, NULL, {_KIND}, {_strip(f"{_F}[1]")}, {_value(f"{_F}[2]")}, CASE WHEN pergunta = 'pessoas' THEN {_value(f"{_F}[3]")} END
+            FROM (SELECT *, unnest({_RECORDS}) AS r, generate_subscripts({_RECORDS}, 1) AS p FROM v WHERE bom AND formato = 'lista')
+        UNION ALL SELECT resposta_id, p - 1, NULL, {_KIND}, {_strip("json_extract_string(e, '$.nome')")}, {_value(_ID)}, CASE WHEN pergunta = 'pessoas' THEN {_value("json_extract_string(e, '$.rg')")} END
+            FROM (SELECT *, unnest(json_extract({_ARRAY}, '$[*]')) AS e, generate_subscripts(json_extract({_ARRAY}, '$[*]'), 1) AS p FROM v WHERE bom AND formato = 'json')""",
 }

@@ -114,7 +114,9 @@ def balanced_object(spark: SparkSession, d: str) -> DataFrame:
 
 
 def schema_echo(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").select("event_id", parsing.is_schema_echo(F.col("props")).alias("esquema"))
+    """Of each answer's object, and of the same with the partners' list under a key of JSON Schema."""
+    blob = parsing.strict_json("raw")
+    return _answers(spark, d).select("resposta_id", parsing.is_schema_echo(blob).alias("esquema"), parsing.is_schema_echo(F.replace(blob, F.lit('"socios"'), F.lit('"properties"'))).alias("esquema_posto"))
 
 
 def _exploded(df: DataFrame, rows) -> DataFrame:
@@ -148,7 +150,11 @@ def strict_partners(spark: SparkSession, d: str) -> DataFrame:
 
 
 def correction_text(spark: SparkSession, d: str) -> DataFrame:
-    return lenient_companies(spark, d).select("resposta_id", parsing.correction(F.col("erro"), "NOME, CNPJ;").alias("dica")).filter("dica is not null")
+    parts = [
+        q(spark, d).select("resposta_id", parsing.correction(F.col("erro"), line).alias("dica"))
+        for q, line in ((lenient_companies, prompts.COMPANY_LINE), (lenient_persons, prompts.PERSON_LINE))
+    ]
+    return parts[0].unionByName(parts[1]).filter("dica is not null")
 
 
 def public_filter(spark: SparkSession, d: str) -> DataFrame:
@@ -272,10 +278,18 @@ _OBJECT = f"""SELECT resposta_id, CASE WHEN regexp_extract(b, '(\\{{[\\s\\S]*\\}
     CASE WHEN regexp_matches(t, '{_BODY}') THEN {sql_strip(f"regexp_extract(t, '{_BODY}', 1)")} ELSE t END AS b FROM (SELECT resposta_id, {_STRICT} AS t FROM parse_resposta_v1 WHERE @))"""
 
 
+# DuckDB's reader also takes trailing commas and NaN
+_LOOSE = r"""regexp_matches(regexp_replace(objeto, '"(?:[^"\\]|\\.)*"', '""', 'g'), '(?i),\s*[}\]]|nan|inf')"""
+
+
+def _echo(x: str) -> str:
+    """Whether a valid object has a key of JSON Schema."""
+    return f"coalesce(list_has_any(json_keys(CASE WHEN json_valid({x}) AND NOT {_LOOSE} THEN {x} END), ['" + "', '".join(parsing.SCHEMA_KEYS) + "']), false)"
+
+
 def _strict_rows(asked: str, key: str, good: str, cols: dict[str, str]) -> str:
-    """Rows of the lists all of whose items are good; DuckDB's reader also takes trailing commas and NaN."""
-    loose = r"""regexp_matches(regexp_replace(objeto, '"(?:[^"\\]|\\.)*"', '""', 'g'), '(?i),\s*[}\]]|nan|inf')"""
-    lists = f"SELECT resposta_id, json_extract(CASE WHEN json_valid(objeto) AND NOT {loose} THEN objeto::JSON END, '$.{key}[*]') AS l FROM ({_OBJECT.replace('@', f"pergunta = '{asked}'")})"
+    """Rows of the lists all of whose items are good."""
+    lists = f"SELECT resposta_id, json_extract(CASE WHEN json_valid(objeto) AND NOT {_LOOSE} THEN objeto::JSON END, '$.{key}[*]') AS l FROM ({_OBJECT.replace('@', f"pergunta = '{asked}'")})"
     kept = f"SELECT resposta_id, l, unnest(generate_series(1, len(l))) AS i FROM ({lists}) WHERE len(list_filter(l, lambda e: NOT coalesce({good}, false))) = 0"
     return f"SELECT resposta_id, (i - 1)::INT AS ord, {', '.join(f'{v} AS {k}' for k, v in cols.items())} FROM (SELECT resposta_id, i, l[i] AS e FROM ({kept}))"
 
@@ -357,5 +371,5 @@ SQL = {
     "csv_entities": f"""SELECT id, tipo, nome, identificador, aux FROM (SELECT {sql_doc("arquivo")} AS id, tipo, {sql_strip("replace(nome, ',', ' -')")} AS nome, {sql_strip("identificador")} AS identificador, {sql_strip("aux")} AS aux
         FROM ({GOLD}) WHERE NOT (tipo = 'Empresa' AND ({_PUBLIC.replace("nome", "replace(nome, ',', ' -')")}))) WHERE nome <> '' AND id <> ''""",
     "nested_json": f"""SELECT f.id, count(DISTINCT f.key)::INT AS empresas, count(s.key)::INT AS socios FROM ({NESTED_GOLD[0]}) f LEFT JOIN ({NESTED_GOLD[1]}) s ON s.key = f.key WHERE f.id IS NOT NULL GROUP BY f.id""",
-    "schema_echo": "SELECT event_id, coalesce(list_has_any(json_keys(props), ['" + "', '".join(parsing.SCHEMA_KEYS) + "']), false) AS esquema FROM events",
+    "schema_echo": f"""SELECT resposta_id, {_echo("objeto")} AS esquema, {_echo("replace(objeto, '\"socios\"', '\"properties\"')")} AS esquema_posto FROM ({_OBJECT.replace('@', 'true')})""",
 }
