@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from garimpo.functions import normalize as N
 from garimpo.operators import quarantine
-from garimpo.session import ship, table
+from garimpo.session import shared_dir, ship, table
+from garimpo.sources import delimited
 
 
 def _read(spark: SparkSession, d: str) -> DataFrame:
@@ -26,7 +30,17 @@ def p3_records(spark: SparkSession, d: str) -> DataFrame:
     return quarantine.loaded(_read(spark, d), "resposta_id")
 
 
-QUERIES = {"p3_found": p3_found, "p3_rejected": p3_rejected, "p3_records": p3_records}
+def p3_file(spark: SparkSession, d: str) -> DataFrame:
+    """The valid answers in CSV, written as one raw file after another and read again in splits."""
+    answers = table(spark, d, "parse_resposta_v1").filter(F.col("formato") == "csv")
+    good = _read(spark, d).filter("lido.motivo is null").select("resposta_id")
+    text = F.regexp_replace(F.regexp_replace("raw", "(?is)<think>.*?</think>", ""), r"```(?:[A-Za-z]+(?=[\s{\[]|\z))?", "")
+    place = f"{shared_dir(spark).rstrip('/')}/garimpo-raw-{uuid.uuid4().hex}"
+    answers.join(good, "resposta_id").select(N.strip(text)).write.text(place)
+    return delimited.strict_rows(spark, place, ("arquivo", "tipo_entidade", "nome", "identificador", "aux"), header=False)[0].drop("origem", "posicao")
+
+
+QUERIES = {"p3_found": p3_found, "p3_rejected": p3_rejected, "p3_records": p3_records, "p3_file": p3_file}
 
 
 def _strip(x: str) -> str:
@@ -98,6 +112,7 @@ _ID = "json_extract_string(e, CASE WHEN pergunta = 'empresas' THEN '$.cnpj' ELSE
 
 SQL: dict[str, str] = {
     "p3_found": f"WITH {_READ} SELECT resposta_id FROM v WHERE NOT bom",
+    "p3_file": f"WITH {_READ} SELECT a AS arquivo, k AS tipo_entidade, n AS nome, i AS identificador, x AS aux FROM v WHERE bom AND formato = 'csv'",
     "p3_records": f"""WITH {_READ}
         SELECT resposta_id, 0 AS ord, a AS arquivo, CASE WHEN lower(k) = 'empresa' THEN 'Empresa' ELSE 'Pessoa' END AS tipo, n AS nome, {_value("i")} AS identificador,
             CASE WHEN lower(k) = 'pessoa' THEN {_value("x")} END AS rg FROM v WHERE bom AND formato = 'csv'

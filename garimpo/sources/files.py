@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from garimpo.functions import normalize as N
+from garimpo.sources import delimited
 
 NESTED = "map<string,array<struct<empresa:string,cnpj:string,socios:array<struct<nome:string,cpf:string,rg:string>>>>>"
 
@@ -78,24 +79,21 @@ def entities_csv(spark: SparkSession, path: str) -> DataFrame:
 
     The separator is seen from the header, whose names may vary. Rows that are
     too short are dropped, as are rows without id, or without both name and
-    identifier. ``ord`` follows the file.
+    identifier. ``ord`` is where the row begins in its file. A file is read in
+    splits, whatever its quoted fields hold.
     """
     head = spark.read.text(path).filter(F.length("value") > 0).limit(1).collect()
     if not head:
         return spark.createDataFrame([], "id string, ord bigint, tipo string, nome string, identificador string, aux string")
-    line = head[0][0].lstrip("﻿")
+    line = head[0][0].lstrip("\ufeff")
     sep = delimiter(line)
     names = [n.strip().strip('"').lower() for n in line.split(sep)]
-    schema = ", ".join([*(f"c{i} string" for i in range(len(names))), "_other string"])
-    # a row with more or fewer fields than the header keeps its raw text in _other; an empty field is null as well as a missing one
-    options = {"header": True, "sep": sep, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_other", "encoding": "UTF-8", "multiLine": True, "escape": '"', "enforceSchema": True}
-    df = spark.read.options(**options).schema(schema).csv(path)
-    at = {k: next((f"c{names.index(n)}" for n in options_ if n in names), None) for k, options_ in HEADERS.items()}
-    last = max((c for c in at.values() if c), key=lambda c: int(c[1:]), default=None)
-    df = df.withColumn("ord", F.monotonically_increasing_id())
-    if last:
-        df = df.filter(f"_other is null or {last} is not null")
-    got = df.select("ord", *[(N.strip(c) if c else F.lit("")).alias(k) for k, c in at.items()])
+    df = delimited.loose_rows(spark, path, sep)
+    # every file begins with the header
+    df = df.filter(F.lower(F.regexp_replace(F.array_join("campos", "\0"), r'^\x{feff}|["\s]', "")) != F.lit("\0".join("".join(n.split()) for n in names)))
+    at = {k: next((names.index(n) for n in options if n in names), None) for k, options in HEADERS.items()}
+    df = df.filter(F.size("campos") > max((n for n in at.values() if n is not None), default=-1))
+    got = df.select(F.col("posicao").alias("ord"), *[(F.lit("") if n is None else N.strip(F.col("campos")[n])).alias(k) for k, n in at.items()])
     got = got.withColumn("id", N.normalize_doc_id("id"))
     return got.filter((F.col("id") != "") & ((F.col("nome") != "") | (F.col("identificador") != ""))).select("id", "ord", "tipo", "nome", "identificador", "aux")
 
