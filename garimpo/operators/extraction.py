@@ -69,6 +69,8 @@ def retried(call: Callable[[], str], backoff: Backoff, sleep: Callable[[float],
 
 
 class Extractor(Protocol):
+    """With an attribute ``batched`` that is true it is asked a whole batch at once, else one question after the other."""
+
     def answer(self, contexts: Sequence[str], questions: Sequence[str]) -> list[str]: ...
 
 
@@ -174,22 +176,37 @@ def client(provider: str, model: str, lines: bool, temperature: float = 0.1, url
     return Http(url or ADDRESSES[provider], HOSTED.get(model, model), temperature, 4096 if lines else 2048, backoff=backoff, compress=not (lines and model == "gemma3:27b"))
 
 
-def _answered(model: Extractor, context: str, question: str, problem, tries: int, hint, pause: float) -> tuple[str, str | None]:
-    """The first answer without a problem, else the last one and its error."""
-    asked, answer, error = question, "", None
-    for n in range(1 if getattr(model, "deterministic", False) else tries):
-        if n:
-            time.sleep(pause)
+def _answers(model: Extractor, contexts: list[str], questions: list[str]) -> list[tuple[str, str | None]]:
+    """Answers and errors; a model that is ``batched`` gets all questions at once, another one by one, so that a fault is that of one question."""
+    size = max(len(questions), 1) if getattr(model, "batched", False) else 1
+    out: list[tuple[str, str | None]] = []
+    for i in range(0, len(questions), size):
+        c, q = contexts[i : i + size], questions[i : i + size]
         try:
-            (answer,) = model.answer([context], [asked])
-            error = problem(answer) if problem else None
-            if error is None:
-                break
-            if hint:
-                asked = f"{question}\n{hint(error)}"
+            got = model.answer(c, q)
+            out += [(a, None) for _, a in zip(q, got, strict=True)]
         except Exception as e:  # noqa: BLE001
-            answer, error = "", f"{type(e).__name__}: {e}"
-    return answer, error
+            out += [("", f"{type(e).__name__}: {e}")] * len(q)
+    return out
+
+
+def _answered(model: Extractor, contexts: list[str], questions: list[str], problem, tries: int, hint, pause: float) -> list[tuple[str, str | None]]:
+    """For each question the first answer without a problem, else the last one and its error."""
+    asked = list(questions)
+    found: list[tuple[str, str | None]] = [("", None)] * len(asked)
+    left = list(range(len(asked)))
+    for n in range(1 if getattr(model, "deterministic", False) else tries):
+        if n and left:
+            time.sleep(pause)
+        again = []
+        for i, (answer, error) in zip(left, _answers(model, [contexts[i] for i in left], [asked[i] for i in left])):
+            if error is None and problem and (error := problem(answer)) is not None and hint:
+                asked[i] = f"{questions[i]}\n{hint(error)}"
+            found[i] = (answer, error)
+            if error is not None:
+                again.append(i)
+        left = again
+    return found
 
 
 def ask(
@@ -219,12 +236,8 @@ def ask(
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = make()
         for b in batches:
-            answers, errors = [], []
-            for c, q in zip(b["_c"], b["_q"]):
-                answer, error = _answered(model, c, q, problem, tries, hint, pause)
-                answers.append(answer)
-                errors.append(error)
-            yield b[names].assign(resposta=answers, erro=errors)
+            got = _answered(model, b["_c"].tolist(), b["_q"].tolist(), problem, tries, hint, pause)
+            yield b[names].assign(resposta=[a for a, _ in got], erro=[e for _, e in got])
 
     return cols.mapInPandas(run, f"{kinds}, resposta string, erro string")
 

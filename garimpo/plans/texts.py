@@ -371,5 +371,13 @@ SQL = {
     "csv_entities": f"""SELECT id, tipo, nome, identificador, aux FROM (SELECT {sql_doc("arquivo")} AS id, tipo, {sql_strip("replace(nome, ',', ' -')")} AS nome, {sql_strip("identificador")} AS identificador, {sql_strip("aux")} AS aux
         FROM ({GOLD}) WHERE NOT (tipo = 'Empresa' AND ({_PUBLIC.replace("nome", "replace(nome, ',', ' -')")}))) WHERE nome <> '' AND id <> ''""",
     "nested_json": f"""SELECT f.id, count(DISTINCT f.key)::INT AS empresas, count(s.key)::INT AS socios FROM ({NESTED_GOLD[0]}) f LEFT JOIN ({NESTED_GOLD[1]}) s ON s.key = f.key WHERE f.id IS NOT NULL GROUP BY f.id""",
+    # tokens of the text from the first brace on: quotes so far tell strings, braces outside strings the depth
+    "balanced_object": f"""WITH t AS (SELECT resposta_id, {_CLEAN} AS t FROM parse_resposta_v1),
+        k AS (SELECT resposta_id, unnest(x) AS c, generate_subscripts(x, 1) AS i FROM (SELECT resposta_id, regexp_extract_all(t[instr(t, '{{'):], '(?s)\\\\.|["{{}}]|[^\\\\"{{}}]+') AS x FROM t WHERE contains(t, '{{'))),
+        q AS (SELECT *, sum((c = '"')::INT) OVER (PARTITION BY resposta_id ORDER BY i) % 2 AS inside FROM k),
+        d AS (SELECT *, sum(CASE WHEN inside = 1 THEN 0 WHEN c = '{{' THEN 1 WHEN c = '}}' THEN -1 ELSE 0 END) OVER (PARTITION BY resposta_id ORDER BY i) AS depth FROM q),
+        e AS (SELECT resposta_id, min(i) AS e FROM d WHERE depth = 0 AND inside = 0 GROUP BY resposta_id),
+        o AS (SELECT resposta_id, string_agg(c, '' ORDER BY i) AS objeto FROM k JOIN e USING (resposta_id) WHERE i <= e GROUP BY resposta_id)
+        SELECT resposta_id, objeto FROM t LEFT JOIN o USING (resposta_id)""",
     "schema_echo": f"""SELECT resposta_id, {_echo("objeto")} AS esquema, {_echo("replace(objeto, '\"socios\"', '\"properties\"')")} AS esquema_posto FROM ({_OBJECT.replace('@', 'true')})""",
 }

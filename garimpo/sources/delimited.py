@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from garimpo.operators import quarantine as Q
 from garimpo.session import ship
 
+csv.field_size_limit((1 << 31) - 1)
 OPEN, INSIDE = 0, 1  # a record begins with this line, or it goes on inside quotes
 
 
@@ -194,7 +195,6 @@ def loose_rows(spark: SparkSession, path: str, separator: str) -> DataFrame:
     """(origem, posicao, campos) with the quoting of spreadsheets; the header is a record like others."""
 
     def read(record: str) -> tuple:
-        csv.field_size_limit(1 << 30)
         return next(csv.reader([record.removesuffix("\r")], delimiter=separator), []), None, None, None
 
     found = records(spark, path, separator, strict=False).filter(F.trim("registro", F.lit(" \t\r")) != "")

@@ -144,3 +144,25 @@ def test_clients():
     assert local.body("x")["options"] == {"temperature": 0.2, "num_predict": 1024} and local.backoff == extraction.JSON_BACKOFF
     with pytest.raises(ValueError):
         extraction.client("x", "m", True)
+
+
+def test_batched_models_are_asked_at_once():
+    sizes = []
+
+    class Model:
+        batched = True
+
+        def answer(self, contexts, questions):
+            sizes.append(len(questions))
+            return [q if "2" not in q or "dica" in q else "ruim" for q in questions]
+
+    got = extraction._answered(Model(), ["c"] * 4, [f"q{i}" for i in range(4)], lambda a: "mau" if a == "ruim" else None, 3, lambda e: f"dica {e}", 0)
+    assert got == [("q0", None), ("q1", None), ("q2\ndica mau", None), ("q3", None)] and sizes == [4, 1]
+
+    class Broken:
+        def answer(self, contexts, questions):
+            if questions == ["b"]:
+                raise OSError("503")
+            return questions
+
+    assert extraction._answered(Broken(), ["c"] * 2, ["a", "b"], None, 1, None, 0) == [("a", None), ("", "OSError: 503")]
