@@ -17,7 +17,7 @@ before, or with fewer, from the first natural boundary among them. Sizes are in
 Unicode code points.
 
 Defined results: null and short texts (at most ``limit``) are not oversized and
-come out whole only if asked for; blank text of any length is cut like other
+give no row; blank text of any length is cut like other
 text; repeated ids are cut row by row; of boundaries of equal strength the
 smaller merged size goes first, then the earlier; other columns are kept.
 """
