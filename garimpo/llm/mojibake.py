@@ -60,6 +60,8 @@ PLACE = 0.25
 STATED = 1.5
 #: Bytes that an odd word costs as it stands, on top of its length, where the reading is valid UTF-8 or a known word.
 ODD = 4.0
+#: Bytes more that it costs where nothing but signs are read as letters, for they may be signs.
+SIGN = 1.75
 #: Marks a reading that counts only once its chain has been seen in the text.
 HELD = -1.0
 MEMO = 200_000
@@ -170,6 +172,11 @@ def steps() -> tuple[list[Utf8Step], list[ByteStep]]:
     return [Utf8Step(b) for b in READ_AS], [ByteStep(a, b) for a, b in ONE_BYTE]
 
 
+def _by_chance(word: str, reading: str) -> bool:
+    """Whether a quotation mark and a letter may be the bytes of a letter of another script by chance."""
+    return any(c in "‘’“”" for c in word) and any(c > "\u036f" and not "\u2000" <= c < "\u2c00" for c in reading)
+
+
 def readings(word: str) -> list[tuple[tuple[str, ...], float, str]]:
     """(chain, cost, text) of every reading of a word other than itself.
 
@@ -186,16 +193,17 @@ def readings(word: str) -> list[tuple[tuple[str, ...], float, str]]:
                 got = s.undo(text)
                 if got is not None and got != word and (got not in seen or {*chain, s.label} == {s.label}):
                     seen.add(got)
-                    after.append((chain + (s.label,), cost + s.cost, got))
+                    after.append((chain + (s.label,), HELD if cost == HELD or _by_chance(text, got) else cost + s.cost, got))
         out += after
         level = after
     # a mark at the end of a word is a mark of the text until its chain has been seen
     strange = word[0] not in TYPOGRAPHIC and word[-1] not in TYPOGRAPHIC and (odd(word) or _INNER.search(word))
+    sign = not any(c.isalnum() or c in LETTERS or c in OTHERS for c in word)
     for s in byte:
         got = s.undo(word)
         if got is not None and got not in seen and not odd(got) and not _RUNS.search(got):
             seen.add(got)
-            out.append(((s.label,), s.cost if strange else HELD, got))
+            out.append(((s.label,), s.cost if strange or sign and got.isalpha() else HELD, got))
     return out
 
 
@@ -212,6 +220,8 @@ def odd(word: str) -> bool:
         if c not in LETTERS:
             if c.isalpha() or word[i - 1 : i].isalpha() or word[i + 1 : i + 2].isalpha():
                 return True
+            if "\u2500" <= c <= "\u259f" and (word[i - 1 : i].isdigit() or word[i + 1 : i + 2].isdigit()):
+                return True  # a piece of a frame at a number
             continue  # a sign by itself
         if c.islower() and c not in SIGNS and word[i + 1 : i + 2].isupper():
             return True
@@ -229,8 +239,8 @@ _TOKEN = re.compile(r"[^\x00-\x20]+[\x00-\x20]*|[\x00-\x20]+")
 _END = re.compile(r"[.;!?\n\r\f][ \t\n\r\f]*\Z")
 CHUNK_WORDS = 30
 _RUN = re.compile(r"[^\x00-\x20]+")
-#: What is read as one word: a stretch of letters and characters beyond ASCII.
-_WORD = re.compile(r"(?:[A-Za-z]|[^\x00-\x7f])+")
+#: What is read as one word: a stretch of letters, digits and characters beyond ASCII.
+_WORD = re.compile(r"(?:[A-Za-z0-9]|[^\x00-\x7f])+")
 
 
 def passages(text: str) -> list[str]:
@@ -273,17 +283,19 @@ class Repairer:
         if got is None:
             bare = word.strip(".,;:!?()\"'“”«»").lower()
             ends = ("",) if len(bare) >= 3 else (" ", ".", ",")
-            got = bool(bare) and any(f"{a}{bare}{b}".encode() in self.content for a in " (\n" for b in ends)
+            got = not bare.isascii() and any(f"{a}{bare}{b}".encode() in self.content for a in " (\n" for b in ends)
             if len(self.words) > MEMO:
                 self.words.clear()
             self.words[word] = got
         return got
 
-    def likely(self, word: str, reading: str) -> bool:
+    def likely(self, word: str, reading: str, chunk: str) -> bool:
         """Whether a reading puts three characters that a dictionary has for three that none has, wherever it differs."""
         if len(word) != len(reading):
             return False
-        a, b = f" {word.lower()} ", f" {reading.lower()} "
+        p = chunk.find(word)
+        before, after = chunk[p - 1 : p] or " ", chunk[p + len(word) : p + len(word) + 1] or " "
+        a, b = f"{before}{word}{after}".lower(), f"{before}{reading}{after}".lower()
         return len(a) == len(b) and all(b[i - 1 : i + 2] in self.plain and a[i - 1 : i + 2] not in self.plain for i in range(1, len(a) - 1) if a[i] != b[i])
 
     def language(self, texts: list[str]) -> int:
@@ -301,12 +313,17 @@ class Repairer:
         got = self.memo.get(word)
         if got is None:
             text = word.decode("utf-8", "replace")
-            got = [(w, r) for w in dict.fromkeys(_WORD.findall(text)) if not w.isascii() and (r := readings(w))]
+            got = [(w, [(c, self._cost(w, k, g), g) for c, k, g in r]) for w in dict.fromkeys(_WORD.findall(text)) if not w.isascii() and (r := readings(w))]
             if len(self.memo) > MEMO:
                 self.memo.clear()
             self.memo[word] = got
         return got
 
+    def _cost(self, word: str, cost: float, reading: str) -> float:
+        """A reading that is a known word, as the word itself is not, need not wait until its chain has been seen."""
+        free = cost == HELD and word[0] not in TYPOGRAPHIC and word[-1] not in TYPOGRAPHIC and self.known(reading) and not self.known(word)
+        return BYTE_STEP if free else cost
+
     def repair(self, text: str | None) -> tuple[str, list[str], int, bool] | None:
         """(restored text, chains, places, whether all of it is restored), or None for a text to be left as it is."""
         if not text or text.isascii():
@@ -336,7 +353,7 @@ class Repairer:
     def _garbled(self, text: str) -> bool:
         """Whether an odd word is left that has a reading which is valid UTF-8 or a known word."""
         return any(
-            k != HELD and odd(w) and not odd(g) and (c[0].startswith("utf-8") or self.known(g) or self.likely(w, g))
+            k != HELD and odd(w) and not odd(g) and (c[0].startswith("utf-8") or self.known(g) or self.likely(w, g, text))
             for m in set(text.encode("utf-8", "replace").split())
             if not m.isascii()
             for w, got in self._readings(m)
@@ -396,8 +413,10 @@ class Repairer:
                     if any(w in to for w in o):
                         got = self._apply(chunks[i], to)
                         less = size(chunks[i]) - size(got) - PLACE
+                        if not any(x.isalnum() for w in o if w in to for x in w):
+                            less -= SIGN
                         valid = c[0].startswith("utf-8")
-                        less += ODD * sum(1 for w in o if w in to and odd(w) and not odd(to[w]) and (valid or self.known(to[w]) or self.likely(w, to[w])))
+                        less += ODD * sum(1 for w in o if w in to and odd(w) and not odd(to[w]) and (valid or self.known(to[w]) or self.likely(w, to[w], chunks[i])))
                         if less > 0:
                             changed[i] = got
                             total += less

@@ -151,3 +151,8 @@ def test_many_lost_bytes_in_one_word(repairer):
     for mark in ("�", "Ã?"):
         got = repairer.repair("ação " + mark * 20_000 + " fim")
         assert got is not None and not got[3]
+
+
+def test_quotation_marks_and_lists_are_no_fault(repairer):
+    for t in ("Disse “à vontade” e “é certo”, d’água, ’ávido.", "1ª via; 2º termo; nº 5; N.º 7", "• um\n• dois\n• três\n‡ nota ‡ nota", "║ Nome ║ João ║\n╔═══╗ ação"):
+        assert repairer.repair(t) is None, t
