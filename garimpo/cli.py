@@ -13,6 +13,7 @@ patterns read the whole texts.
 from __future__ import annotations
 
 import argparse
+import os
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,6 +58,15 @@ def report(scored: tuple[DataFrame, DataFrame, DataFrame], of, title: str, text:
     return "\n".join(head)
 
 
+def _config(arguments: argparse.Namespace) -> dict:
+    """The command's arguments, and the parameters of extraction if the answer is one file that holds them."""
+    found = {}
+    if os.path.isfile(arguments.resposta):
+        with open(arguments.resposta, encoding="utf-8", errors="replace") as f:
+            found = files.embedded_config(f.read())
+    return {**vars(arguments), **({"parametros_extracao": found} if found else {})}
+
+
 def _flags(config: files.Config) -> prompts.Flags:
     return prompts.Flags(*[str(v).strip().lower() == "sim" for v in (config.aux_terms, config.negative_prompt, config.prompt_enhancement)])
 
@@ -140,9 +150,9 @@ def main(argv: list[str] | None = None) -> int:
     a = p.parse_args(argv)
     spark = SparkSession.builder.appName("garimpo").getOrCreate()
     if a.command == "score-csv":
-        print(report(score_csv(spark, a.gabarito, a.resposta, a.limiar, a.tolerancia_nome, a.tolerancia_nome_socio), metrics.flat_measures, "CSV", a.exportar_txt, a.exportar_json, vars(a)))
+        print(report(score_csv(spark, a.gabarito, a.resposta, a.limiar, a.tolerancia_nome, a.tolerancia_nome_socio), metrics.flat_measures, "CSV", a.exportar_txt, a.exportar_json, _config(a)))
     elif a.command == "score-json":
-        print(report(score_json(spark, a.gabarito, a.resposta, a.tolerancia_nome, a.tolerancia_nome_socio), metrics.nested_measures, "JSON", a.exportar_txt, a.exportar_json, vars(a)))
+        print(report(score_json(spark, a.gabarito, a.resposta, a.tolerancia_nome, a.tolerancia_nome_socio), metrics.nested_measures, "JSON", a.exportar_txt, a.exportar_json, _config(a)))
     elif a.command in ("run-chained", "run-independent"):
         config = files.Config.load(model=a.model)
         lines = a.command == "run-independent"

@@ -121,6 +121,7 @@ class Shape:
     columns: tuple[str, ...]
 
 
+# Keys of answers and of their fields, with the aliases that are accepted. Fixed values.
 COMPANIES = Shape("empresas", ("empresas", "Empresa", "empresa", "companies"), (("nome", "name", "empresa"), ("cnpj", "CNPJ")), ("nome", "cnpj"))
 PERSONS = Shape("socios", ("socios", "sócios", "socio", "pessoas", "partners"), (("nome", "name"), ("cpf", "CPF"), ("rg", "RG")), ("nome", "cpf", "rg"))
 

@@ -1,3 +1,4 @@
+import argparse
 import json
 import shutil
 
@@ -111,6 +112,9 @@ def test_scorers(spark, tmp_path, capsys):
     (tmp_path / "g.json").write_text(json.dumps(doc))
     _, _, m = cli.score_json(spark, str(tmp_path / "g.json"), str(tmp_path / "g.json"))
     assert m.first().f1_global_completa == 1.0
+    (tmp_path / "r.json").write_text(json.dumps({"parametros_extracao": {"k": 5}}))
+    assert cli._config(argparse.Namespace(resposta=str(tmp_path / "r.json")))["parametros_extracao"] == {"k": 5}
+    assert cli._config(argparse.Namespace(resposta=str(tmp_path))) == {"resposta": str(tmp_path)}
 
 
 def test_run_chained_resumes(spark, tmp_path):
