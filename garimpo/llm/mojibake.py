@@ -173,8 +173,8 @@ def steps() -> tuple[list[Utf8Step], list[ByteStep]]:
 
 
 def _by_chance(word: str, reading: str) -> bool:
-    """Whether a quotation mark and a letter may be the bytes of a letter of another script by chance."""
-    return any(c in "‘’“”" for c in word) and any(c > "\u036f" and not "\u2000" <= c < "\u2c00" for c in reading)
+    """Whether a quotation mark and a letter, or pieces of a frame, may be the bytes of a letter of another script by chance."""
+    return (any(c in "‘’“”" for c in word) or all("\u2500" <= c <= "\u259f" for c in word)) and any(c > "\u036f" and not "\u2000" <= c < "\u2c00" for c in reading)
 
 
 def readings(word: str) -> list[tuple[tuple[str, ...], float, str]]:
@@ -193,8 +193,8 @@ def readings(word: str) -> list[tuple[tuple[str, ...], float, str]]:
                 got = s.undo(text)
                 if got is not None and got != word and (got not in seen or {*chain, s.label} == {s.label}):
                     seen.add(got)
-                    after.append((chain + (s.label,), HELD if cost == HELD or _by_chance(text, got) else cost + s.cost, got))
-        out += after
+                    after.append((chain + (s.label,), cost + s.cost, got))
+        out += [(c, HELD if _by_chance(word, got) else k, got) for c, k, got in after]
         level = after
     # a mark at the end of a word is a mark of the text until its chain has been seen
     strange = word[0] not in TYPOGRAPHIC and word[-1] not in TYPOGRAPHIC and (odd(word) or _INNER.search(word))
@@ -396,7 +396,7 @@ class Repairer:
             for w, r in words.items():
                 for c, (k, g) in r.items():
                     # what stands as a known word, or ends in a mark of the text, gives way to a known word only
-                    if k == HELD and (self.known(w) or w[0] in TYPOGRAPHIC or w[-1] in TYPOGRAPHIC) and not self.known(g):
+                    if k == HELD and not c[0].startswith("utf-8") and (self.known(w) or w[0] in TYPOGRAPHIC or w[-1] in TYPOGRAPHIC) and not self.known(g):
                         continue
                     (held if k == HELD else by).setdefault(c, {})[w] = g
                     if k != HELD:
