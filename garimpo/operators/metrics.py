@@ -12,8 +12,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from garimpo.functions.normalize import safe_ratio
-
 
 def _n(pairs: str, test: str = "true") -> Column:
     return F.expr(f"size(filter({pairs}, p -> {test}))")
@@ -186,77 +184,84 @@ def nested_counters(matched: DataFrame) -> DataFrame:
 
 
 def totals(counters: DataFrame, names: Sequence[str]) -> DataFrame:
-    return counters.agg(*[F.coalesce(F.sum(n), F.lit(0)).cast("long").alias(n) for n in names])
+    return counters.agg(*[F.expr(f"cast(coalesce(sum({n}), 0) as bigint) as {n}") for n in names])
 
 
 def rollup(counters: DataFrame, names: Sequence[str]) -> DataFrame:
     """Documents and the corpus in one table; ``nivel`` 1 marks the corpus row."""
-    return counters.rollup("id").agg(F.grouping_id().cast("int").alias("nivel"), *[F.sum(n).cast("long").alias(n) for n in names])
+    return counters.rollup("id").agg(F.expr("cast(grouping_id() as int) as nivel"), *[F.expr(f"cast(sum({n}) as bigint) as {n}") for n in names])
+
 
+def _ratio(a: str, b: str) -> str:
+    """SQL of a quotient that is 0 where there is none."""
+    return f"coalesce(try_divide(cast({a} as double), cast({b} as double)), 0D)"
 
-def _f1(p: Column, r: Column) -> Column:
-    return safe_ratio(2 * p * r, p + r)
+
+def _f1(p: str, r: str) -> str:
+    return _ratio(f"2 * {p} * {r}", f"{p} + {r}")
 
 
 class _Measures:
+    """Measures as SQL over counters, which takes one parse where columns take hundreds of calls."""
+
     def __init__(self) -> None:
-        self.columns: dict[str, Column] = {}
+        self.columns: dict[str, str] = {}
 
     def of(self, counters: DataFrame, keep: tuple[str, ...]) -> DataFrame:
         """The measures, F1 from columns that are there already."""
-        plain = [v.alias(k) for k, v in self.columns.items() if not k.startswith("f1_")]
-        return counters.select(*keep, *plain).select(*keep, *[v.alias(k) if k.startswith("f1_") else k for k, v in self.columns.items()])
+        plain = [f"{v} as {k}" for k, v in self.columns.items() if not k.startswith("f1_")]
+        return counters.selectExpr(*keep, *plain).selectExpr(*keep, *[f"{v} as {k}" if k.startswith("f1_") else k for k, v in self.columns.items()])
 
-    def precision_recall(self, name: str, right: Column, answered: Column, gold: Column) -> None:
-        self.columns[f"precisao_{name}"] = safe_ratio(right, answered)
-        self.columns[f"recall_{name}"] = safe_ratio(right, gold)
+    def precision_recall(self, name: str, right: str, answered: str, gold: str) -> None:
+        self.columns[f"precisao_{name}"] = _ratio(right, answered)
+        self.columns[f"recall_{name}"] = _ratio(right, gold)
 
-    def family(self, name: str, right: Column, answered: Column, gold: Column, gold_guards: bool = False) -> None:
+    def family(self, name: str, right: str, answered: str, gold: str, gold_guards: bool = False) -> None:
         """Precision, recall, F1 and accuracy; with ``gold_guards`` precision is 0 too where there is no gold."""
         self.precision_recall(name, right, answered, gold)
         if gold_guards:
-            self.columns[f"precisao_{name}"] = F.when(gold > 0, right.cast("double") / F.greatest(answered, F.lit(1))).otherwise(0.0)
-        self.columns[f"f1_{name}"] = _f1(F.col(f"precisao_{name}"), F.col(f"recall_{name}"))
-        self.columns[f"acuracia_{name}"] = safe_ratio(right, F.greatest(gold, answered))
+            self.columns[f"precisao_{name}"] = f"case when {gold} > 0 then cast({right} as double) / greatest({answered}, 1) else 0D end"
+        self.columns[f"f1_{name}"] = _f1(f"precisao_{name}", f"recall_{name}")
+        self.columns[f"acuracia_{name}"] = _ratio(right, f"greatest({gold}, {answered})")
 
 
 def flat_measures(counters: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    c, m = F.col, _Measures()
-    eg, er, pg, pr = c("total_empresas_gabarito"), c("total_empresas_resposta"), c("total_pessoas_gabarito"), c("total_pessoas_resposta")
-    m.family("empresas", c("empresas_corretas"), er, eg)
-    m.precision_recall("empresas_nomes", c("empresas_nomes_corretos"), er, eg)
-    m.precision_recall("empresas_cnpjs", c("empresas_cnpjs_corretos"), er, eg)
+    m = _Measures()
+    eg, er, pg, pr = "total_empresas_gabarito", "total_empresas_resposta", "total_pessoas_gabarito", "total_pessoas_resposta"
+    m.family("empresas", "empresas_corretas", er, eg)
+    m.precision_recall("empresas_nomes", "empresas_nomes_corretos", er, eg)
+    m.precision_recall("empresas_cnpjs", "empresas_cnpjs_corretos", er, eg)
     for name, n in (("nome_cpf", "pessoas_nome_cpf_corretas"), ("nome_rg", "pessoas_nome_rg_corretas"), ("completa", "pessoas_completas")):
-        m.family(f"pessoas_{name}", c(n), pr, pg)
+        m.family(f"pessoas_{name}", n, pr, pg)
     for name in ("nome", "cpf", "rg"):
-        m.precision_recall(f"pessoas_{name}", c(f"pessoas_{name}_correto"), pr, pg)
+        m.precision_recall(f"pessoas_{name}", f"pessoas_{name}_correto", pr, pg)
     for name, n in (("nome_cpf", "nome_cpf"), ("nome_rg", "nome_rg"), ("completo", "nome_cpf_rg")):
-        m.family(f"empresa_socio_{name}", c(f"empresa_socio_{n}"), pr, pg)
-    m.family("global", c("empresas_corretas") + c("pessoas_completas"), er + pr, eg + pg)
-    whole = c("empresas_com_socios_completos")
+        m.family(f"empresa_socio_{name}", f"empresa_socio_{n}", pr, pg)
+    m.family("global", "(empresas_corretas + pessoas_completas)", f"({er} + {pr})", f"({eg} + {pg})")
+    whole = "empresas_com_socios_completos"
     m.family("global_completa", whole, er, eg, gold_guards=True)
-    m.columns["taxa_documentos_completos"] = safe_ratio(whole, eg) * 100
-    m.columns["taxa_documentos_parciais"] = safe_ratio(c("empresas_com_socios_parciais"), eg) * 100
+    m.columns["taxa_documentos_completos"] = f"{_ratio(whole, eg)} * 100"
+    m.columns["taxa_documentos_parciais"] = f"{_ratio('empresas_com_socios_parciais', eg)} * 100"
     return m.of(counters, keep)
 
 
 def nested_measures(counters: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    c, m = F.col, _Measures()
-    eg, er, sg, sr = c("total_empresas_gabarito"), c("total_empresas_resposta"), c("total_socios_gabarito"), c("total_socios_resposta")
-    m.family("empresas", c("empresas_corretas"), er, eg)
-    m.precision_recall("nomes", c("nomes_corretos"), er, eg)
-    m.precision_recall("cnpjs", c("cnpjs_corretos"), er, eg)
+    m = _Measures()
+    eg, er, sg, sr = "total_empresas_gabarito", "total_empresas_resposta", "total_socios_gabarito", "total_socios_resposta"
+    m.family("empresas", "empresas_corretas", er, eg)
+    m.precision_recall("nomes", "nomes_corretos", er, eg)
+    m.precision_recall("cnpjs", "cnpjs_corretos", er, eg)
     for name, n in (("nome_cpf", "socios_nome_cpf_corretos"), ("nome_rg", "socios_nome_rg_corretos"), ("completo", "socios_completos")):
-        m.family(f"socios_{name}", c(n), sr, sg)
-    m.precision_recall("socios_cpf_rg", c("socios_cpf_rg_corretos"), sr, sg)
+        m.family(f"socios_{name}", n, sr, sg)
+    m.precision_recall("socios_cpf_rg", "socios_cpf_rg_corretos", sr, sg)
     for name in ("nome", "cpf", "rg"):
-        m.precision_recall(f"socios_{name}", c(f"socios_{name}_correto"), sr, sg)
+        m.precision_recall(f"socios_{name}", f"socios_{name}_correto", sr, sg)
     for name, n in (("nome_cpf", "nome_cpf"), ("nome_rg", "nome_rg"), ("completo", "nome_cpf_rg")):
-        m.family(f"empresa_socio_{name}", c(f"empresa_socio_{n}"), sr, sg, gold_guards=True)
-    whole = c("empresas_com_socios_completos")
+        m.family(f"empresa_socio_{name}", f"empresa_socio_{n}", sr, sg, gold_guards=True)
+    whole = "empresas_com_socios_completos"
     m.family("global_completa", whole, er, eg, gold_guards=True)
-    m.columns["taxa_empresas_completas"] = safe_ratio(whole, eg)
-    m.columns["taxa_empresas_parciais"] = safe_ratio(c("empresas_com_socios_parciais"), eg)
+    m.columns["taxa_empresas_completas"] = _ratio(whole, eg)
+    m.columns["taxa_empresas_parciais"] = _ratio("empresas_com_socios_parciais", eg)
     return m.of(counters, keep)
 
 
@@ -271,7 +276,8 @@ def macro(counters: DataFrame) -> DataFrame:
         F.coalesce(F.avg(F.when(F.col("total_empresas_gabarito") > 0, passed)), zero).alias("recall_media"),
         F.coalesce(F.avg(passed), zero).alias("acuracia_media"),
     )
-    return got.withColumn("taxa_documentos_completos", safe_ratio(F.col("documentos_passaram"), F.col("documentos_processados"))).withColumn("f1_media", _f1(F.col("precisao_media"), F.col("recall_media")))
+    rate = _ratio("documentos_passaram", "documentos_processados")
+    return got.selectExpr("*", f"{rate} as taxa_documentos_completos", f"{_f1('precisao_media', 'recall_media')} as f1_media")
 
 
 def passed_documents(counters: DataFrame) -> DataFrame:

@@ -41,7 +41,7 @@ def flat_match_similar(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _rounded(df: DataFrame) -> DataFrame:
-    return df.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    return df.selectExpr(*[f"round({c}, 6) as {c}" if t == "double" else c for c, t in df.dtypes])
 
 
 def flat_metrics_global(spark: SparkSession, d: str) -> DataFrame:

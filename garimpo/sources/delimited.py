@@ -85,8 +85,13 @@ def records(spark: SparkSession, path: str, separator: str = ",", strict: bool =
         found: dict[tuple[str, int], list[int]] = {}
         for key, run in _runs(batches):
             own = found.setdefault(key, [0, OPEN, INSIDE, 0, 0])  # bytes, end state and whether a record ended, from either start
+            whole = "\n".join(run)
+            own[0] += len(whole.encode()) + 1
+            if '"' not in whole:
+                for start in (OPEN, INSIDE):
+                    own[3 + start] |= own[1 + start] == OPEN
+                continue
             for line in run:
-                own[0] += len(line.encode()) + 1
                 for start in (OPEN, INSIDE):
                     own[1 + start] = m.after(line, own[1 + start])
                     own[3 + start] |= own[1 + start] == OPEN
@@ -132,8 +137,13 @@ def records(spark: SparkSession, path: str, separator: str = ",", strict: bool =
                 begin, part = at, state == INSIDE
                 origin = origin if part else k[1]
             for line in run:
+                if state == OPEN and '"' not in line:  # a record by itself
+                    out.append((key[0], at, None, key[1], line))
+                    at += (len(line) if line.isascii() else len(line.encode())) + 1
+                    begin, part, origin = at, False, key[1]
+                    continue
                 buffer.append(line)
-                at += len(line.encode()) + 1
+                at += (len(line) if line.isascii() else len(line.encode())) + 1
                 state = m.after(line, state)
                 if state == OPEN:
                     put(False)
