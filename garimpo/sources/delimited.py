@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import csv
 from collections.abc import Callable, Iterator, Sequence
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +31,7 @@ from garimpo.operators import quarantine as Q
 from garimpo.session import ship
 
 csv.field_size_limit((1 << 31) - 1)
+BLANK = " \t\r"
 OPEN, INSIDE = 0, 1  # a record begins with this line, or it goes on inside quotes
 
 
@@ -75,8 +76,34 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int],
                 at = i
 
 
+Reader = Callable[[str], tuple]
+_PARSED = [pa.list_(pa.string()), pa.string(), pa.string(), pa.int32()]
+_NAMES = ["campos", "motivo", "detalhe", "em"]
+PARSED = "campos array<string>, motivo string, detalhe string, em int"
+
+
 def records(spark: SparkSession, path: str, separator: str = ",", strict: bool = True) -> DataFrame:
     """(origem, posicao, registro): the records of a file or of the files of a folder. Reads the files once when called."""
+    whole, joined = _records(spark, path, separator, strict, None)
+    whole = whole.select("origem", "posicao", "registro")
+    return whole if joined is None else whole.unionByName(joined)
+
+
+def _parsed(spark: SparkSession, path: str, separator: str, strict: bool, read: Reader) -> DataFrame:
+    """(origem, posicao, campos, motivo, detalhe, em) of the records that are not blank; whole ones are read where they are cut."""
+    whole, joined = _records(spark, path, separator, strict, read)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [read(x) for x in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array([r[i] for r in rows], k) for i, k in enumerate(_PARSED)]], names=["origem", "posicao", *_NAMES])
+
+    whole = whole.select("origem", "posicao", *_NAMES)
+    return whole if joined is None else whole.unionByName(joined.filter(F.trim("registro", F.lit(BLANK)) != "").mapInArrow(run, f"origem string, posicao long, {PARSED}"))
+
+
+def _records(spark: SparkSession, path: str, separator: str, strict: bool, read: Reader | None) -> tuple[DataFrame, DataFrame | None]:
+    """Records inside a split, read if there is a reader, and those put together from fragments, if there are any."""
     ship(spark)
     lines = spark.read.option("lineSep", "\n").text(path).select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"))
 
@@ -100,6 +127,7 @@ def records(spark: SparkSession, path: str, separator: str = ",", strict: bool =
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["f", "b", "n", "e0", "e1", "c0", "c1"])
 
     splits: dict[tuple[str, int], tuple[int, int, int]] = {}
+    broken: set[tuple[str, int]] = set()  # splits with a part of a record that runs over their begin or end
     name, state, offset, origin = None, OPEN, 0, 0
     for r in lines.mapInArrow(transitions, "f string, b long, n long, e0 long, e1 long, c0 long, c1 long").orderBy("f", "b").toLocalIterator():
         if r.f != name:
@@ -107,10 +135,13 @@ def records(spark: SparkSession, path: str, separator: str = ",", strict: bool =
         splits[r.f, r.b] = (state, offset, origin)
         if state == OPEN or (r.c0, r.c1)[state]:
             origin = r.b  # where a record that is open at the end of this split began
-        state, offset = (r.e0, r.e1)[state], offset + r.n
-    held = spark.sparkContext.broadcast(splits)
+        begun, state, offset = state, (r.e0, r.e1)[state], offset + r.n
+        if INSIDE in (begun, state):
+            broken.add((r.f, r.b))
+    held = spark.sparkContext.broadcast((splits, broken))
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch], fragments: bool) -> Iterator[pa.RecordBatch]:
+        starts, broken = held.value
         m = _machine(separator, strict)
         key, state, at, origin = None, OPEN, 0, 0
         buffer: list[str] = []
@@ -119,26 +150,35 @@ def records(spark: SparkSession, path: str, separator: str = ",", strict: bool =
 
         def put(open_: bool) -> None:
             # a whole record, or a fragment of the one that began in the split ``origin``
-            out.append((key[0], begin, origin if part or open_ else None, key[1], "\n".join(buffer)))
+            if (part or open_) == fragments:
+                out.append((key[0], begin, origin if part or open_ else None, key[1], "\n".join(buffer)))
             buffer.clear()
 
         def flush() -> pa.RecordBatch:
             kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
-            got = pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=["origem", "posicao", "o", "b", "registro"])
+            names = ["origem", "posicao", "o", "b", "registro"]
+            rows = out
+            if read and not fragments:
+                rows = [(*r[:4], None, *read(r[4])) for r in out if r[4].strip(BLANK)]
+                kinds, names = [*kinds, *_PARSED], [*names, *_NAMES]
+            got = pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
             out.clear()
             return got
 
         for k, run in _runs(batches):
+            if fragments and k not in broken:
+                continue
             if k != key:
                 if buffer:
                     put(True)
                 key = k
-                state, at, origin = held.value[k]
+                state, at, origin = starts[k]
                 begin, part = at, state == INSIDE
                 origin = origin if part else k[1]
             for line in run:
                 if state == OPEN and '"' not in line:  # a record by itself
-                    out.append((key[0], at, None, key[1], line))
+                    if not fragments:
+                        out.append((key[0], at, None, key[1], line))
                     at += (len(line) if line.isascii() else len(line.encode())) + 1
                     begin, part, origin = at, False, key[1]
                     continue
@@ -154,27 +194,17 @@ def records(spark: SparkSession, path: str, separator: str = ",", strict: bool =
             put(True)
         yield flush()
 
-    pieces = lines.mapInArrow(cut, "origem string, posicao long, o long, b long, registro string")
-    whole = pieces.filter("o is null").select("origem", "posicao", "registro")
+    columns = "origem string, posicao long, o long, b long, registro string"
+    whole = lines.mapInArrow(partial(cut, fragments=False), columns + (f", {PARSED}" if read else ""))
+    if not broken:
+        return whole, None
     joined = (
-        pieces.filter("o is not null")
+        lines.mapInArrow(partial(cut, fragments=True), columns)
         .groupBy("origem", "o")
         .agg(F.min("posicao").alias("posicao"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "registro"))), lambda x: x.registro), "\n").alias("registro"))
         .select("origem", "posicao", "registro")
     )
-    return whole.unionByName(joined)
-
-
-def _mapped(df: DataFrame, read: Callable[[str], tuple]) -> DataFrame:
-    """``df`` with ``campos``, ``motivo``, ``detalhe`` and ``em`` of each record."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [read(x) for x in b.column(2).to_pylist()]
-            kinds = [pa.list_(pa.string()), pa.string(), pa.string(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]], names=[*b.schema.names, "campos", "motivo", "detalhe", "em"])
-
-    return df.mapInArrow(run, "origem string, posicao long, registro string, campos array<string>, motivo string, detalhe string, em int")
+    return whole, joined
 
 
 def strict_rows(spark: SparkSession, path: str, columns: Sequence[str], separator: str = ",", header: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -195,8 +225,8 @@ def strict_rows(spark: SparkSession, path: str, columns: Sequence[str], separato
             return None, "colunas", f"{len(fields)} campos", fields[min(len(fields) - 1, n)][0]
         return [v for _, v in fields], None, None, None
 
-    found = records(spark, path, separator).filter(F.trim("registro", F.lit(" \t\r")) != "")
-    got = _mapped(found.filter("posicao > 0") if header else found, read)
+    got = _parsed(spark, path, separator, True, read)
+    got = got.filter("posicao > 0") if header else got
     good = got.filter("motivo is null").select("origem", "posicao", *[F.col("campos")[i].alias(c) for i, c in enumerate(columns)])
     return good, got.filter("motivo is not null").select("origem", "posicao", "motivo", "detalhe", "em")
 
@@ -207,5 +237,4 @@ def loose_rows(spark: SparkSession, path: str, separator: str) -> DataFrame:
     def read(record: str) -> tuple:
         return next(csv.reader([record.removesuffix("\r")], delimiter=separator), []), None, None, None
 
-    found = records(spark, path, separator, strict=False).filter(F.trim("registro", F.lit(" \t\r")) != "")
-    return _mapped(found, read).select("origem", "posicao", "campos")
+    return _parsed(spark, path, separator, False, read).select("origem", "posicao", "campos")
