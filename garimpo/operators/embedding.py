@@ -14,8 +14,11 @@ from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from garimpo.operators import chunking, retrieval
 from garimpo.session import ship
@@ -104,13 +107,44 @@ def with_embedding(df: DataFrame, text: str, make: Callable[[], Embedder], out:
 def question_contexts(
     docs: DataFrame, key: str, text: str, questions: DataFrame, query: str, question: str, make: Callable[[], Embedder], k: int, size: int, overlap: int, separators: Sequence[str], max_chars: int | None = 30_000
 ) -> DataFrame:
-    """The context of each question about a document: its k nearest chunks in rank order.
+    """The context of each question about a document: its k nearest chunks in rank order, ties by place.
 
-    ``questions`` has the document's key, so a question about one company of a
-    document finds the chunks of that document only, and a query's id need be
-    unique within its document only. Returns the key, ``query_id`` and ``contexto``.
+    ``questions`` has the document's key, which ``docs`` has once, so a question
+    about one company of a document finds the chunks of that document only, and a
+    query's id need be unique within its document only. Returns the key,
+    ``query_id`` and ``contexto``; a question about a document without chunks has
+    no row.
+
+    A text is shuffled to its questions once; its chunks and their vectors are
+    made there, for questions that follow one another once, and go nowhere.
     """
-    chunks = with_embedding(chunking.chunk_table(docs, key, text, size, overlap, separators), "chunk", make)
-    asked = with_embedding(questions.select(key, query, question), question, make)
-    ranked = retrieval.top_k_in_scope(asked, chunks, key, query, "chunk_idx", "embedding", k, ("chunk",))
-    return retrieval.contexts(ranked, (key, "query_id"), "chunk", max_chars)
+    ship(docs.sparkSession)
+    asked = questions.select(key, F.col(query).alias("query_id"), F.col(question).alias("_question"))
+    rows = docs.select(key, F.col(text).alias("_text")).join(asked, key).select(key, "query_id", "_question", "_text")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:2])
+    sep = tuple(separators)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = make()
+        last: str | None = None
+        parts: list[str] = []
+        vectors = np.zeros((0, 0))
+        for b in batches:
+            keep: list[int] = []
+            out: list[str] = []
+            asked_ = b.column(2).to_pylist()
+            for i, (q, t) in enumerate(zip(asked_, b.column(3).to_pylist())):
+                if t is None:
+                    continue
+                if t != last:
+                    last, parts = t, chunking.split_text(t, size, overlap, sep)
+                    vectors = np.array(model.embed(parts), np.float32).astype(np.float64) if parts else vectors
+                if parts:
+                    ranked = retrieval.nearest_rows(np.array(model.embed([q or ""])[0], np.float32).astype(np.float64), vectors, k)
+                    context = "\n\n".join([parts[n] for n in ranked])
+                    keep.append(i)
+                    out.append(context if max_chars is None else context[:max_chars])
+            at = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(out, pa.string())], names=[*b.schema.names[:2], "contexto"])
+
+    return rows.mapInArrow(run, f"{schema}, contexto string")

@@ -44,6 +44,15 @@ def top_k_in_scope(queries: DataFrame, chunks: DataFrame, scope: str, query: str
     return near.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k).select(scope, F.col("_q").alias("query_id"), F.col("_c").alias("chunk_id"), "rank", "dist", *keep)
 
 
+def nearest_rows(q: np.ndarray, x: np.ndarray, k: int) -> list[int]:
+    """Rows of ``x`` nearest to one vector, in order, ties by row; the distances are those of squared_distance to the last bit."""
+    d = np.zeros(len(x))
+    for n in range(x.shape[1]):
+        t = q[n] - x[:, n]
+        d += t * t
+    return np.argsort(d, kind="stable")[:k].tolist()
+
+
 def _nearest(q: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, best: tuple[np.ndarray, np.ndarray] | None) -> tuple[np.ndarray, np.ndarray]:
     """(distances, ids) of the k nearest of each query among ``x`` and the ``best`` so far, ties by id; the distances are those of squared_distance to the last bit."""
     size = (q * q).sum(1)[:, None] + (x * x).sum(1)[None, :]
