@@ -12,6 +12,7 @@ import urllib.request
 import zlib
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import lru_cache
 from typing import Protocol
 
 import numpy as np
@@ -28,6 +29,14 @@ class Embedder(Protocol):
     def embed(self, texts: Sequence[str]) -> list[list[float]]: ...
 
 
+_WORDS = re.compile(r"\w+")
+
+
+@lru_cache(1 << 16)
+def _crc(word: str) -> int:
+    return zlib.crc32(word.encode())
+
+
 @dataclass(frozen=True)
 class Hashing:
     """Signed counts of hashed words at length 1; deterministic and without any model."""
@@ -37,12 +46,10 @@ class Hashing:
     def embed(self, texts: Sequence[str]) -> list[list[float]]:
         out = []
         for t in texts:
-            v = [0.0] * self.size
-            for w in re.findall(r"\w+", (t or "").lower()):
-                h = zlib.crc32(w.encode())
-                v[h % self.size] += 1.0 if h >> 31 else -1.0
-            norm = math.sqrt(sum(x * x for x in v)) or 1.0
-            out.append([x / norm for x in v])
+            ws = _WORDS.findall((t or "").lower())
+            slots = np.fromiter(map(_crc, ws), np.int64, len(ws))
+            v = np.bincount(slots % self.size, np.where(slots >> 31, 1.0, -1.0), self.size)
+            out.append((v / (math.sqrt((v * v).sum()) or 1.0)).tolist())
         return out
 
 

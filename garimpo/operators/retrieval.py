@@ -46,10 +46,8 @@ def top_k_in_scope(queries: DataFrame, chunks: DataFrame, scope: str, query: str
 
 def nearest_rows(q: np.ndarray, x: np.ndarray, k: int) -> list[int]:
     """Rows of ``x`` nearest to one vector, in order, ties by row; the distances are those of squared_distance to the last bit."""
-    d = np.zeros(len(x))
-    for n in range(x.shape[1]):
-        t = q[n] - x[:, n]
-        d += t * t
+    t = q[None, :] - x
+    d = np.add.accumulate(t * t, axis=1)[:, -1]  # one dimension after the other, as there
     return np.argsort(d, kind="stable")[:k].tolist()
 
 
